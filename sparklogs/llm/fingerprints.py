@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,10 +95,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
     edges = sorted(set(rows.select(F.percentile_approx("key", [k / parts for k in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
-    part = F.lit(len(edges)) - sum((F.when(F.col("key") > e, 1).otherwise(0) for e in edges), F.lit(0)) if len(edges) < 33 else None
-    if part is None:
-        part = F.lit(len(edges)) - F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + (F.col("key") > e).cast("int"))
-    ranged = rows.withColumn("part", part.cast("int"))
+    part = F.pandas_udf(lambda key: pd.Series(len(edges) - np.searchsorted(edges, key.to_numpy())), "int")(F.col("key"))
+    ranged = rows.withColumn("part", part)
     order = F.struct("key", F.xxhash64("text").alias("tie"))
     heads = [(r["part"], r["top"]["key"], r["top"]["tie"]) for r in ranged.groupBy("part").agg(F.max(order).alias("top")).orderBy("part").collect()]
     if not heads:
@@ -108,13 +107,15 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     return tied.withColumn("seam", F.lit(False)).unionByName(extra.withColumn("seam", F.lit(True)))
 
 
-def fingerprint_edits(docs: DataFrame, parts: int = 64) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness; see ``op8`` for the columns.
 
     Edited: the last third of the code points replaced by as many (or all) of the first of the next document, by
     descending doc_id, after the last the first; a lone document follows itself. Ties of doc_id go by a hash of the
-    text; null text is empty, a null doc_id comes last; repeated rows follow each other; no rows give none.
+    text; null text is empty, a null doc_id comes last; repeated rows follow each other; no rows give none. ``parts``
+    ranges (as many as the scan has splits, by default, at most 20,000) are sorted on their own.
     """
+    parts = parts or min(20_000, max(12, docs.rdd.getNumPartitions()))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
     names = [x.split()[0] for x in schema.split(", ")]
 

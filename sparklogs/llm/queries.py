@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklogs.llm import fingerprints, media, mixing, packing, sharding
+from sparklogs.llm import fingerprints, media, mixing, packing, quality, sharding, substrings, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_docs(spark, sf_dir)).drop("kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir))
 
@@ -22,6 +26,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_docs(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir), 24)
 
@@ -37,7 +46,15 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good; documents more likely than not to be above 0 are kept."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    graded = quality.grade_documents(_docs(spark, sf_dir).select("doc_id", "text"), ratings, grades=3)
+    return graded.select("doc_id", "held_out", "expected_grade", "tail_probability", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_media, op6_sharding, op7_mixing, op8_fingerprints)
+    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op10_quality)
 }
 ORACLES: dict[str, str] = {}
