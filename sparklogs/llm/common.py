@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 BATCH_BYTES = 2 << 20
 _SEPARATOR = np.zeros(256, bool)
@@ -41,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns, given as name=type."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items())])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every output bit depends on every input bit."""
     h = h.astype(np.uint64, copy=True)

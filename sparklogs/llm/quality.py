@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklogs.llm.common import Words, rolling, slices
+from sparklogs.llm.common import Words, extended, rolling, slices
 from sparklogs.llm.toxicity import fold
 
 BUCKETS = 1 << 18
@@ -89,11 +89,12 @@ def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndar
 
 def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, select_above: int = 0, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` with held_out, expected_grade (0 to grades - 1), tail_probability = P(grade > select_above)
-    and keep (1 if that is at least one half). ``ratings`` has doc_id and grade, an integer from 0.
+    and keep (1 if that is at least one half), which replace columns of these names. ``ratings`` has doc_id and grade, an integer from 0.
 
     Ratings whose crc32(doc_id as text) mod 5 is 0 are held out. A document rated twice counts with its lower grade. A
     text without words (null, empty) gets the thresholds alone; repeated rows score alike; an empty table gives no rows.
     """
+    docs = docs.drop("held_out", "expected_grade", "tail_probability", "keep")
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     sample = rated.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
@@ -108,7 +109,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, select_abo
     rows, values = ([x.values.to_numpy() for x in got[k]] for k in ("row", "value"))
     weight, cuts = fit_ordinal(rows, values, got["grade"].to_numpy().astype(np.int64), grades)
     shared = docs.sparkSession.sparkContext.broadcast(weight)
-    schema = docs.schema.add("expected_grade", "double").add("tail_probability", "double")
+    schema = extended(docs, expected_grade="double", tail_probability="double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

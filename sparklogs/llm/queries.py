@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklogs.llm import fingerprints, media, mixing, packing, quality, sharding, substrings, toxicity
+from sparklogs.llm import fingerprints, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_docs(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_docs(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -55,6 +59,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op10_quality)
+    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op10_quality)
 }
 ORACLES: dict[str, str] = {}

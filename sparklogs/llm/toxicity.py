@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklogs.llm.common import Words, expand, rolling, slices, written
+from sparklogs.llm.common import Words, expand, extended, rolling, slices, written
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -184,12 +184,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` with held_out, score (0 to 1) and predicted (1 from 0.5 on); ``labels`` has doc_id, toxic.
+    """The rows of ``docs`` with held_out, score (0 to 1) and predicted (1 from 0.5 on), which replace columns of these
+    names; ``labels`` has doc_id, toxic.
 
     Only labels whose crc32(doc_id as text) mod 5 is not 0 are learnt from; a document with several labels counts as
     toxic if one says so. Texts without words (null, empty) get the score of zero evidence; without labels all scores
     are 0.5; repeated rows score alike; an empty table gives no rows.
     """
+    docs = docs.drop("score", "held_out", "predicted")
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
     draw = F.xxhash64("doc_id")
     counted = [labels.where((F.col("toxic") == c) & F.col("fold").isin(1, 2, 3)).orderBy(draw, "doc_id").limit(class_rows) for c in (0, 1)]
@@ -209,7 +211,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_R
     fitted = docs.select("doc_id", "text").join(fit_labels, "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, a double, b double, c double, d double").toArrow()
     weight = fit_logistic(np.column_stack([fitted[k].to_numpy() for k in names]), fitted["toxic"].to_numpy().astype(float))
 
-    schema = docs.schema.add("score", "double")
+    schema = extended(docs, score="double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
