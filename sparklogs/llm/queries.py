@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklogs.llm import fingerprints, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
+from sparklogs.llm import fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 poor, 1 good but toxic, 2 good; documents more likely than not to be above 0 are kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -59,6 +64,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op10_quality)
+    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality)
 }
-ORACLES: dict[str, str] = {}
+#: Lines that an earlier one equals or is one edit away from, found through the half that an edit leaves as it is.
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line, string_split(text, chr(10))[i] AS s
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)
+), solid AS (SELECT * FROM lines WHERE regexp_matches(s, '[^ \t-\r]')
+), firsts AS (
+  SELECT s, min(struct_pack(doc_id := doc_id, line := line)) AS spot, length(s) AS n FROM solid GROUP BY s
+), halves AS (
+  SELECT s, spot, n, m, 'p' AS side, left(s, m // 2) AS half FROM firsts, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT n - k AS m) WHERE n >= 16
+  UNION ALL
+  SELECT s, spot, n, m, 's', right(s, m - m // 2) FROM firsts, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT n - k AS m) WHERE n >= 16
+), near AS (
+  SELECT DISTINCT b.spot FROM halves a JOIN halves b ON a.side = b.side AND a.m = b.m AND a.half = b.half AND a.spot < b.spot
+  WHERE levenshtein(a.s, b.s) <= 1
+), gone AS (
+  SELECT x.doc_id, x.line FROM solid x JOIN firsts f ON x.s = f.s WHERE struct_pack(doc_id := x.doc_id, line := x.line) > f.spot
+  UNION SELECT spot.doc_id, spot.line FROM near
+)
+SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.line) AS INTEGER) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN g.line IS NULL THEN l.s END, chr(10) ORDER BY l.line), '')) AS kept_sha256
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op9_lines": OP9_SQL}
