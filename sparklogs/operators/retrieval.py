@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -118,8 +119,10 @@ def fts_topk(queries: DataFrame, chunks: DataFrame, k: int = FAN_OUT) -> DataFra
     field = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), tokens(F.col(c)).alias("terms")) for c, w in FIELD_WEIGHTS.items()])).alias("f")
     fields = chunks.select("chunk_id", field).select("chunk_id", "f.weight", "f.terms").where(F.size("terms") > 0)
     body = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(" "), t, F.lit(" "))), "")
-    held = fields.select("chunk_id", "weight", body.alias("body"), F.explode(F.array_distinct("terms")).alias("term"))
-    met = held.join(clauses, "term").where(F.col("body").contains(F.col("phrase")))
+    # terms meet clauses without the text; only fields that hold a clause's first term are then read again
+    held = fields.select("chunk_id", "weight", F.explode(F.array_distinct("terms")).alias("term"))
+    near = held.join(clauses, "term")
+    met = near.join(fields.select("chunk_id", "weight", body.alias("body")), ["chunk_id", "weight"]).where(F.col("body").contains(F.col("phrase")))
     times = (F.length("body") - F.length(F.replace("body", "phrase", F.lit("")))) / F.length("phrase")
     yes = met.where("not no").groupBy("query_id", "chunk_id").agg(F.count_distinct("clause").alias("found"), F.sum(times * F.col("weight")).alias("score"))
     full = yes.join(needed, "query_id").where("found = needed").select("query_id", "chunk_id", "score")
@@ -169,21 +172,20 @@ def hybrid_search_diverse(queries: DataFrame, chunks: DataFrame, k: int = 10, ov
     return diversify(hydrate(pool, chunks.select("chunk_id", "source_service")), k, cap_ratio)
 
 
-def trigrams(text: str) -> list[str]:
+@lru_cache(maxsize=1 << 16)
+def trigrams(text: str) -> tuple[str, ...]:
     """Trigrams of the lower-case words of a text in order, each word padded by two spaces and one."""
-    out = []
-    for word in "".join(c if c.isalnum() else " " for c in text.lower()).split():
-        padded = f"  {word} "
-        out += [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return out
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return tuple(p[i : i + 3] for p in (f"  {w} " for w in words) for i in range(len(p) - 2))
 
 
 def word_similarity(query: str, text: str) -> float:
     """The greatest share of common trigrams of ``query`` and any continuous extent of the trigrams of ``text``."""
-    want, line = set(trigrams(query)), trigrams(text)
-    hits = [i for i, t in enumerate(line) if t in want]
-    best = 0.0
+    want, line = frozenset(trigrams(query)), trigrams(text)
+    hits, best = [i for i, t in enumerate(line) if t in want], 0.0
     for n, a in enumerate(hits):
+        if (len(hits) - n) <= best * len(want):
+            break
         extent, common, at = set(), set(), a
         for b in hits[n:]:
             extent.update(line[at : b + 1])

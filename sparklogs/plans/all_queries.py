@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparklogs.plans import log_queries
+from sparklogs.plans import eval_queries, log_queries
 from sparklogs.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "log_queries"]
+__all__ = ["ORACLES", "QUERIES", "eval_queries", "log_queries"]
