@@ -158,9 +158,9 @@ def validate_answers(spark, sf_dir):
     return evidence.validate_answers(_answers(spark, sf_dir), _evidence(spark, sf_dir))
 
 
-@query(f"""WITH {ANSWERS_SQL}, p AS (SELECT a.id, a.root_cause, a.confidence AS given, a.gaps, list_distinct(list_append(chain, trigger_id)) AS cited, (SELECT count(*) FROM evidence e WHERE e.investigation_id = a.id) AS n,
-    (SELECT coalesce(bool_or(contains(message, 'part ' || a.id || ' ')), false) FROM evidence e WHERE e.investigation_id = a.id) AS named,
-    len(list_filter(affected, lambda s: NOT list_contains((SELECT list(service) FROM evidence e WHERE e.investigation_id = a.id), s) AND NOT contains((SELECT string_agg(message, ' ') FROM evidence e WHERE e.investigation_id = a.id), s))) AS unseen FROM answers a),
+@query(f"""WITH {ANSWERS_SQL}, ev AS (SELECT investigation_id AS id, count(*) AS n, list(service) AS services, string_agg(message, ' ') || ' ' AS body FROM evidence GROUP BY 1),
+  p AS (SELECT a.id, a.root_cause, a.confidence AS given, a.gaps, list_distinct(list_append(chain, trigger_id)) AS cited, coalesce(n, 0) AS n, coalesce(contains(body, 'part ' || a.id || ' '), false) AS named,
+    len(list_filter(affected, lambda s: NOT list_contains(services, s) AND NOT contains(body, s))) AS unseen FROM answers a LEFT JOIN ev USING (id)),
   r0 AS (SELECT *, CASE given WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 0 END AS r, CASE WHEN given = 'sure' THEN ['bad confidence'] ELSE [] END AS notes FROM p),
   r1 AS (SELECT *, n = 0 AND r > 0 AS hit FROM r0), s1 AS (SELECT * REPLACE (CASE WHEN hit THEN 0 ELSE r END AS r, CASE WHEN hit THEN list_append(notes, 'no evidence') ELSE notes END AS notes, CASE WHEN hit THEN list_append(gaps, 'no evidence') ELSE gaps END AS gaps) FROM r1),
   r2 AS (SELECT * EXCLUDE hit, n > 0 AND NOT named AND r > 0 AS hit FROM s1), s2 AS (SELECT * REPLACE (CASE WHEN hit THEN 0 ELSE r END AS r, CASE WHEN hit THEN list_append(notes, 'no entity of the question in the evidence') ELSE notes END AS notes, CASE WHEN hit THEN list_append(gaps, 'no entity of the question in the evidence') ELSE gaps END AS gaps) FROM r2),
