@@ -120,20 +120,24 @@ def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any run of a sequence in O(1), by prefix sums; ``seed`` picks the function."""
+    """Polynomial hashes modulo 2**64 of any run of a sequence in O(1), by prefix sums.
+
+    ``seed`` picks the table that bytes go through. All share one base and so one table of its powers, which is as long
+    as the longest batch that the process has seen.
+    """
+
+    up = down = np.ones(1, np.uint64)
 
     def __init__(self, seed: int):
-        step = (_ODD * (2 * seed + 1) | 5) % 2**64
-        self.step, self.back = np.uint64(step), np.uint64(pow(step, -1, 2**64))
-        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) <= n:
-            for name, by in (("up", self.step), ("down", self.back)):
-                powers = np.full(n + 1 + n // 4, by, np.uint64)
+        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed) * np.uint64(0xA0761D6478BD642F))
+
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        if len(cls.up) <= n:
+            for name, by in (("up", _ODD), ("down", pow(_ODD, -1, 2**64))):
+                powers = np.full(n + 1 + n // 8, by, np.uint64)
                 powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
+                setattr(cls, name, np.multiply.accumulate(powers, out=powers))
 
     def runs(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of ``values[start:end]`` for each pair; bytes go through a random table, 64-bit values as they are."""
@@ -141,14 +145,13 @@ class Rolling:
         self._grow(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.table[values] if values.dtype == np.uint8 else values) * self.up[:n], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(_ODD))
+        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 _ROLLING: dict[int, Rolling] = {}
 
 
 def rolling(seed: int = 1) -> Rolling:
-    """One per process and seed: its table of powers is reused by every batch."""
     return _ROLLING.setdefault(seed, Rolling(seed))
 
 

@@ -27,7 +27,7 @@ CLASS_ROWS = 10_000
 FIT_ROWS = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MERGE = 1 << 21
+_MERGE = 1 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -69,7 +69,7 @@ def gram_counts(tagged: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=1 << 20):
                 words = Words(part.column("text"))
                 label = part.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)[words.text_of()]
                 chosen, which = distinct_words(words)
@@ -170,11 +170,12 @@ def text_features(texts: pa.Array, tables: tuple[np.ndarray, ...]) -> np.ndarray
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
-    """Weights and bias of a ridge logistic regression, by Newton steps; zero weights if a class is missing."""
+    """Weights and bias of a ridge logistic regression, by Newton steps. If a class is missing, nothing can be told apart:
+    the weights are zero and the bias says no."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     if not len(y) or y.min() == y.max():
-        w[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+        w[-1] = -1.0
         return w
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -188,8 +189,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_R
     names; ``labels`` has doc_id, toxic.
 
     Only labels whose crc32(doc_id as text) mod 5 is not 0 are learnt from; a document with several labels counts as
-    toxic if one says so. Texts without words (null, empty) get the score of zero evidence; without labels all scores
-    are 0.5; repeated rows score alike; an empty table gives no rows.
+    toxic if one says so. Texts without words (null, empty) get the score of zero evidence; without labels of
+    both classes to fit on no text is toxic; repeated rows score alike; an empty table gives no rows.
     """
     docs = docs.drop("score", "held_out", "predicted")
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
@@ -204,7 +205,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_R
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=1 << 20):
                 x = text_features(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(x[:, k]) for k in range(4))], ["toxic", *names])
 
@@ -215,7 +216,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_R
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=1 << 20):
                 z = text_features(part.column("text"), shared.value) @ weight[:-1] + weight[-1]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], schema.names)
 
