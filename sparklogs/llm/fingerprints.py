@@ -95,8 +95,12 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
     edges = sorted(set(rows.select(F.percentile_approx("key", [k / parts for k in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
-    part = F.pandas_udf(lambda key: pd.Series(len(edges) - np.searchsorted(edges, key.to_numpy())), "int")(F.col("key"))
-    ranged = rows.withColumn("part", part)
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series) -> pd.Series:
+        return pd.Series(len(edges) - np.searchsorted(edges, key.to_numpy()))
+
+    ranged = rows.withColumn("part", part("key"))
     order = F.struct("key", F.xxhash64("text").alias("tie"))
     heads = [(r["part"], r["top"]["key"], r["top"]["tie"]) for r in ranged.groupBy("part").agg(F.max(order).alias("top")).orderBy("part").collect()]
     if not heads:
