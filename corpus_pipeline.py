@@ -12,15 +12,23 @@ from sparklogs.llm import lines, mixing, ngram_join, packing, toxicity
 from sparklogs.llm.common import written
 
 
+def _shielded(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with columns other than doc_id and text renamed, out of the way of what an operator adds, and the way back."""
+    names = {c: c if c in ("doc_id", "text") else f"_column_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select([F.col(c).alias(to) for c, to in names.items()]), [F.col(to).alias(c) for c, to in names.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts as toxic go; the rest stays as it is."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score_toxicity(docs, labels).where("predicted = 0").select(docs.columns)
+    rows, back = _shielded(docs)
+    return toxicity.score_toxicity(rows, labels).where("predicted = 0").select(back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go; a document of which nothing else was left goes with them."""
-    kept = lines.dedup_lines(docs).where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^ \t-\r]")))
+    rows, back = _shielded(docs)
+    kept = lines.dedup_lines(rows).where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^ \t-\r]"))).select(back)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(docs.columns)
@@ -35,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target rate and the balanced sample ask for: not at all, once or up to four times."""
+    """Each document as often as its source's target rate and the balanced sample ask for: not at all, or up to three times."""
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     sized = written(mixing.word_sizes(keyed, ["doc_id", "source", "_text_hash"]), "sizes")
     copies = mixing.mix_sources(sized).groupBy(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
