@@ -27,8 +27,11 @@ QUERY_BLOCK = 4096
 
 
 def ranked(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The best k of each key by score, ties by chunk_id, with rank from 0."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id"))
+    """The best k of each key by score, ties by chunk_id, with rank from 0.
+
+    Scores that agree to nine digits are ties: the order in which Spark adds up a score may change its last digits.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return scores.withColumn("rank", place - 1).where(F.col("rank") < k)
 
 
@@ -52,7 +55,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = FAN_OUT) -> Dat
                 names = np.array(batch.column("chunk_id").to_pylist(), object)
                 scores = np.concatenate([best_score, matrix @ flat.T], axis=1)
                 every = np.concatenate([best_id, np.broadcast_to(names, (len(ids), len(names)))], axis=1)
-                order = np.lexsort((every.astype(str) if every.dtype == object and isinstance(names[0], str) else every.astype(np.int64), -scores), axis=1)[:, :k]
+                order = np.lexsort((every.astype(str) if every.dtype == object and isinstance(names[0], str) else every.astype(np.int64), -np.round(scores, 9)), axis=1)[:, :k]
                 best_score, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
             if best_score.shape[1]:
                 n = best_score.shape[1]

@@ -33,7 +33,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
   s AS (SELECT query_id, 'v' || vec_id AS chunk_id, list_dot_product(q.e, v.e) AS x FROM q, v)
-  SELECT query_id, chunk_id, round(x, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk_id) - 1 AS INTEGER) AS rank FROM s QUALIFY rank < 20""")
+  SELECT query_id, chunk_id, round(x, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) - 1 AS INTEGER) AS rank FROM s QUALIFY rank < 20""")
 def vector_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -48,7 +48,7 @@ BM25_SQL = """toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\
   sc AS (SELECT query_id, 'd' || doc_id AS chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS x FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN sz USING (doc_id), st GROUP BY 1, 2)"""
 
 
-@query(f"WITH {Q_SQL}, {BM25_SQL} SELECT query_id, chunk_id, round(x, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk_id) <= 20")
+@query(f"WITH {Q_SQL}, {BM25_SQL} SELECT query_id, chunk_id, round(x, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) <= 20")
 def bm25_topk(spark, sf_dir):
     found = retrieval.bm25_topk(_queries(spark, sf_dir, 8), _documents(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
@@ -63,7 +63,7 @@ FTS_SQL = """w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '
   s AS (SELECT query_id, chunk_id, sum(x) AS x FROM m WHERE NOT no GROUP BY ALL HAVING count(DISTINCT clause) = 2)"""
 
 
-@query(f"WITH {FTS_SQL} SELECT query_id, chunk_id, round(x, 4) AS score FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.no AND m.query_id = s.query_id AND m.chunk_id = s.chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk_id) <= 20")
+@query(f"WITH {FTS_SQL} SELECT query_id, chunk_id, round(x, 4) AS score FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.no AND m.query_id = s.query_id AND m.chunk_id = s.chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) <= 20")
 def fts_topk(spark, sf_dir):
     t = retrieval.tokens(F.col("text"))
     said = F.concat(t[0], F.lit(' "'), t[1], F.lit(" "), t[2], F.lit('" or error -'), t[4])

@@ -51,7 +51,7 @@ def test_time_zone(spark):
         ("commit abc1234 not 1717000000", ["abc1234"]),
         ("order-77 ORDER-77 in cart-svc2", ["order-77"]),
         ("self-service post-mortem", []),
-        ("req_abc123 and blk_-99", ["req_abc123"]),
+        ("req_abc123 and blk_-99", ["req_abc123", "blk_-99"]),
         (None, []),
     ],
 )
@@ -60,8 +60,8 @@ def test_entities(query, found):
 
 
 def test_extra_pattern_and_column(spark):
-    rows = spark.createDataFrame([("x blk_-99",)], "query string")
-    assert intent.extract_entities(rows, "query", [], [r"\bblk_-?\d+"]).first().entities == ["blk_-99"]
+    rows = spark.createDataFrame([("x zz:99",)], "query string")
+    assert intent.extract_entities(rows, "query", [], [r"\bzz:\d+"]).first().entities == ["zz:99"]
 
 
 def test_services_by_name_and_by_spelling(spark):
