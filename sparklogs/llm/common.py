@@ -129,7 +129,7 @@ class Rolling:
     up = down = np.ones(1, np.uint64)
 
     def __init__(self, seed: int):
-        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed) * np.uint64(0xA0761D6478BD642F))
+        self.table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed * 0xA0761D6478BD642F % 2**64))
 
     @classmethod
     def _grow(cls, n: int) -> None:
