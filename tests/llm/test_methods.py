@@ -194,6 +194,24 @@ def test_neighbours_like_brute_force():
     assert [round(score[d], 3) for d in index.neighbours(0)[:5]] == [round(score[d], 3) for d in best]
 
 
+def test_neighbours_use_every_word_and_fill_a_long_window():
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(400)]
+    texts = [" ".join(rng.sample(words, 60)) for _ in range(80)]
+    lists = packing.term_lists(pa.array(texts))
+    df = np.zeros(packing.SKETCH)
+    for bucket, _ in lists:
+        df[bucket] += 1
+    idf = np.log1p((80 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    index = packing.Index(lists, idf, 60.0)
+    score = {d: sum(float(idf[t]) for t in np.intersect1d(lists[0][0], lists[d][0])) for d in range(1, 80)}
+    best = sorted((d for d in score if score[d]), key=lambda d: (-round(score[d], 6), d))
+    index.unused[0] = False
+    assert index.neighbours(0) == best and len(best) > 16
+    index.unused[0] = True
+    assert list(packing.order_by_retrieval(index, [40] * 80))[: 1 + min(len(best), 51)] == [0, *best[:51]]
+
+
 def test_fingerprints_see_local_edits():
     random.seed(8)
     text = "".join(random.choice("abcdefgh ") for _ in range(6000))
