@@ -212,6 +212,21 @@ def test_neighbours_use_every_word_and_fill_a_long_window():
     assert list(packing.order_by_retrieval(index, [40] * 80))[: 1 + min(len(best), 51)] == [0, *best[:51]]
 
 
+@pytest.mark.parametrize("shard_rows", [4096, 10])
+def test_related_documents_of_different_splits_share_windows(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(packing, "SHARD_ROWS", shard_rows)
+    rng = random.Random(9)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(20)]
+    rows = [(100 * split + k, " ".join(rng.sample(words, 20))) for split in range(4) for k, words in enumerate(topics)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    pieces = packing.pack_documents(docs, 512).toPandas()
+    assert (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all() and pieces["doc_id"].nunique() == 80
+    assert (pieces.groupby("sequence_id")["length"].sum().isin([2**k for k in range(10)])).all()
+    shared = pieces.merge(pieces, on="sequence_id")
+    near = shared[(shared["doc_id_x"] % 100 == shared["doc_id_y"] % 100) & (shared["doc_id_x"] != shared["doc_id_y"])]
+    assert near["doc_id_x"].nunique() >= 60
+
+
 def test_fingerprints_see_local_edits():
     random.seed(8)
     text = "".join(random.choice("abcdefgh ") for _ in range(6000))
