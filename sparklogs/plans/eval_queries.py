@@ -18,8 +18,9 @@ def _text(*parts) -> F.Column:
 
 # Retrieval: documents are the chunks, benchmark items the queries
 
-def _queries(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
-    said = F.array_join(F.slice(F.split("text", r"\s+"), 1, words), " ")
+def _queries(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Whole benchmark texts, or their first words where the SQL asks for no more."""
+    said = F.col("text") if words is None else F.array_join(F.slice(F.split("text", r"\s+"), 1, words), " ")
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), said.alias("query"))
 
 
@@ -97,12 +98,12 @@ def apply_boosts(spark, sf_dir):
 
 @query()
 def hybrid_search(spark, sf_dir):
-    return retrieval.hybrid_search(_queries(spark, sf_dir, 8), embed_texts(_documents(spark, sf_dir), "text"))
+    return retrieval.hybrid_search(_queries(spark, sf_dir), embed_texts(_documents(spark, sf_dir), "text"))
 
 
 @query()
 def hybrid_search_diverse(spark, sf_dir):
-    return retrieval.hybrid_search_diverse(_queries(spark, sf_dir, 8), embed_texts(_documents(spark, sf_dir), "text"))
+    return retrieval.hybrid_search_diverse(_queries(spark, sf_dir), embed_texts(_documents(spark, sf_dir), "text"))
 
 
 @query("WITH " + CHUNKS_SQL + """, e AS (SELECT n_nationkey AS query_id, 'der-' || n_nationkey AS entity FROM nation),

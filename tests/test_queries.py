@@ -50,3 +50,14 @@ def test_other_queries_run(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "hybrid_search_diverse"])
+def test_hybrid_search_asks_with_whole_texts(spark, monkeypatch, name):
+    from sparklogs.operators import retrieval
+
+    asked = {}
+    monkeypatch.setattr(retrieval, name, lambda queries, chunks: asked.setdefault("queries", queries))
+    QUERIES[name](spark, DATA)
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert {r.query_id: r["query"] for r in asked["queries"].collect()} == texts
