@@ -4,68 +4,90 @@ A hash of the last seven bytes decides where a piece ends, so an edit changes th
 piece gives one character; the signature is taken at the coarsest block size that still gives enough pieces, and at the
 next coarser one, so that texts of somewhat different length still share a block size. Likeness is one minus the edit
 distance of two signatures at a common block size, over the longer length.
+
+A piece has at least a quarter and at most eight times the block size, whatever the text repeats; so a signature never
+has more than a few thousand characters, and comparing two is bounded too.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklogs.llm.common import BATCH_BYTES, buffers, mix, rolling
+from sparklogs.llm.common import BATCH_BYTES, buffers, extended, mix
 
 WINDOW = 7
 LEAST_PIECES = 32
-_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
+_STEP = 1 << 20
+
+
+def triggers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a window of seven bytes ends whose hash has at least two low zero bits, and how many it has (31 for zero)."""
+    ends, levels = [], []
+    for at in range(0, len(raw), _STEP):
+        part = _TABLE[raw[max(at - WINDOW + 1, 0) : at + _STEP]]
+        window = np.zeros(len(part), np.uint32)
+        for k in range(min(WINDOW, len(part))):
+            window[k:] += part[: len(part) - k] * np.uint32(pow(0x01000193, k, 2**32))
+        window ^= window >> np.uint32(15)
+        window *= np.uint32(0x85EBCA6B)
+        window ^= window >> np.uint32(13)
+        low = window & (~window + np.uint32(1))
+        low[window == 0] = 1 << 31
+        found = np.flatnonzero(low >= 4)
+        found = found[found >= (WINDOW - 1 if at else 0)]
+        levels.append(np.log2(low[found].astype(np.float64)).astype(np.int8))
+        ends.append(found + max(at - WINDOW + 1, 0))
+    return np.concatenate(ends or [np.zeros(0, np.int64)]), np.concatenate(levels or [np.zeros(0, np.int8)])
+
+
+def piece_ends(marks: list[int], size: int, level: int) -> list[int]:
+    """Ends of the pieces of a text of ``size`` bytes at block size 2**level; ``marks`` are the bytes that may end one.
+
+    The next end is the first mark that gives at least a quarter of the block size, or eight times the block size.
+    """
+    least, most, at, k, out = max(1, (1 << level) // 4), 8 << level, 0, 0, []
+    while at < size:
+        k = bisect_left(marks, at + least - 1, k)
+        at = min(marks[k] + 1 if k < len(marks) else size, at + most, size)
+        out.append(at)
+    return out
 
 
 def fingerprints(texts: pa.Array) -> list[str]:
-    """``level:signature:coarser signature`` of each whole text; the level is the binary logarithm of the block size."""
+    """``level:signature:coarser signature`` of each whole text; the level is the binary logarithm of the block size.
+
+    The level is the coarsest that gives ``LEAST_PIECES`` pieces, 2 if none does. An empty text has no piece.
+    """
     raw, at = buffers(texts)
-    n, out = len(raw), []
-    window = np.zeros(n, np.uint32)
-    table = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)[raw]
-    for k in range(min(WINDOW, n)):
-        window[k:] += table[: n - k] * np.uint32(pow(0x01000193, k, 2**32))
-    window ^= window >> np.uint32(15)
-    window *= np.uint32(0x85EBCA6B)
-    window ^= window >> np.uint32(13)
-    low = window & (~window + np.uint32(1))  # the lowest set bit: a piece of block size 2**k ends where it is 2**k or more
-    low[window == 0] = 1 << 31
-    ends = np.flatnonzero(low >= 4)
-    level = np.log2(low[ends].astype(np.float64)).astype(np.int8)
+    ends, levels = triggers(raw)
     cut = np.searchsorted(ends, at)
-    pieces = rolling(11)
+    out = []
     for i in range(len(at) - 1):
-        a, b = cut[i], cut[i + 1]
-        mine, lev, first, last = ends[a:b], level[a:b], at[i], at[i + 1]
+        size = int(at[i + 1] - at[i])
+        mine, lev = ends[cut[i] : cut[i + 1]] - at[i], levels[cut[i] : cut[i + 1]]
         # bytes before a text belong to its neighbour in the batch: the first six positions do not trigger
-        ok = mine >= first + WINDOW - 1
-        mine, lev = mine[ok], lev[ok]
-        counts = np.bincount(lev, minlength=34)[::-1].cumsum()[::-1]
-        k = max(2, int(np.flatnonzero(counts >= LEAST_PIECES)[-1]) if counts[0] >= LEAST_PIECES else 2)
-        signature = []
-        for size in (k, k + 1):
-            stop = mine[lev >= size] + 1
-            if last > first and (not len(stop) or stop[-1] != last):
-                stop = np.append(stop, last)
-            start = np.concatenate([[first], stop[:-1]]) if len(stop) else stop
-            signature.append((start, stop))
-        out.append((k, *signature))
-    starts = np.concatenate([x[j][0] for x in out for j in (1, 2)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    stops = np.concatenate([x[j][1] for x in out for j in (1, 2)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    text = _DIGITS[(pieces.runs(raw, starts, stops) & np.uint64(63)).astype(np.int64)].tobytes().decode()
-    found, done = [], 0
-    for k, one, two in out:
-        a, b = done + len(one[0]), done + len(one[0]) + len(two[0])
-        found.append(f"{k}:{text[done:a]}:{text[a:b]}")
-        done = b
-    return found
+        mine, lev = mine[mine >= WINDOW - 1], lev[mine >= WINDOW - 1]
+        level = max(2, size.bit_length() - 4)
+        coarse = piece_ends(mine[lev >= level + 1].tolist(), size, level + 1)
+        while True:
+            fine = piece_ends(mine[lev >= level].tolist(), size, level)
+            if level == 2 or len(fine) >= LEAST_PIECES:
+                break
+            level, coarse = level - 1, fine
+        own = memoryview(raw)[int(at[i]) : int(at[i + 1])]
+        names = ["".join([_DIGITS[xxhash.xxh3_64_intdigest(own[a:b]) & 63] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]) if cuts else "" for cuts in (fine, coarse)]
+        out.append(f"{level}:{names[0]}:{names[1]}")
+    return out
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -86,29 +108,46 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+RANGES_A_SPLIT = 4
+SAMPLE_A_RANGE = 64
+
+
+def _order_keys(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Pairs of signed numbers as 16 bytes that sort like them."""
+    flat = np.stack([key, tie], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.frombuffer(flat.astype(">u8").tobytes(), "S16")
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id and text in ranges by descending doc_id, each range followed by the row that opens the next one.
+    """doc_id and text in ranges by descending (doc_id, hash of the text), each followed by the row that opens the next.
 
-    Columns: doc_id, text, part, seam (true for that extra row). The ranges come from approximate quantiles of doc_id,
-    so at most ``parts`` rows are added and sent to the driver, whatever the number of documents.
+    Columns: doc_id, text, key, tie, part, seam (true for that extra row). The ranges come from a sample of about
+    ``SAMPLE_A_RANGE`` rows a range, which only decides how even they are; many rows with one doc_id (or none) are
+    parted by their texts. At most ``parts`` rows are added and sent to the driver, whatever the number of documents.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    edges = sorted(set(rows.select(F.percentile_approx("key", [k / parts for k in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
-
-    @F.pandas_udf("int")
-    def part(key: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, key.to_numpy()))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("tie"))
+    count = rows.count() if parts > 1 else 0
+    edges = np.zeros(0, "S16")
+    if count:
+        sample = rows.select("key", "tie").where(F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE_A_RANGE * parts / count) * 2**30)).limit(2 * SAMPLE_A_RANGE * parts).toArrow()
+        keys = np.sort(_order_keys(sample["key"].to_numpy(), sample["tie"].to_numpy()))
+        edges = np.unique(keys[np.arange(1, parts) * len(keys) // parts]) if len(keys) else edges
+    schema = extended(rows, part="int")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = len(edges) - np.searchsorted(edges, _order_keys(batch.column("key").to_numpy(), batch.column("tie").to_numpy()), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], schema.names)
 
-    ranged = rows.withColumn("part", part("key"))
-    order = F.struct("key", F.xxhash64("text").alias("tie"))
-    heads = [(r["part"], r["top"]["key"], r["top"]["tie"]) for r in ranged.groupBy("part").agg(F.max(order).alias("top")).orderBy("part").collect()]
+    ranged = rows.mapInArrow(place, schema)
+    narrow = rows.select("doc_id", F.lit("").alias("text"), "key", "tie").mapInArrow(place, schema)
+    heads = [(r["part"], *r["top"]) for r in narrow.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("top")).orderBy("part").collect()]
     if not heads:
-        return ranged.withColumns({"tie": F.lit(0).cast("long"), "seam": F.lit(False)})
+        return ranged.withColumn("seam", F.lit(False))
     seams = docs.sparkSession.createDataFrame([(k, t, heads[i - 1][0]) for i, (_, k, t) in enumerate(heads)], "key long, tie long, to int")
-    tied = ranged.withColumn("tie", F.xxhash64("text"))
-    extra = tied.join(F.broadcast(seams), ["key", "tie"]).drop("part").withColumnRenamed("to", "part").dropDuplicates(["part"])
-    return tied.withColumn("seam", F.lit(False)).unionByName(extra.withColumn("seam", F.lit(True)))
+    extra = rows.join(F.broadcast(seams), ["key", "tie"]).dropDuplicates(["to"]).select("doc_id", "text", "key", "tie", F.col("to").alias("part"), F.lit(True).alias("seam"))
+    return ranged.withColumn("seam", F.lit(False)).unionByName(extra)
 
 
 def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -117,9 +156,9 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     Edited: the last third of the code points replaced by as many (or all) of the first of the next document, by
     descending doc_id, after the last the first; a lone document follows itself. Ties of doc_id go by a hash of the
     text; null text is empty, a null doc_id comes last; repeated rows follow each other; no rows give none. ``parts``
-    ranges (as many as the scan has splits, by default, at most 20,000) are sorted on their own.
+    ranges (four for each split of the scan, by default, at most 20,000) are sorted on their own.
     """
-    parts = parts or min(20_000, max(12, docs.rdd.getNumPartitions()))
+    parts = parts or min(20_000, RANGES_A_SPLIT * max(6, docs.rdd.getNumPartitions()))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -150,6 +189,6 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
         if held:
             yield settle(held)
 
-    ordered = with_next(docs, parts).repartition("part").sortWithinPartitions("part", F.col("seam").asc(), F.col("key").desc(), F.col("tie").desc())
+    ordered = with_next(docs, parts).repartition(parts, "part").sortWithinPartitions("part", F.col("seam").asc(), F.col("key").desc(), F.col("tie").desc())
     found = ordered.select("doc_id", "text", "part", "seam").mapInArrow(run, schema)
     return found.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_fingerprint"))})

@@ -2,8 +2,9 @@
 
 Each source gets a target size; a document is taken ``floor(rate)`` times plus once more with its fractional inclusion
 probability. The flight moves those probabilities through the null space of two balancing constraints (how many
-documents, how many words), three documents at a time, until each is 0 or 1. Blocks of documents fly on their own; at
-most two of a block stay open, fly once more per source, and at most two of a source are then landed.
+documents, how many words), three documents at a time, until each is 0 or 1. Blocks of documents fly on their own; at most two
+of a block stay open and fly once more per source, together with one block that has waited. At most two of a source are
+then landed, and pairs of documents of that last flight exchanged until the words are right too.
 """
 
 from __future__ import annotations
@@ -87,8 +88,34 @@ def land(size: list[float], p: list[float]) -> list[float]:
     return min(choices, key=off)
 
 
+def swap(size: np.ndarray, taken: np.ndarray, off: float, most: int = 64) -> None:
+    """Exchange taken and untaken documents in place, pair by pair, until ``off`` words fewer are taken, as nearly as can be.
+
+    One that is much larger than all others keeps the flight's last place; whatever it is rounded to, others make up for
+    it, and as many documents are taken as before.
+    """
+    for _ in range(most):
+        sign = 1 if off > 0 else -1
+        give, get = np.flatnonzero(taken == (1 if sign > 0 else 0)), np.flatnonzero(taken == (0 if sign > 0 else 1))
+        if not len(give) or not len(get):
+            return
+        get = get[np.argsort(size[get], kind="stable")]
+        # what leaves minus what comes in its place, as near below the difference as can be
+        at = np.searchsorted(size[get], size[give] - abs(off))
+        at_ok = np.minimum(at, len(get) - 1)
+        change = np.where(at < len(get), size[give] - size[get[at_ok]], 0)
+        best = int(np.argmax(change))
+        if change[best] <= 0:
+            return
+        taken[give[best]], taken[get[at_ok[best]]] = (0, 1) if sign > 0 else (1, 0)
+        off -= sign * change[best]
+
+
 def _flights(last: bool):
-    """A mapInArrow function over rows sorted by (source, block): flies each block, keeping three rows at a time open."""
+    """A mapInArrow function over rows sorted by (source, block): flies each block, keeping three rows at a time open.
+
+    The last flight also lands what is left open, and exchanges documents until the words are right.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -97,10 +124,15 @@ def _flights(last: bool):
             size = table["size"].to_numpy().astype(float)
             p = table["open"].to_numpy().copy()
             draw = mix(table["doc_id"].fill_null(0).to_numpy().view(np.uint64) + np.uint64(77)) / 2.0**64
+            drawn, wanted = np.flatnonzero((p > 0) & (p < 1)), float((size * p).sum())
             for k, q in fly(zip(size.tolist(), p.tolist(), draw.tolist(), strict=True)):
                 p[k] = q
-            if last and (rest := np.flatnonzero((p > 0) & (p < 1)).tolist()):
-                p[rest] = land(size[rest].tolist(), p[rest].tolist())
+            if last and len(drawn):
+                rest = np.flatnonzero((p > 0) & (p < 1)).tolist()
+                p[rest] = land(size[rest].tolist(), p[rest].tolist()) if rest else []
+                own = p[drawn]
+                swap(size[drawn], own, float((size * p).sum()) - wanted)
+                p[drawn] = own
             return table.set_column(table.schema.get_field_index("open"), "open", pa.array(p)).combine_chunks().to_batches()[0]
 
         for batch in batches:
@@ -148,10 +180,11 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: floa
     rated = sized.join(rates, same).drop(rates["source"])
     whole = F.floor(F.col("rate") + 1e-12)
     ready = rated.select(*sized.columns, "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("open"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    order = ["source", "block", "doc_id", "size"]
-    first = ready.repartition("source", "block").sortWithinPartitions(*order).mapInArrow(_flights(False), ready.schema)
+    # block 0 of each source waits for what the others leave open, so that the landing has documents to choose from
+    order = ["source", "block", F.desc("size"), "doc_id"]
+    first = ready.where("block > 0").repartition("source", "block").sortWithinPartitions(*order).mapInArrow(_flights(False), ready.schema)
     first = written(first, "flight")
     is_open = (F.col("open") > 0) & (F.col("open") < 1)
-    rest = first.where(is_open).withColumn("block", F.lit(0)).repartition("source").sortWithinPartitions(*order)
+    rest = first.where(is_open).withColumn("block", F.lit(0)).unionByName(ready.where("block = 0")).repartition("source").sortWithinPartitions(*order)
     landed = first.where(~is_open).unionByName(rest.mapInArrow(_flights(True), first.schema))
     return landed.withColumn("copies", (F.col("whole") + F.round("open")).cast("long")).drop("whole", "open", "block")

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklogs.llm.common import Words, extended, rolling, slices
+from sparklogs.llm.common import Words, extended, rolling, slices, word_hashes, written
 from sparklogs.llm.toxicity import fold
 
 BUCKETS = 1 << 18
 FIT_ROWS = 12_000
+#: So many distinct buckets of fitting rows go to the driver at most, 8 bytes each.
+FIT_ENTRIES = 8 << 20
 SCALE = 10.0
 #: Kinds of bytes: upper case, lower case or part of a longer character, digit, and each other sign by itself.
 _KIND = np.arange(256, dtype=np.uint8)
@@ -27,7 +29,7 @@ _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 1, 2, 2, 3
 
 def hashed_words(words: Words) -> np.ndarray:
     """Two buckets for each word: of the word itself and of its shape, where equal kinds in a row count once."""
-    own = rolling(8).runs(words.raw, words.start, words.end)
+    own = word_hashes(words, 8)
     kind = _KIND[words.raw]
     new = np.ones(len(kind), bool)
     new[1:] = kind[1:] != kind[:-1]
@@ -51,8 +53,8 @@ def sparse_rows(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 150, ridge: float = 1e-6, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by gradient steps with adapted rates; thresholds stay ordered as a first one and
-    the logarithms of the gaps."""
-    weight, base = np.zeros(BUCKETS), np.zeros(max(grades - 1, 1))
+    the logarithms of the gaps. Without rows the weights are zero and the thresholds 0, 1, 2 and so on."""
+    weight, base = np.zeros(BUCKETS), np.arange(max(grades - 1, 1), dtype=float)
     n = len(rows)
     if not n:
         return weight.astype(np.float32), base
@@ -91,6 +93,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, select_abo
     """The rows of ``docs`` with held_out, expected_grade (0 to grades - 1), tail_probability = P(grade > select_above)
     and keep (1 if that is at least one half), which replace columns of these names. ``ratings`` has doc_id and grade, an integer from 0.
 
+    Without ratings every text gets the thresholds 0, 1, ... alone, and so keep = 1 by the default ``select_above``.
     Ratings whose crc32(doc_id as text) mod 5 is 0 are held out. A document rated twice counts with its lower grade. A
     text without words (null, empty) gets the thresholds alone; repeated rows score alike; an empty table gives no rows.
     """
@@ -102,10 +105,18 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, select_abo
         for batch in batches:
             for part in slices(batch):
                 rows, values = sparse_rows(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(rows, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["grade", "row", "value"])
-
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text")  # fit_rows at most
-    got = chosen.mapInArrow(collect, "grade int, row array<int>, value array<float>").toArrow()
+                size = pa.array([len(r) for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("draw"), part.column("grade"), size, pa.array(rows, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["draw", "grade", "n", "row", "value"]
+                )
+
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("draw"), "grade", "text")  # fit_rows at most
+    hashed = written(chosen.mapInArrow(collect, "draw long, grade int, n long, row array<int>, value array<float>"), "hashed")
+    # a document that stands there repeatedly counts once; of very long ones fewer fit
+    sizes = hashed.groupBy("draw").agg(F.min("n").alias("n")).orderBy("draw").limit(fit_rows).toArrow()
+    fitting = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), FIT_ENTRIES, "right"))
+    last = sizes["draw"][min(max(fitting, 1), len(sizes)) - 1].as_py() if len(sizes) else None
+    got = hashed.where(F.col("draw") <= F.lit(last)).dropDuplicates(["draw"]).orderBy("draw").select("grade", "row", "value").toArrow()
     rows, values = ([x.values.to_numpy() for x in got[k]] for k in ("row", "value"))
     weight, cuts = fit_ordinal(rows, values, got["grade"].to_numpy().astype(np.int64), grades)
     shared = docs.sparkSession.sparkContext.broadcast(weight)

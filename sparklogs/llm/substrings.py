@@ -2,13 +2,14 @@
 
 The corpus is sharded by content. The smallest hash of 8 words in a window is its anchor; neighbouring windows of one
 document with the anchor at the same place form a segment, and equal windows always have equal anchors, so all places where a
-window can recur are in different segments of one shard. Each shard builds a compressed FM-index (the Burrows-Wheeler transform of its segments in a
-wavelet matrix of bit vectors with rank counts); its documents' segments are streamed against it by backward search,
-whose matching statistics give the intervals at or above the threshold.
-
-Equal segments are counted before any shard is built, so copies cost one segment; a segment that occurs twice needs no
-search. An anchor with very many different segments (a passage that a large part of the corpus quotes) is sharded once
-more, by whole windows, and counted there.
+window can recur are in different segments of one shard. Each shard builds a compressed FM-index (the Burrows-Wheeler
+transform of its segments in a wavelet matrix of bit vectors with rank counts); all segments are streamed against it by
+backward search, whose matching statistics give the windows that occur at least twice, and so the intervals at or above
+the threshold.
+
+A segment that occurs several times is indexed once, with the number of its occurrences as its weight: the index counts
+weights, and it alone decides. The segments of an anchor with very many different ones (a passage that a large part of
+the corpus quotes) are cut into single windows, which are summed up and dealt to shards by their own content.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklogs.llm.common import Words, expand, rolling, signed, slices, written
+from sparklogs.llm.common import Words, expand, rolling, signed, slices, word_hashes, written
 
 WINDOW = 35
 GRAM = 8
 SHARD_WORDS = 400_000
+#: An anchor with more different segments than this is dealt out window by window.
 HOT_SEGMENTS = 3000
 
 
@@ -47,7 +49,7 @@ def segments(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
 
     A segment has at most ``window - gram + 1`` windows (28), so a mask of them fits in 64 bits.
     """
-    own = rolling(2).runs(words.raw, words.start, words.end)
+    own = word_hashes(words, 2)
     n, count = len(own), np.maximum(np.diff(words.first) - window + 1, 0)
     at = expand(words.first[:-1], count)
     if not len(at):
@@ -64,14 +66,21 @@ def segments(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     return text, at[first] - words.first[text], size, signed(anchor[first]), signed(content)
 
 
+def window_hashes(words: Words, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words of the windows that begin at the given words."""
+    own = word_hashes(words, 2), word_hashes(words, 21)
+    return tuple(signed(rolling(4).runs(x, first, first + window)) for x in own)
+
+
 class FMIndex:
-    """Counts occurrences of word sequences in a set of segments by backward search.
+    """Counts occurrences of word sequences in a set of weighted segments by backward search.
 
-    ``symbols`` are dense word numbers from 1, segments one after another, each closed by a 0. The transform is kept as
-    a wavelet matrix: per bit of the alphabet one packed bit vector with a running count for every 64 positions.
+    ``symbols`` are dense word numbers from 1, segments one after another, each closed by a 0; ``weights`` has one number
+    for each symbol. The transform is kept as a wavelet matrix: per bit of the alphabet one packed bit vector with a
+    running count, in 32 bits, for every 64 positions.
     """
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, weights: np.ndarray | None = None):
         n = len(symbols)
         stops = symbols == 0
         rank = symbols.astype(np.int64) + int(stops.sum())
@@ -89,6 +98,8 @@ class FMIndex:
             depth *= 2
             if not n or new[-1] == n - 1:
                 break
+        # weight of all suffixes before each place in their order
+        self.weight = np.concatenate([[0], np.cumsum(weights[order] if weights is not None else np.ones(n, np.int64))])
         column = symbols[order - 1]
         top = int(symbols.max(initial=0))
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=top + 1))[:-1]])
@@ -97,7 +108,7 @@ class FMIndex:
             on = (column >> bit & 1).astype(bool)
             packed = np.zeros(n // 64 + 1, np.uint64)
             packed.view(np.uint8)[: (n + 7) // 8] = np.packbits(on, bitorder="little")
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[:-1]
+            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.uint32)])[:-1]
             self.levels.append((bit, packed, counts, int(n - on.sum())))
             column = np.concatenate([column[~on], column[on]])
         self.base = self._descend(np.arange(top + 1), np.zeros(top + 1, np.int64))
@@ -105,7 +116,7 @@ class FMIndex:
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for bit, packed, counts, zeros in self.levels:
             cell = at >> 6
-            ones = counts[cell] + np.bitwise_count(packed[cell] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            ones = counts[cell].astype(np.int64) + np.bitwise_count(packed[cell] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
             at = np.where(symbol >> bit & 1, zeros + ones, at - ones)
         return at
 
@@ -113,6 +124,10 @@ class FMIndex:
         """Put ``symbol`` before the matched sequence: the new bound for each old bound of a suffix range."""
         return self.before[symbol] + self._descend(symbol, at) - self.base[symbol]
 
+    def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The weight of each suffix range."""
+        return self.weight[np.maximum(high, low)] - self.weight[low]
+
 
 def recurring_windows(index: FMIndex, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each segment ``symbols[first : first + size]`` a bit mask of its windows that occur twice or more.
@@ -130,7 +145,7 @@ def recurring_windows(index: FMIndex, symbols: np.ndarray, first: np.ndarray, si
         symbol = symbols[at]
         both = index.extend(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         new_low, new_high = both[: len(live)], both[len(live) :]
-        again = new_high - new_low >= 2
+        again = index.occurrences(new_low, new_high) >= 2
         hit = again & (end - at >= window - 1)
         mask[live[hit]] |= np.uint64(1) << (at[hit] - start[hit]).astype(np.uint64)
         back = np.minimum(end - 1, at + window - 1)
@@ -168,26 +183,26 @@ def _texts_of(batch: pa.RecordBatch, wanted: str) -> tuple[Words, pa.StructArray
 
 
 def _search(window: int):
-    """A mapInArrow function over segments sorted by anchor: whole anchors make a shard of about SHARD_WORDS words."""
+    """A mapInArrow function over segments sorted by shard: whole shard keys make a shard of about SHARD_WORDS words."""
 
     def shard(table: pa.Table) -> list[pa.RecordBatch]:
-        anchor, content = table["anchor"].to_numpy(), table["content"].to_numpy()
-        new = np.ones(len(anchor), bool)  # repeated rows give their segments several times
-        new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+        key, content = table["shard"].to_numpy(), table["content"].to_numpy()
+        new = np.ones(len(key), bool)  # repeated rows give their segments several times
+        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
         table = table.filter(pa.array(new)).combine_chunks()
         if not len(table):
             return []
         words = Words(table["words"].chunk(0))
         count = np.diff(words.first)
-        _, number = np.unique(rolling(2).runs(words.raw, words.start, words.end), return_inverse=True)
+        _, number = np.unique(word_hashes(words, 2), return_inverse=True)
         first = words.first[:-1] + np.arange(len(count))
         symbols = np.zeros(len(number) + len(count), np.int64)
         symbols[expand(first, count)] = number + 1
-        asked = np.flatnonzero(table["n"].to_numpy() == 1)
-        mask = recurring_windows(FMIndex(symbols), symbols, first[asked], count[asked], window)
-        found = asked[mask != 0]
-        rows = table.select(["anchor", "content"]).take(pa.array(found))
-        return rows.append_column("mask", pa.array(signed(mask[mask != 0]))).combine_chunks().to_batches()
+        weights = np.repeat(table["n"].to_numpy(), count + 1)
+        mask = recurring_windows(FMIndex(symbols, weights), symbols, first, count, window)
+        found = np.flatnonzero(mask)
+        rows = table.select(["shard", "content"]).take(pa.array(found))
+        return rows.append_column("mask", pa.array(signed(mask[found]))).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -198,8 +213,8 @@ def _search(window: int):
             if size < SHARD_WORDS:
                 continue
             table = pa.Table.from_batches(held)
-            anchor = table["anchor"].to_numpy()
-            last = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if anchor[0] != anchor[-1] else 0
+            key = table["shard"].to_numpy()
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
             if last:
                 yield from shard(table.slice(0, last))
                 table = table.slice(last)
@@ -211,13 +226,12 @@ def _search(window: int):
 
 
 def duplicate_marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k1, k2, pos, mask: bit i of ``mask`` says that the window at word ``pos + i`` of that row also starts elsewhere."""
+    """k1, k2, pos, size, mask: bit i of ``mask`` says that the window at word ``pos + i`` of that row also starts elsewhere."""
     seen = written(_occurrences(rows, window), "segments")
-    anchors = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = written(seen.join(anchors, "anchor", "left_semi"), "shared")
-    distinct = written(shared.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "size")).alias("at")), "distinct")
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    to_read = distinct.join(kinds, "anchor").select("at.*", "anchor", "content", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot"))
+    # different segments and how often each occurs; summed up before the shuffle, so that copies cost nothing after it
+    contents = written(seen.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "size")).alias("at")), "contents")
+    anchors = written(contents.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1").select("anchor", "kinds"), "anchors")
+    to_read = contents.join(anchors, "anchor").select("at.*", "anchor", "content", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot"))
     wanted = to_read.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "size", "anchor", "content", "n", "hot")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +240,7 @@ def duplicate_marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 words, want, row = _texts_of(part, "wanted")
                 size = want.field("size").to_numpy().astype(np.int64)
                 first = words.first[row] + want.field("pos").to_numpy()
-                # a hot anchor's segment is given window by window
+                # a hot anchor's segment is given window by window, each under its own content
                 hot = want.field("hot").to_numpy(zero_copy_only=False)
                 times = np.where(hot, size, 1)
                 which = np.repeat(np.arange(len(size)), times)
@@ -237,26 +251,31 @@ def duplicate_marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 raw = memoryview(words.raw)
                 spans = pa.array([bytes(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()).cast(pa.string())
                 take = want.take(pa.array(which))
+                one, two = (pa.array(x) for x in window_hashes(words, begin, window)) if hot.any() else (take.field("anchor"), take.field("content"))
                 yield pa.RecordBatch.from_arrays(
-                    [take.field("anchor"), take.field("content"), take.field("n"), take.field("hot"), pa.array(many, pa.int32()), pa.array(off, pa.int32()), spans],
-                    ["anchor", "content", "n", "hot", "size", "off", "words"],
+                    [take.field("anchor"), take.field("content"), take.field("n"), take.field("hot"), pa.array(many, pa.int32()), pa.array(off, pa.int32()), one, two, spans],
+                    ["anchor", "content", "n", "hot", "size", "off", "w1", "w2", "words"],
                 )
 
-    cut_schema = "anchor long, content long, n long, hot boolean, size int, off int, words string"
+    cut_schema = "anchor long, content long, n long, hot boolean, size int, off int, w1 long, w2 long, words string"
     cuts = written(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, cut_schema), "cuts")
-    cold = cuts.where("not hot").select("anchor", "content", "n", "size", "words")
-    searched = cold.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_search(window), "anchor long, content long, mask long")
-    # words of a window joined by one space; white space between them may differ from place to place
-    hot = cuts.where("hot").select("anchor", "content", "n", "off", F.sha2(F.regexp_replace("words", r"[ \t-\r]+", " "), 256).alias("window")).dropDuplicates(["anchor", "content", "off"])
-    often = hot.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    counted = hot.join(often, "window", "left_semi").groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
-    copied = distinct.where("n > 1").select("anchor", "content", F.lit(-1).cast("long").alias("mask"))
-    marks = copied.unionByName(searched).unionByName(counted).groupBy("anchor", "content").agg(F.bit_or("mask").alias("mask"))
-    return shared.join(marks, ["anchor", "content"]).select("k1", "k2", "pos", "size", "mask")
+    cold = cuts.where("not hot").select(F.col("anchor").alias("shard"), "content", "n", "size", "words")
+    hot = cuts.where("hot")
+    once = hot.dropDuplicates(["anchor", "content", "off"])  # again because of repeated rows
+    single = once.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("words").alias("words")).select(F.col("w1").alias("shard"), F.col("w2").alias("content"), "n", F.lit(1).alias("size"), "words")
+    found = []
+    for part in (cold, single):
+        found.append(part.repartition("shard").sortWithinPartitions("shard", "content").mapInArrow(_search(window), "shard long, content long, mask long"))
+    cold_marks = found[0].withColumnRenamed("shard", "anchor")
+    again = written(found[1].select(F.col("shard").alias("w1"), F.col("content").alias("w2")), "windows")
+    hot_marks = hot.select("anchor", "content", "off", "w1", "w2").join(again, ["w1", "w2"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
+    marks = written(cold_marks.unionByName(hot_marks), "marks")
+    return seen.join(marks, ["anchor", "content"]).select("k1", "k2", "pos", "size", "mask")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words joined by one space) of each row of ``docs``.
+    """doc_id, n_words, n_removed, kept_sha256, kept (the kept words joined by one space) and intervals (first and last
+    word, from 0, of each removed run) of each row of ``docs``.
 
     Windows are judged on the input, so every copy of a repeated passage goes. Null text has no words; texts shorter
     than a window keep all; repeated rows repeat every window of theirs; extra columns are ignored; no rows give none.
@@ -264,7 +283,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _keyed(docs)
     # repeated rows share their key and would meet each mark several times
     marks = duplicate_marks(rows, window).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "size", "mask")).alias("marks"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, intervals array<struct<first: long, last: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +305,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for text, n, a, b in zip(part.column("text").to_pylist(), removed.tolist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
                     own = text.encode().split()
                     kept.append(b" ".join(compress(own, keep[a:b]) if n else own))
-                columns = [part.column("doc_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                # runs of removed words; a text's first word begins a new one
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                begins[words.first[:-1][np.diff(words.first) > 0]] = gone[words.first[:-1][np.diff(words.first) > 0]]
+                begin = np.flatnonzero(begins)
+                stop = np.minimum(np.searchsorted(np.flatnonzero(~gone), begin), int((~gone).sum()))
+                rest = np.append(np.flatnonzero(~gone), len(gone))[stop]
+                owner = np.searchsorted(words.first, begin, "right") - 1
+                base = words.first[owner]
+                last_word = np.minimum(rest, words.first[owner + 1]) - 1
+                runs = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(last_word - base)], ["first", "last"])
+                cuts = pa.array(np.searchsorted(owner, np.arange(len(words.first))), pa.int32())
+                columns = [part.column("doc_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(cuts, runs)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "intervals"])
 
     return rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks").mapInArrow(run, schema)

@@ -3,7 +3,8 @@
 Two models of order six, toxic and ordinary, are counted from labelled documents. Where a class has not seen an
 expression, both back off to the same Kneser-Ney continuation counts, gathered from all documents, so rare expressions
 cost both classes alike. A passage's score is its length-normalised log-likelihood ratio; a document's is a logistic
-function of the ratio over the whole text and of its most toxic passage, fitted on labelled rows that counted no model.
+function of the ratio over the whole text and of its most toxic passage, fitted on labelled rows that counted no model
+and moved so that one half is the cut with the best F1 on those rows.
 
 Labels come from a bounded sample (``CLASS_ROWS`` rows a class for counting, ``FIT_ROWS`` for the logistic function),
 so the scoring tables are bounded too and can be broadcast; continuation counts cover the whole corpus.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklogs.llm.common import Words, expand, extended, rolling, slices, written
+from sparklogs.llm.common import Words, expand, extended, slices, word_hashes, written
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -37,7 +38,7 @@ def fold(doc_id: Column) -> Column:
 
 def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """A place in ``words`` of each distinct word, and the number of the distinct word at every place."""
-    _, first, which = np.unique(rolling(6).runs(words.raw, words.start, words.end), return_index=True, return_inverse=True)
+    _, first, which = np.unique(word_hashes(words, 6), return_index=True, return_inverse=True)
     return first, which
 
 
@@ -76,12 +77,17 @@ def gram_counts(tagged: DataFrame) -> DataFrame:
                 gram, count = byte_grams(words, chosen)
                 held.append((gram, *(np.repeat(np.bincount(which, label == c, len(chosen)), count) for c in (1, 0))))
                 held[-1:] = [_merged(held[-1:])]
-                if sum(len(x[0]) for x in held) > _MERGE:
+                if sum(len(x[0]) for x in held) > 2 * _MERGE:
                     held = [_merged(held)]
+                    if len(held[0][0]) > _MERGE:  # too many different ones to hold: Spark sums them up
+                        yield from out(held[0])
+                        held = []
         if held:
-            columns = _merged(held)
-            for at in range(0, len(columns[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in columns], ["gram", "toxic", "ordinary"])
+            yield from out(_merged(held))
+
+    def out(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in columns], ["gram", "toxic", "ordinary"])
 
     counts = tagged.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "gram long, toxic long, ordinary long")
     return counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -184,6 +190,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w
 
 
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The cut of ``z`` above which calling a row toxic gives the best F1; halfway to the next lower value."""
+    if not len(y) or y.min() == y.max():
+        return 0.0
+    order = np.argsort(-z, kind="stable")
+    z, hits = z[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(z) + 1) + hits[-1])
+    f1[:-1][z[:-1] == z[1:]] = 0  # equal values are not told apart
+    k = int(np.argmax(f1))
+    return float((z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 1e-6)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` with held_out, score (0 to 1) and predicted (1 from 0.5 on), which replace columns of these
     names; ``labels`` has doc_id, toxic.
@@ -209,8 +227,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_R
                 x = text_features(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(x[:, k]) for k in range(4))], ["toxic", *names])
 
-    fitted = docs.select("doc_id", "text").join(fit_labels, "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, a double, b double, c double, d double").toArrow()
-    weight = fit_logistic(np.column_stack([fitted[k].to_numpy() for k in names]), fitted["toxic"].to_numpy().astype(float))
+    fitted = docs.select("doc_id", "text").join(fit_labels, "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, a double, b double, c double, d double")
+    fitted = fitted.distinct().orderBy(F.xxhash64(*names), "toxic", *names).limit(fit_rows).toArrow()  # repeated rows count once
+    x, y = np.column_stack([fitted[k].to_numpy() for k in names]), fitted["toxic"].to_numpy().astype(float)
+    weight = fit_logistic(x, y)
+    weight[-1] -= best_cut(x @ weight[:-1] + weight[-1], y)
 
     schema = extended(docs, score="double")
 

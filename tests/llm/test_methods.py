@@ -1,13 +1,18 @@
 """Operators against brute force, round trips, and held-out accuracy."""
 
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from sparklogs.llm import fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
+import corpus_pipeline
+from sparklogs.llm import common, components, fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -91,13 +96,13 @@ def test_forest_depth_meets_its_recall():
 
 def test_near_lines_like_brute_force(spark):
     random.seed(9)
-    letters = "abcde "
+    letters = "abcdé "
 
     def edit(s):
         i = random.randrange(len(s))
         return random.choice([s[:i] + s[i + 1 :], s[:i] + random.choice(letters) + s[i:], s[:i] + random.choice(letters) + s[i + 1 :]])
 
-    pool = ["".join(random.choice(letters) for _ in range(random.randint(5, 40))) + "z" for _ in range(60)]
+    pool = ["".join(random.choice(letters) for _ in range(random.randint(1, 40))) + "z" for _ in range(60)]
     pool += [edit(random.choice(pool)) for _ in range(150)]
     texts = ["\n".join(random.choice(pool) for _ in range(8)) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -118,7 +123,7 @@ def test_near_lines_like_brute_force(spark):
     for i, t in enumerate(texts):
         kept = []
         for k, s in enumerate(t.split("\n")):
-            near = (first[o] < (i, k) for o in first if o == s or (len(s) >= 16 and len(o) >= 16 and abs(len(o) - len(s)) < 2 and distance(o, s) <= 1))
+            near = (first[o] < (i, k) for o in first if o == s or (abs(len(o) - len(s)) < 2 and distance(o, s) <= 1))
             if not s.strip() or not any(near):
                 kept.append(s)
         want[i] = "\n".join(kept)
@@ -172,26 +177,33 @@ def test_encoder_equals_the_tokenizers_library():
     assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def _idf(lists):
+    """The idf of every word that two texts or more have."""
+    df = Counter(t for terms, _ in lists for t in terms.tolist())
+    return {t: float(np.float32(np.log1p((len(lists) - n + 0.5) / (n + 0.5)))) for t, n in df.items() if n > 1}
+
+
+def _asked(lists):
+    idf = _idf(lists)
+    kept = [[t for t in terms.tolist() if t in idf] for terms, _ in lists]
+    return [(np.array(t, np.int64), np.array([idf[x] for x in t], np.float32)) for t in kept]
+
+
 def test_neighbours_like_brute_force():
     random.seed(6)
     texts = [" ".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(1, 12))) for _ in range(60)]
     lists = packing.term_lists(pa.array(texts))
-    df = np.zeros(packing.SKETCH)
-    for terms, _ in lists:
-        df[terms] += 1
-    idf = np.log1p((60 - df + 0.5) / (df + 0.5)).astype(np.float32)
-    mean = float(np.mean([tf.sum() for _, tf in lists]))
-    index = packing.Index(lists, idf, mean)
+    idf, mean = _idf(lists), float(np.mean([tf.sum() for _, tf in lists]))
+    index = packing.Index(lists, mean)
     index.unused[[0, 5]] = False
     score = {}
     for d, (terms, tf) in enumerate(lists):
         if d not in (0, 5):
-            hit = np.isin(terms, lists[0][0])
-            s = float((idf[terms] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.sum() / mean)))[hit].sum())
+            s = sum(idf.get(t, 0) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * tf.sum() / mean)) for t, n in zip(terms.tolist(), tf.tolist(), strict=True) if t in lists[0][0])
             if s > 0:
                 score[d] = s
     best = sorted(score, key=lambda d: (-round(score[d], 4), d))[:5]
-    assert [round(score[d], 3) for d in index.neighbours(0)[:5]] == [round(score[d], 3) for d in best]
+    assert [round(score[d], 3) for d in index.neighbours(*_asked(lists)[0])[:5]] == [round(score[d], 3) for d in best]
 
 
 def test_neighbours_use_every_word_and_fill_a_long_window():
@@ -199,17 +211,25 @@ def test_neighbours_use_every_word_and_fill_a_long_window():
     words = [f"word{k}" for k in range(400)]
     texts = [" ".join(rng.sample(words, 60)) for _ in range(80)]
     lists = packing.term_lists(pa.array(texts))
-    df = np.zeros(packing.SKETCH)
-    for bucket, _ in lists:
-        df[bucket] += 1
-    idf = np.log1p((80 - df + 0.5) / (df + 0.5)).astype(np.float32)
-    index = packing.Index(lists, idf, 60.0)
-    score = {d: sum(float(idf[t]) for t in np.intersect1d(lists[0][0], lists[d][0])) for d in range(1, 80)}
+    asked, idf, index = _asked(lists), _idf(lists), packing.Index(lists, 60.0)
+    score = {d: sum(idf[t] for t in np.intersect1d(lists[0][0], lists[d][0]).tolist()) for d in range(1, 80)}
     best = sorted((d for d in score if score[d]), key=lambda d: (-round(score[d], 6), d))
     index.unused[0] = False
-    assert index.neighbours(0) == best and len(best) > 16
+    assert index.neighbours(*asked[0]) == best and len(best) > 16
     index.unused[0] = True
-    assert list(packing.order_by_retrieval(index, [40] * 80))[: 1 + min(len(best), 51)] == [0, *best[:51]]
+    assert list(packing.order_by_retrieval(index, asked, [40] * 80))[: 1 + min(len(best), 51)] == [0, *best[:51]]
+
+
+def test_frequencies_and_idf_of_words(spark):
+    texts = ["a b c", "a b", "a a d", "e"]
+    lists = packing.term_lists(pa.array(texts))
+    rows = [(k, terms.tolist(), tf.tolist()) for k, (terms, tf) in enumerate(lists)]
+    encoded = spark.createDataFrame(rows, "key long, terms array<long>, tf array<int>")
+    df, count, mean = packing.document_frequencies(encoded)
+    assert (count, mean) == (4, 9 / 4) and sorted(r.df for r in df.collect()) == [2, 3]
+    got = {r.key: (r.terms, r.idf) for r in packing.with_idf(encoded.select("key", "terms"), df, count).collect()}
+    for k, (terms, idf) in enumerate(_asked(lists)):
+        assert got[k][0] == terms.tolist() and np.allclose(got[k][1], idf)
 
 
 @pytest.mark.parametrize("shard_rows", [4096, 10])
@@ -257,3 +277,277 @@ def test_models_learn_planted_signs(spark):
 def test_thresholds_are_ordered():
     _, cuts = quality.fit_ordinal([np.array([k % 3], np.int32) for k in range(60)], [np.ones(1, np.float32)] * 60, np.arange(60) % 3, 3)
     assert cuts[0] < cuts[1]
+
+
+def test_texts_under_one_doc_id_keep_their_links(spark):
+    near = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    a, b = near("a"), near("b")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b), (3, b), (None, b + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.copy_of, r.copies, r.n_links, r.n_linked_docs) for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {(1, 1, 1, 1, 1, 1), (2, 1, 2, 1, 1, 1), (1, None, 1, 3, 1, 1), (3, None, 1, 3, 1, 1), (None, None, None, 1, 1, 3)}
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, b + " end"), (1, a)]
+
+
+def _jaccard_links(texts):
+    kinds = {t: {tuple(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} for t in dict.fromkeys(texts)}
+    return kinds, [(a, b) for a, b in combinations(kinds, 2) if 5 * len(kinds[a] & kinds[b]) >= 4 * len(kinds[a] | kinds[b])]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_classes_like_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(11)
+    texts = []
+    for k in range(12):
+        base = [f"{k}x{rng.randint(0, 500)}" for _ in range(90)]
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 6])):
+                copy[rng.randrange(90)] = f"new{rng.randint(0, 9999)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    kinds, pairs = _jaccard_links(texts)
+    root = {t: t for t in kinds}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    least, links = {}, Counter(t for p in pairs for t in p)
+    for i, t in enumerate(texts):
+        least.setdefault(find(t), i)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(pairs) > 20 and got == {i: (least[find(t)], links[t]) for i, t in enumerate(texts)}
+
+
+def test_over_full_nodes_are_parted_where_they_share_least():
+    shared = np.array([9, 7, 12, 12, 8, 12, 12, 12, 7, 12])
+    parts = ngram_join.part_node(shared, 4)
+    assert parts[0] == (0, 3) and parts[-1][1] == 11
+    assert all(a[1] - 1 == b[0] for a, b in zip(parts[:-1], parts[1:], strict=True)) and all(b - a <= 5 for a, b in parts)
+    assert ngram_join.part_node(shared, 11) == [(0, 11)]
+
+
+def test_links_of_real_documents_like_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.doc_id, " ".join(re.findall("[^\x20\x09-\x0d]+", r.text or ""))) for r in rows]
+    _, pairs = _jaccard_links([t for _, t in texts if t])
+    links = Counter(t for p in pairs for t in p)
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(docs).collect()}
+    assert pairs and got == {i: links[t] for i, t in texts}
+
+
+def test_components_say_when_they_are_not_finished(spark):
+    chain = spark.range(64).selectExpr("id as a", "id + 1 as b")
+    assert components.components(chain).where("component <> 0").count() == 0
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
+
+
+def test_hashes_tell_patterned_runs_apart():
+    a, b = "a", "b"
+    for _ in range(12):  # sequences on which every polynomial modulo 2**64 agrees
+        a, b = a + b, b + a
+    raw, n = np.frombuffer((a + b).encode(), np.uint8), len(a)
+    at = np.array([0, n])
+    one, two = common.prime_rolling(3).runs(raw, at, at + n)
+    assert one != two
+    skipped = common.prime_rolling(3).runs(raw, at, at + n, at + 5, at + 9)
+    joined = np.concatenate([raw[:5], raw[9:n]])
+    assert skipped[0] == common.prime_rolling(3).runs(joined, np.array([0]), np.array([n - 4]))[0]
+    words = common.Words(pa.array([f"{a} {b} {a}"]))
+    first, second, third = common.word_hashes(words, 2)
+    assert first == third != second
+
+
+def test_substrings_come_from_the_index_alone(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, f"{k}a {k}b {passage} {k}c") for k in range(5)] + [(9, "x " * 100), (10, "y " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.intervals] for r in substrings.remove_repeats(docs).collect()}
+    assert got == {**{k: [(2, 61)] for k in range(5)}, 9: [(0, 99)], 10: []}
+    found = substrings.duplicate_marks(substrings._keyed(docs))
+    assert found.count() > 0
+    for hot in (3000, 1):  # an index that finds nothing leaves nothing marked
+        monkeypatch.setattr(substrings, "HOT_SEGMENTS", hot)
+        monkeypatch.setattr(substrings, "_search", lambda window: lambda batches: iter(()))
+        assert substrings.duplicate_marks(substrings._keyed(docs)).count() == 0
+
+
+def _slow_fingerprint(text):
+    """A fingerprint byte by byte."""
+    raw = text.encode()
+
+    def ends_at(i, level):
+        if i < fingerprints.WINDOW - 1:
+            return False
+        h = sum(int(fingerprints._TABLE[raw[i - k]]) * pow(0x01000193, k, 2**32) for k in range(fingerprints.WINDOW)) % 2**32
+        h ^= h >> 15
+        h = h * 0x85EBCA6B % 2**32
+        h ^= h >> 13
+        return h % 2**level == 0
+
+    def signature(level):
+        pieces, start = [], 0
+        for i in range(len(raw)):
+            size = i + 1 - start
+            if i + 1 == len(raw) or size == 8 << level or (size >= (1 << level) // 4 and ends_at(i, level)):
+                pieces.append(raw[start : i + 1])
+                start = i + 1
+        return "".join(fingerprints._DIGITS[xxhash.xxh3_64_intdigest(p) & 63] for p in pieces)
+
+    levels = [k for k in range(2, 20) if k == 2 or len(signature(k)) >= fingerprints.LEAST_PIECES]
+    return f"{levels[-1]}:{signature(levels[-1])}:{signature(levels[-1] + 1)}"
+
+
+def test_fingerprints_like_brute_force():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(n)) for n in (0, 1, 6, 7, 40, 300, 2500)] + ["b" * 3000, "the " * 500]
+    assert fingerprints.fingerprints(pa.array(texts)) == [_slow_fingerprint(t) for t in texts]
+
+
+def test_likeness_like_brute_force(spark):
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    prints = fingerprints.fingerprints(pa.array([text, text[:3000], text[:2000] + text[2100:], text * 3, "", "ab", text[::-1]]))
+    rows = [(a, b) for a in prints for b in prints]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for r in got:
+        (ka, *sa), (kb, *sb) = r.a.split(":"), r.b.split(":")
+        common_ = [(x, y) for i, x in enumerate(sa) for j, y in enumerate(sb) if int(ka) + i == int(kb) + j]
+        want = max([1 - distance(x, y) / max(len(x), len(y), 1) for x, y in common_], default=0.0)
+        assert abs(r.x - want) < 1e-9
+
+
+def test_repeating_text_has_a_short_fingerprint():
+    for text in ("b" * 5_000_000, "the " * 250_000, "abcdefghijkl" * 80_000):
+        assert len(fingerprints.fingerprints(pa.array([text]))[0]) < 4200
+
+
+def test_many_rows_with_one_doc_id_are_parted(spark):
+    rows = [(7, f"text {i}") for i in range(400)] + [(8, "eight"), (6, "six")]
+    ranges = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    assert ranges.where("not seam").groupBy("part").count().count() >= 6
+    found = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    assert found.count() == 402
+
+
+def test_words_are_right_even_with_one_huge_document(spark):
+    rng = random.Random(14)
+    rows = [(i, f"s{i % 2}", 20_000 if i < 2 else rng.randint(1, 700)) for i in range(900)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"), block_rows=450).collect()
+    for s in ("s0", "s1"):
+        own = [r for r in mixed if r.source == s]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 5
+        assert abs(sum(r.copies for r in own) - len(own) * own[0].target / own[0].source_size) < 3
+
+
+def test_jump_hash_like_the_published_loop():
+    def jump(key, buckets):
+        b, j = -1, 0
+        while j < buckets:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+        return b
+
+    keys = np.array([0, 1, 2, -1, 10**12, -(2**63), *range(100, 600)], np.int64)
+    for n in (1, 2, 24, 1000):
+        assert sharding.jump_hash(keys, n).tolist() == [jump(int(k), n) for k in common.mix(keys.view(np.uint64))]
+
+
+def test_kneser_ney_like_dictionaries(spark):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(20)]
+    label = [rng.choice([0, 1, None]) for _ in texts]
+    tagged = spark.createDataFrame(list(zip(texts, label, strict=True)), "text string, toxic int")
+    grams, values, contexts, unseen = toxicity.ratio_tables(toxicity.gram_counts(tagged))
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    own = {0: Counter(), 1: Counter()}
+    every = set()
+    for t, c in zip(texts, label, strict=True):
+        for w in t.split():
+            line = " " * (n - 1) + w + " "
+            for i in range(n - 1, len(line)):
+                g = line[i - n + 1 : i + 1]
+                every.add(g)
+                if c is not None:
+                    own[c][g] += 1
+    orders, level = {}, every
+    for k in range(n - 1, 0, -1):
+        orders[k] = Counter(g[1:] for g in level)
+        level = set(orders[k])
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        same = {x: c for x, c in orders[len(g)].items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        return (same[g] - d) / total + d * len(same) / total * shared(g[1:])
+
+    def p(c, g):
+        same = {x: k for x, k in own[c].items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        return max(own[c][g] - d, 0) / max(total, 1) + (d * len(same) / total if total else 1) * shared(g[1:])
+
+    pack = lambda g: sum(ord(x) << (8 * k) for k, x in enumerate(reversed(g)))
+    want = {pack(g): np.log(p(1, g)) - np.log(p(0, g)) for g in every if own[0][g] + own[1][g]}
+    assert grams.tolist() == sorted(want) and np.allclose(values, [want[g] for g in grams.tolist()], atol=1e-5)
+    rest = lambda c, k: (lambda s: d * len(s) / sum(s.values()) if s else 1.0)({x: v for x, v in own[c].items() if pack(x) >> 8 == k})
+    assert np.allclose(unseen, [np.log(rest(1, k)) - np.log(rest(0, k)) for k in contexts.tolist()], atol=1e-5)
+
+
+def test_the_cut_has_the_best_f1():
+    rng = np.random.default_rng(1)
+    z = np.round(rng.normal(size=200), 1)
+    y = (z + rng.normal(size=200) > 1).astype(float)
+    f1 = lambda cut: 2 * ((z > cut) & (y > 0)).sum() / ((z > cut).sum() + y.sum())
+    assert f1(toxicity.best_cut(z, y)) == max(f1(c) for c in np.unique(z) - 1e-6)
+
+
+def test_ordinal_fit_is_a_minimum():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, 4)).astype(np.int32) for _ in range(300)]
+    values = [np.ones(len(r), np.float32) for r in rows]
+    truth = rng.normal(size=12)
+    grade = np.digitize([truth[r].sum() + rng.logistic() for r in rows], [-1.0, 1.0])
+    weight, cuts = quality.fit_ordinal(rows, values, grade, 3, steps=1500, ridge=1e-3, rate=0.02)
+
+    def loss(w, c):
+        f = np.array([w[r].sum() for r in rows])
+        tail = np.concatenate([np.ones((300, 1)), 1 / (1 + np.exp(-(f[:, None] - c))), np.zeros((300, 1))], axis=1)
+        return -np.log(tail[np.arange(300), grade] - tail[np.arange(300), grade + 1]).mean() + 5e-4 * (w**2).sum()
+
+    w = weight[:12].astype(float)
+    best = loss(w, cuts)
+    for k in range(12):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved, cuts) > best - 1e-6
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            moved = cuts.copy()
+            moved[k] += step
+            assert loss(w, moved) > best - 1e-6
+
+
+def test_without_ratings_thresholds_are_ordered_and_all_stay(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    rows = quality.grade_documents(docs, spark.createDataFrame([], "doc_id long, grade int"), grades=3).collect()
+    assert [r.keep for r in rows] == [1, 1] and all(abs(r.expected_grade - (0.5 + 1 / (1 + np.e))) < 1e-9 for r in rows)
