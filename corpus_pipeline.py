@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklogs.llm import lines, mixing, ngram_join, packing, toxicity
-from sparklogs.llm.common import written
+from sparklogs.llm.common import WRITTEN, forget, unused, written
 
 
 def _shielded(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -35,21 +35,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class stays; different texts under one doc_id are not told apart."""
-    classes = ngram_join.ngram_join(docs)
-    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
-    return kept.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """One document of each class stays: the one with the least doc_id, and of several texts under that doc_id one."""
+    classes = ngram_join.ngram_join(docs.select("doc_id", "text"))
+    own = unused("_hash", docs.columns)
+    heads = classes.select(F.col("class_id").alias("head"), F.col("class_hash")).distinct()
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(heads, hashed["doc_id"].eqNullSafe(heads["head"]) & (hashed[own] == heads["class_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target rate and the balanced sample ask for: not at all, or up to three times."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    sized = written(mixing.word_sizes(keyed, ["doc_id", "source", "_text_hash"]), "sizes")
-    copies = mixing.mix_sources(sized).groupBy(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    once = keyed.dropDuplicates(["doc_id", "_text_hash"])
-    mixed = once.join(copies, once["doc_id"].eqNullSafe(copies["_id"]) & (once["_text_hash"] == copies["_hash"]))
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    own, times = unused("_hash", docs.columns), unused("_times", docs.columns)
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    sized = written(mixing.word_sizes(keyed.select("doc_id", "source", F.col(own).alias("hash"), "text"), ["doc_id", "source", "hash"]), "sizes")
+    copies = mixing.mix_sources(sized).groupBy(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash")).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
+    once = keyed.dropDuplicates(["doc_id", own])
+    mixed = once.join(copies, once["doc_id"].eqNullSafe(copies["of"]) & (once[own] == copies["of_hash"]))
+    return mixed.select(*(once[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage wrote on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = len(WRITTEN)
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(*WRITTEN[before:-1])
+        WRITTEN[before:-1] = []
     return docs
