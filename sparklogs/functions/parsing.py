@@ -11,13 +11,16 @@ APACHE_LEVELS = {
 }
 HEX, UUID, IP, NUM = "<HEX>", "<UUID>", "<IP>", "<NUM>"
 
-_STAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
-_TEXT = rf"(?is)^({_STAMP})?\s*-?\s*\[?(%s)\]?\s*(.*)"
-_LEVELS = r"(?:WARNING|CRITICAL|ERROR|DEBUG|FATAL|INFO|WARN)(?![a-z])"
-_LEGACY_LEVELS = "INFO|ERROR|WARN|WARNING|DEBUG|CRITICAL|FATAL"
-_APACHE = r"^\[([A-Z][a-z]{2} [A-Z][a-z]{2} {1,2}\d{1,2} \d{2}:\d{2}:\d{2} \d{4})\] \[([a-z]+)\] (.+)"
-_SYSLOG = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(.+)"
-_ACCESS = r"^(\S+) \S+ \S+ \[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\] (.+)"
+# The parts that lines are made of, and the formats as sequences of them.
+_HMS, _MONTH, _ZONE = r"\d\d:\d\d:\d\d", "[A-Z][a-z][a-z]", r"[+-]\d\d:?\d\d"
+_DATE_TIME = rf"\d{{4}}-\d\d-\d\d[ T]{_HMS}(?:[,.]\d+)?(?:{_ZONE}|Z)?"
+_WORDS = {False: "FATAL|CRITICAL|ERROR|WARNING|WARN|INFO|DEBUG", True: "INFO|ERROR|WARN|WARNING|DEBUG|CRITICAL|FATAL"}
+#: An optional time, an optional dash, a level with or without brackets, the message. Levels in full end before a letter.
+_LEVELLED = {legacy: rf"(?is)^({_DATE_TIME})?\s*-?\s*\[?({words}){'' if legacy else '(?![a-z])'}\]?\s*(.*)$" for legacy, words in _WORDS.items()}
+_APACHE = rf"(?s)^\[({_MONTH} {_MONTH} {{1,2}}\d\d? {_HMS} \d{{4}})\] \[([a-z]+)\] (.+)$"
+_SYSLOG = rf"(?s)^({_MONTH}\s+\d\d?\s+{_HMS})\s+(.+)$"
+_ACCESS = rf"(?s)^(\S+) \S+ \S+ \[(\d\d/{_MONTH}/\d{{4}}:{_HMS} [+-]\d{{4}})\] (.+)$"
+_CUT = "\x01"
 
 #: A run of digits that is masked. Kept are up to three digits inside a word, versions such as v2 and HTTP/1.1, and a
 #: three-digit code from 1xx to 5xx shortly after "status", "code" or "http".
@@ -59,41 +62,57 @@ def _json_text(parsed: Column, *keys: str) -> Column:
     return F.coalesce(*[F.when(~x.isin("", "false", "0"), x) for x in found])
 
 
+def _groups(line: Column, guard: Column, pattern: str, count: int) -> Column:
+    """The ``count`` groups of a pattern as an array, null where it does not match; one match a line, and only behind ``guard``."""
+    marked = F.regexp_replace(line, pattern, _CUT + _CUT.join(f"${i + 1}" for i in range(count)) + _CUT)
+    return F.when(guard & ~line.contains(_CUT) & (marked != line), F.slice(F.split(marked, _CUT), 2, count))
+
+
 def parse_log_lines(lines: DataFrame, now: Column, legacy_levels: bool = False) -> DataFrame:
     """``lines`` with ts_str, level, message and ts, by the first format of: JSON object, level text, Apache error, syslog,
     access log, plain text.
 
     A level must end before another letter; ``legacy_levels`` reads a prefix of a longer word, so that "[WARNING] x"
-    gives WARN. JSON that is no object is plain text.
+    gives WARN. JSON that is no object is plain text, and so is a line that holds the control character 1.
     """
     line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    parsed = F.try_parse_json(F.when(line.startswith("{"), line))
-    is_json = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    text = _TEXT % (_LEGACY_LEVELS if legacy_levels else _LEVELS)
-    body = F.regexp_extract(line, _SYSLOG, 2)
+    opens = lambda pattern: F.substring(F.col("_line"), 1, 12).rlike(pattern)
+    rows = lines.withColumn("_line", line)
+    line = F.col("_line")
+    found = {
+        "_text": _groups(line, opens(r"^(?:\d{4}-|[\s\[-]*(?i:[fcewid]))"), _LEVELLED[legacy_levels], 3),
+        "_apache": _groups(line, opens(rf"^\[{_MONTH} {_MONTH}"), _APACHE, 3),
+        "_syslog": _groups(line, opens(rf"^{_MONTH}\s+\d"), _SYSLOG, 2),
+        "_access": _groups(line, line.contains("["), _ACCESS, 3),
+        "_json": F.try_parse_json(F.when(line.startswith("{"), line)),
+    }
+    # projections of their own: what is matched above is used several times below
+    rows = rows.withColumns(found)
+    part = lambda name, i: F.get(F.col(name), F.lit(i - 1))
+    is_json = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
+    body = part("_syslog", 2)
     after = F.when(body.contains(": "), F.regexp_replace(body, r"^.*?: ", ""))
     hint = F.regexp_extract(after, r"^(?i)(error|warning|fatal)\b[: ]", 1)
     apache = F.create_map(*[F.lit(x) for pair in APACHE_LEVELS.items() for x in pair])
-    parts = {
-        "json": (_json_text(parsed, "timestamp", "time", "@timestamp"), F.upper(F.coalesce(_json_text(parsed, "level", "log_level"), F.lit("INFO"))), F.coalesce(_json_text(parsed, "message", "msg"), line)),
-        "text": (F.nullif(F.regexp_extract(line, text, 1), F.lit("")), F.upper(F.regexp_extract(line, text, 2)), F.regexp_extract(line, text, 3)),
-        "apache": (F.regexp_extract(line, _APACHE, 1), F.coalesce(F.try_element_at(apache, F.regexp_extract(line, _APACHE, 2)), F.lit("INFO")), F.regexp_extract(line, _APACHE, 3)),
-        "syslog": (
-            F.regexp_extract(line, _SYSLOG, 1),
-            F.when(hint != "", F.upper(hint)).when(after.rlike(r"(?i)authentication failure|failed password"), "WARNING").otherwise("INFO"),
-            body,
+    parts = [
+        (is_json, _json_text(F.col("_json"), "timestamp", "time", "@timestamp"), F.upper(F.coalesce(_json_text(F.col("_json"), "level", "log_level"), F.lit("INFO"))), F.coalesce(_json_text(F.col("_json"), "message", "msg"), line)),
+        (F.col("_text").isNotNull(), F.nullif(part("_text", 1), F.lit("")), F.upper(part("_text", 2)), part("_text", 3)),
+        (F.col("_apache").isNotNull(), part("_apache", 1), F.coalesce(F.try_element_at(apache, part("_apache", 2)), F.lit("INFO")), part("_apache", 3)),
+        (
+            F.col("_syslog").isNotNull(), part("_syslog", 1),
+            F.when(hint != "", F.upper(hint)).when(after.rlike(r"(?i)authentication failure|failed password"), "WARNING").otherwise("INFO"), body,
         ),
-        "access": (F.regexp_extract(line, _ACCESS, 2), F.lit("INFO"), F.concat(F.regexp_extract(line, _ACCESS, 1), F.lit(" "), F.regexp_extract(line, _ACCESS, 3))),
-        "plain": (F.lit(None).cast("string"), F.lit("INFO"), line),
-    }
-    kind = F.when(is_json, "json").when(line.rlike(text), "text").when(line.rlike(_APACHE), "apache").when(line.rlike(_SYSLOG), "syslog").when(line.rlike(_ACCESS), "access").otherwise("plain")
-    pick = lambda i: F.coalesce(*[F.when(F.col("_format") == k, v[i]) for k, v in parts.items()])
-    return (
-        lines.withColumn("_format", kind)
-        .withColumns({"ts_str": pick(0), "level": pick(1), "message": pick(2)})
-        .drop("_format")
-        .withColumn("ts", parse_timestamp(F.col("ts_str"), now))
-    )
+        (F.col("_access").isNotNull(), part("_access", 2), F.lit("INFO"), F.concat(part("_access", 1), F.lit(" "), part("_access", 3))),
+    ]
+
+    def pick(i: int, otherwise: Column) -> Column:
+        chosen = F.when(parts[0][0], parts[0][i])
+        for p in parts[1:]:
+            chosen = chosen.when(p[0], p[i])
+        return chosen.otherwise(otherwise)
+
+    read = rows.withColumns({"ts_str": pick(1, F.lit(None).cast("string")), "level": pick(2, F.lit("INFO")), "message": pick(3, line)})
+    return read.drop("_line", *found).withColumn("ts", parse_timestamp(F.col("ts_str"), now))
 
 
 def chunk_text(signature: Column, examples: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -60,7 +60,8 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed counts of hashed lower-case words, scaled to length one: no model file, the same everywhere."""
+    """Signed counts of lower-case words, hashed by the first 32 bits of MD5, scaled to length one: no model file, the same
+    everywhere."""
 
     name = "hashing"
 
@@ -70,8 +71,8 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode())
+            for word in re.findall(r"[^\W_]+", text.lower()):
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
                 row[h % self.dim] += 1 if h >> 31 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm > 0, norm, 1)).tolist()

@@ -115,13 +115,17 @@ def events_health(buckets: DataFrame, start: datetime, end: datetime, n: int = N
 
 
 def event_feed(chunks: DataFrame, start: datetime, end: datetime, n: int = N_BUCKETS, max_events: int | None = MAX_EVENTS, service: str | None = None) -> DataFrame:
-    """All events of a window; beyond ``max_events`` those of higher kinds and larger counts stay."""
+    """Events of a window with ``place``, their order in time; beyond ``max_events`` those of higher kinds and larger counts
+    stay. Without that bound (None) all events come, and ``place`` counts within an hour, so that nothing is sorted in one task.
+    """
     buckets = window_aggregates(chunks, start, end, n, service)
     series = error_series(buckets)
     seen = first_seen(chunks, series)
     events = events_new_begins(series, seen, start, end, n).unionByName(events_spike(series, start, end, n))
     events = events.unionByName(events_subside(series, start, end, n)).unionByName(events_health(buckets, start, end, n))
-    if max_events is None:
-        return events
     priority = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    return events.orderBy(priority, F.desc("count"), "ts", "service", F.asc_nulls_last("signature")).limit(max_events)
+    within = Window.partitionBy(F.date_trunc("hour", "ts")) if max_events is None else Window.partitionBy()
+    if max_events is not None:
+        events = events.orderBy(priority, F.desc("count"), "ts", "service", F.asc_nulls_last("signature")).limit(max_events)
+    place = F.row_number().over(within.orderBy("ts", priority, "service", F.asc_nulls_last("signature"), "title"))
+    return events.withColumn("place", place)

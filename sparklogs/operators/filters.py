@@ -57,12 +57,12 @@ def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.select(*extra), "chunk_id", "left")
 
 
-def get_timeline(ids: DataFrame, chunks: DataFrame, project_id: str | None = None) -> DataFrame:
-    """The chunks of a set of ids with their place in time order, from 1; those without a time come last."""
+def get_timeline(ids: DataFrame, chunks: DataFrame, project_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """The chunks of a set of ids; with a ``limit`` the first so many in time order, those without a time last."""
     found = chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
     if project_id is not None:
         found = found.where(F.col("project_id") == project_id)
-    return found.orderBy(F.asc_nulls_last("timestamp_start"), "chunk_id")
+    return found if limit is None else found.orderBy(F.asc_nulls_last("timestamp_start"), "chunk_id").limit(limit)
 
 
 def known_services(chunks: DataFrame, watchers: DataFrame) -> DataFrame:

@@ -75,16 +75,24 @@ def service_summary(chunks: DataFrame, start: datetime, end: datetime, services:
 
 
 def auto_sweep(chunks: DataFrame, start: datetime, end: datetime, exclude: list[str] | None = None, rows: int = SWEEP_ROWS) -> DataFrame:
-    """The first ``rows`` symptom chunks of the window, then per service errors, warnings, first_error and ordered ids."""
+    """The first ``rows`` symptom chunks of the window, then per service: place, service, errors, warnings, first_error,
+    ordered chunk_ids, label ("service@time of its first error", the service alone without one) and total.
+
+    Services without an error come first, the others by their first one; ``total`` counts the chunks of all services.
+    """
     found = chunks.where(between(start, end) & F.col("log_level").isin(*SYMPTOM_LEVELS))
     if exclude:
         found = found.where(~F.col("source_service").isin(*exclude))
     top = found.orderBy("timestamp_start", "chunk_id").limit(rows)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("timestamp_start", "chunk_id"))), lambda x: x["chunk_id"])
-    return top.groupBy(F.col("source_service").alias("service")).agg(
+    per = top.groupBy(F.col("source_service").alias("service")).agg(
         F.count_if(F.col("log_level") == "ERROR").alias("errors"), F.count_if(F.col("log_level") == "WARNING").alias("warnings"),
         F.min(F.when(F.col("log_level") == "ERROR", F.col("timestamp_start"))).alias("first_error"), ordered.alias("chunk_ids"),
     )
+    every = Window.partitionBy()  # of at most ``rows`` services
+    label = F.when(F.col("first_error").isNull(), F.col("service")).otherwise(F.concat_ws("@", "service", F.date_format("first_error", "yyyy-MM-dd'T'HH:mm:ss")))
+    place = F.row_number().over(every.orderBy(F.asc_nulls_first("first_error"), "service"))
+    return per.withColumns({"place": place, "label": label, "total": F.sum(F.size("chunk_ids")).over(every)})
 
 
 def error_clusters(chunks: DataFrame, start: datetime, end: datetime, service: str | None = None, k: int = 10, per_project: bool = False) -> DataFrame:

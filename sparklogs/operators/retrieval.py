@@ -22,8 +22,10 @@ RRF_K, FAN_OUT = 60, 20
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"text": 1.0, "source_service": 0.4, "log_level": 0.2}
 LEVEL_FACTORS = {"FATAL": 2.0, "ERROR": 1.5, "WARN": 1.2, "WARNING": 1.2, "INFO": 1.0, "DEBUG": 0.8}
-#: Queries that one scan of the vectors serves; more go in as many scans.
+#: Queries that one scan of the vectors serves; more are dealt into blocks of about that many.
 QUERY_BLOCK = 4096
+#: Query terms up to so many are broadcast; beyond, they are joined.
+BROADCAST_TERMS = 100_000
 
 
 def ranked(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -35,43 +37,78 @@ def ranked(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scores.withColumn("rank", place - 1).where(F.col("rank") < k)
 
 
+def _best(kept: tuple[np.ndarray, ...], ids: np.ndarray, scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, score, name) of the k best of each query among ``kept`` and a matrix of scores; ids only for what may stay."""
+    scores = np.round(scores, 9)
+    if scores.shape[1] > k:
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        query, column = np.nonzero(scores >= least[:, None])
+    else:
+        query, column = np.nonzero(np.ones(scores.shape, bool))
+    query, score, name = (np.concatenate([a, b]) for a, b in zip(kept, (ids[query], scores[query, column], names[column]), strict=True))
+    order = np.lexsort((name, -score, query))
+    query, score, name = query[order], score[order], name[order]
+    first = np.searchsorted(query, query)
+    stay = np.arange(len(query)) - first < k
+    return query[stay], score[stay], name[stay]
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = FAN_OUT) -> DataFrame:
     """query_id, chunk_id, score (inner product), rank: the exact nearest vectors of each query.
 
-    Queries (query_id, embedding) are sent to the scan in blocks of at most ``QUERY_BLOCK``; a task multiplies batches
-    and keeps its own best k of each query, so the shuffle holds k rows a query and task.
+    Up to ``QUERY_BLOCK`` queries (query_id, embedding) are sent to the scan of the vectors, and nothing else moves.
+    More of them are dealt into blocks of about that many, which meet slices of the vectors in tasks of their own. A task
+    keeps its own best k of each query, so the last shuffle holds k rows a query and task.
     """
-    rows = queries.select("query_id", "embedding").toArrow()
-    kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-
-    def search(ids: pa.Array, matrix: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_score, best_id = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), object)
+    queries = queries.select("query_id", "embedding").where("embedding is not null")
+    vectors = vectors.select("chunk_id", "embedding").where("embedding is not null")
+    kinds = queries.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType
+    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+    number, name = (np.dtype(str if t.simpleString() == "string" else np.int64) for t in kinds)
+    empty = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, name)
+
+    def out(ids: np.ndarray, kept: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[kept[0]].tolist()), pa.array(kept[2].tolist()), pa.array(kept[1])], ["query_id", "chunk_id", "score"])
+
+    def block_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows.combine_chunks()
+        return np.array(rows["query_id"].to_pylist(), number), _matrix(rows["embedding"].chunk(0), len(rows))
+
+    head = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if not len(head):
+        return ranked(vectors.limit(0).select(F.lit(None).cast(kinds[0]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")), ["query_id"], k)
+    if len(head) <= QUERY_BLOCK:
+        ids, matrix = block_of(head)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = empty
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column("embedding").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                names = np.array(batch.column("chunk_id").to_pylist(), object)
-                scores = np.concatenate([best_score, matrix @ flat.T], axis=1)
-                every = np.concatenate([best_id, np.broadcast_to(names, (len(ids), len(names)))], axis=1)
-                order = np.lexsort((every.astype(str) if every.dtype == object and isinstance(names[0], str) else every.astype(np.int64), -np.round(scores, 9)), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
-            if best_score.shape[1]:
-                n = best_score.shape[1]
-                where = pa.array(np.repeat(np.arange(len(ids)), n))
-                yield pa.RecordBatch.from_arrays([ids.take(where), pa.array(best_id.ravel().tolist()), pa.array(best_score.ravel())], ["query_id", "chunk_id", "score"])
-
-        return run
-
-    found = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows.slice(at, QUERY_BLOCK).combine_chunks()
-        ids = block["query_id"].chunk(0) if len(block) else pa.array([], block["query_id"].type)
-        matrix = np.array(block["embedding"].to_pylist(), np.float64).reshape(len(block), -1)
-        part = vectors.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(search(ids, matrix), schema)
-        found = part if found is None else found.unionByName(part)
-    return ranked(found, ["query_id"], k)
+                if batch.num_rows:
+                    kept = _best(kept, np.arange(len(ids)), matrix @ _matrix(batch.column("embedding"), batch.num_rows).T, np.array(batch.column("chunk_id").to_pylist(), name), k)
+            if len(kept[0]):
+                yield out(ids, kept)
+
+        return ranked(vectors.mapInArrow(scan, schema), ["query_id"], k)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        kept = empty
+        if len(left) and len(right):
+            ids, matrix = block_of(right)
+            for batch in left.to_batches(max_chunksize=4096):
+                kept = _best(kept, np.arange(len(ids)), matrix @ _matrix(batch.column("embedding"), batch.num_rows).T, np.array(batch.column("chunk_id").to_pylist(), name), k)
+            return pa.Table.from_batches([out(ids, kept)]).cast(pa.schema([("query_id", right.schema.field("query_id").type), ("chunk_id", left.schema.field("chunk_id").type), ("score", pa.float64())]))
+        return pa.table({"query_id": pa.array([], right.schema.field("query_id").type), "chunk_id": pa.array([], left.schema.field("chunk_id").type), "score": pa.array([], pa.float64())})
+
+    blocks, parts = (int(df.count() // QUERY_BLOCK) + 1 for df in (queries, vectors))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = vectors.withColumns({"part": dealt("chunk_id", parts), "block": every(blocks)})
+    right = queries.withColumns({"block": dealt("query_id", blocks), "part": every(parts)})
+    return ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, schema), ["query_id"], k)
 
 
 def tokens(text: Column) -> Column:
@@ -80,25 +117,38 @@ def tokens(text: Column) -> Column:
 
 
 def postings(chunks: DataFrame, column: str = "text") -> DataFrame:
-    """chunk_id, term, tf, size: counted inside each row, so nothing is shuffled."""
+    """term, chunk_id, tf, size (words of the chunk) of each word of each chunk, to be stored and asked many times.
+
+    A row's words are counted before they are shuffled; partition or bucket the stored table by term.
+    """
     terms = chunks.select("chunk_id", tokens(F.col(column)).alias("terms"))
-    return terms.select("chunk_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("chunk_id", "term", "size").agg(F.count("*").alias("tf"))
+    return terms.select("chunk_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "size").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = FAN_OUT) -> DataFrame:
+def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = FAN_OUT, stored: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25 over the terms of each query (query_id, query); blank queries find none.
 
-    Only occurrences of query terms are counted: they are filtered before the first shuffle.
+    ``stored`` may hold the ``postings`` of the chunks, which then are not read. Only occurrences of query terms are
+    counted: they are filtered before the first shuffle.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    sized = chunks.select("chunk_id", tokens(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
-    total = sized.where("size > 0").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
-    hit = sized.select("chunk_id", "size", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hit.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
+    terms = asked.select("term").distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sent = F.broadcast if few else (lambda df: df)  # tables of at most BROADCAST_TERMS terms
+    if stored is None:
+        sized = chunks.select("chunk_id", tokens(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
+        total = sized.where("size > 0").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
+        hit = sized.select("chunk_id", "size", F.explode("terms").alias("term")).join(sent(terms), "term", "left_semi")
+        tf = hit.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
+    else:
+        # every chunk's tf add up to its size, so the shares of a chunk add up to one
+        total = stored.agg(F.round(F.sum(F.col("tf") / F.col("size"))).alias("n"), F.sum("tf").alias("words")).withColumn("mean", F.col("words") / F.col("n")).drop("words")
+        tf = stored.join(sent(terms), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(total)).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
+    known = df.crossJoin(F.broadcast(total)).withColumn("idf", idf).drop("n", "df")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    scored = tf.join(sent(known), "term").join(sent(asked) if few else asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
     return ranked(scored, ["query_id"], k)
 
 
@@ -107,27 +157,31 @@ def fts_topk(queries: DataFrame, chunks: DataFrame, k: int = FAN_OUT) -> DataFra
     alternatives, a leading minus excludes.
 
     The score adds up, over the words and phrases found, their occurrences times the weight of the field. There is no
-    stemming, and words may stand in any field of a chunk.
+    stemming, and words may stand in any field of a chunk. A phrase is looked up as a run of as many words, so texts are
+    never joined.
     """
     pieces = queries.select("query_id", F.posexplode(F.regexp_extract_all("query", F.lit(r'-?"[^"]*"|[^\s"]+'), F.lit(0))).alias("at", "piece"))
     own = Window.partitionBy("query_id").orderBy("at")
     is_or = F.lower("piece") == "or"
     pieces = pieces.withColumns({"is_or": is_or, "after_or": F.coalesce(F.lag(is_or).over(own), F.lit(False))})
-    words = F.array_join(F.transform(tokens(F.col("piece")), lambda t: F.concat(F.lit(" "), t, F.lit(" "))), "")
+    excludes = F.col("piece").startswith("-")
     clauses = pieces.where("not is_or").select(
-        "query_id", F.sum(F.when(F.col("after_or") & ~F.col("piece").startswith("-"), 0).otherwise(1)).over(own).alias("clause"), F.col("piece").startswith("-").alias("no"),
-        words.alias("phrase"), F.get(tokens(F.col("piece")), F.lit(0)).alias("term"),
-    ).where("term is not null")
+        "query_id", F.sum(F.when(F.col("after_or") & ~excludes, 0).otherwise(1)).over(own).alias("clause"), excludes.alias("no"),
+        F.array_join(tokens(F.col("piece")), " ").alias("phrase"), F.size(tokens(F.col("piece"))).alias("words"),
+    ).where("words > 0")
     needed = clauses.where("not no").groupBy("query_id").agg(F.count_distinct("clause").alias("needed"))
+    lengths = sorted(r[0] for r in clauses.select("words").distinct().collect())  # a few numbers
     field = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), tokens(F.col(c)).alias("terms")) for c, w in FIELD_WEIGHTS.items()])).alias("f")
     fields = chunks.select("chunk_id", field).select("chunk_id", "f.weight", "f.terms").where(F.size("terms") > 0)
-    body = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(" "), t, F.lit(" "))), "")
-    # terms meet clauses without the text; only fields that hold a clause's first term are then read again
-    held = fields.select("chunk_id", "weight", F.explode(F.array_distinct("terms")).alias("term"))
-    near = held.join(clauses, "term")
-    met = near.join(fields.select("chunk_id", "weight", body.alias("body")), ["chunk_id", "weight"]).where(F.col("body").contains(F.col("phrase")))
-    times = (F.length("body") - F.length(F.replace("body", "phrase", F.lit("")))) / F.length("phrase")
-    yes = met.where("not no").groupBy("query_id", "chunk_id").agg(F.count_distinct("clause").alias("found"), F.sum(times * F.col("weight")).alias("score"))
+    starts = lambda n: F.when(F.size("terms") >= n, F.sequence(F.lit(1), F.size("terms") - n + 1)).otherwise(F.array().cast("array<int>"))
+    run_of = lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("terms", i, F.lit(n)), " "))
+    runs = [F.col("terms") if n == 1 else run_of(n) for n in lengths]
+    phrases = clauses.select("phrase").distinct()
+    few = phrases.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    held = fields.select("chunk_id", "weight", F.explode(F.flatten(F.array(*runs)) if runs else F.array().cast("array<string>")).alias("phrase"))
+    times = held.join(F.broadcast(phrases) if few else phrases, "phrase", "left_semi").groupBy("chunk_id", "weight", "phrase").agg(F.count("*").alias("times"))
+    met = times.join(clauses, "phrase")
+    yes = met.where("not no").groupBy("query_id", "chunk_id").agg(F.count_distinct("clause").alias("found"), F.sum(F.col("times") * F.col("weight")).alias("score"))
     full = yes.join(needed, "query_id").where("found = needed").select("query_id", "chunk_id", "score")
     return ranked(full.join(met.where("no").select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti"), ["query_id"], k)
 
@@ -198,28 +252,64 @@ def word_similarity(query: str, text: str) -> float:
     return best
 
 
+_WORD = r"[\p{L}\p{N}]+"
+
+
+def text_grams(text: Column) -> Column:
+    """Distinct trigrams of the lower-case words of a text, each word padded by two spaces and one."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: cut(F.concat(F.lit("  "), w, F.lit(" "))))))
+
+
+def literal_grams(entity: Column) -> Column:
+    """Trigrams that a text must have if it holds an entity somewhere.
+
+    An entity's first and last word may be parts of longer words there, and next to % or _ any character may follow, so
+    only sides of words that the entity itself closes off are padded.
+    """
+    pieces = F.split(F.lower(entity), "[%_]")
+    # every run of letters and digits with the character before and behind it in its piece, if there is one
+    marked = lambda p: F.regexp_extract_all(F.regexp_replace(p, r"(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])", "  "), F.lit(r"(?:  )?[\p{L}\p{N}]+(?: ?[^\p{L}\p{N}])?"), F.lit(0))
+    padded = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]$", " ")
+    cut = lambda w: F.when(F.length(w) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(pieces, marked)), lambda w: cut(padded(w)))))
+
+
 def find_by_id(entities: DataFrame, chunks: DataFrame, k: int = 50, min_similarity: float = 0.6) -> DataFrame:
     """query_id, entity, chunk_id, similarity, place: chunks that hold an entity (similarity 1) or words like it.
 
     The k best by similarity and then time come first, and only then those below ``min_similarity`` go. ``%`` and ``_``
-    in an entity match anything. Entities (query_id, entity) are a stated set of queries, held against every chunk; only
-    chunks with enough of an entity's trigrams, found by built-in functions, reach the Python scorer.
+    in an entity match anything. Chunks and entities meet by an equality join on trigrams: a chunk that holds an entity
+    has all trigrams the entity fixes, so its rarest one is enough; one that resembles it has so many of its trigrams
+    that it has one of the rarest few. What meets is then checked. Entities without a fixed trigram, of one or two
+    characters, are held against every chunk.
     """
     asked = entities.select("query_id", "entity").where("entity is not null and entity <> ''").distinct()
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(words(c), lambda w: cut(F.concat(F.lit("  "), w, F.lit(" "))))))
-    wanted = asked.withColumn("_grams", grams(F.col("entity")))
-    rows = chunks.select("chunk_id", "text", "timestamp_start").withColumn("_held", grams(F.col("text")))
+    names = asked.select("entity").distinct().withColumns({"grams": text_grams(F.col("entity")), "fixed": literal_grams(F.col("entity"))})
+    need = F.ceil(F.size("grams") * F.lit(min_similarity))
+    rows = chunks.select("chunk_id", "text", "timestamp_start")
+    # how often the trigrams of entities occur; the others are filtered before the shuffle
+    own = names.select(F.explode(F.array_union("grams", "fixed")).alias("gram")).distinct()
+    held = rows.select("chunk_id", F.explode(text_grams(F.col("text"))).alias("gram")).join(own, "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    keyed = names.select("entity", F.explode(F.array_union(F.transform("grams", lambda g: F.struct(g.alias("gram"), F.lit(0).alias("tier"))), F.transform("fixed", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("tier"))))).alias("g"), need.alias("need"), F.size("grams").alias("size"))
+    placed = keyed.select("entity", "g.gram", "g.tier", "need", "size").join(often, "gram", "left").withColumn("place", F.row_number().over(Window.partitionBy("entity", "tier").orderBy(F.coalesce("n", F.lit(0)), "gram")))
+    keys = placed.where((F.col("n") > 0) & F.when(F.col("tier") == 1, F.col("place") == 1).otherwise(F.col("place") <= F.col("size") - F.col("need") + 1)).select("gram", "entity").distinct()
+    met = held.join(keys, "gram").select("chunk_id", "entity").distinct()
     literal = F.expr("text ilike concat('%', entity, '%')")
-    enough = F.size(F.array_intersect("_held", "_grams")) >= F.ceil(F.size("_grams") * F.lit(min_similarity))
-    pairs = rows.join(F.broadcast(wanted), literal | ((F.size("_grams") > 0) & enough))
+    near = met.join(names.drop("fixed"), "entity").join(rows, "chunk_id")
+    short = names.where(F.size("fixed") == 0).drop("fixed")
+    pairs = near.unionByName(rows.join(short, literal).join(met, ["chunk_id", "entity"], "left_anti").select(*near.columns))
+    enough = (F.size("grams") > 0) & (F.size(F.array_intersect(text_grams(F.col("text")), "grams")) >= need)
+    checked = pairs.withColumn("literal", literal).where(F.col("literal") | enough)
 
     @F.pandas_udf("double")
     def similarity(query: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([word_similarity(q, t) for q, t in zip(query, text, strict=True)], dtype=float)
 
-    scored = pairs.select("query_id", "entity", "chunk_id", "timestamp_start", F.when(literal, "").otherwise(F.col("text")).alias("_text"), literal.alias("_literal"))
-    scored = scored.withColumn("similarity", F.when(F.col("_literal"), 1.0).otherwise(similarity("entity", "_text")))
-    place = F.row_number().over(Window.partitionBy("query_id", "entity").orderBy(F.desc("similarity"), F.desc_nulls_first("timestamp_start"), "chunk_id"))
-    return scored.withColumn("place", place).where((F.col("place") <= k) & (F.col("similarity") >= min_similarity)).select("query_id", "entity", "chunk_id", "similarity", "place")
+    scored = checked.select("entity", "chunk_id", "timestamp_start", F.when(F.col("literal"), "").otherwise(F.col("text")).alias("rest"), "literal")
+    scored = scored.withColumn("similarity", F.when(F.col("literal"), 1.0).otherwise(similarity("entity", "rest")))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("similarity"), F.desc_nulls_first("timestamp_start"), "chunk_id"))
+    best = scored.withColumn("place", place).where((F.col("place") <= k) & (F.col("similarity") >= min_similarity))
+    return asked.join(best, "entity").select("query_id", "entity", "chunk_id", "similarity", "place")

@@ -9,6 +9,8 @@ from sparklogs.functions.parsing import log_signature
 
 GAP_SECONDS = 30
 EXAMPLES = 5
+SPAN_SECONDS = 3600
+NO_TIME_PARTS = 64
 KEYS = ("project_id", "source_service", "source_env", "signature")
 
 
@@ -23,27 +25,42 @@ def assign_default_project(rows: DataFrame, projects: DataFrame, default: str =
     return wanted.crossJoin(F.broadcast(fallback)).select(*rest, chosen.alias("project_id"))
 
 
-def chunk_logs(parsed: DataFrame, gap_seconds: float = GAP_SECONDS, order: str = "line_no") -> DataFrame:
+def chunk_logs(parsed: DataFrame, gap_seconds: float = GAP_SECONDS, order: str = "line_no", span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """Sessions of lines with one signature: a gap over ``gap_seconds`` opens a new one, lines without a time form one.
 
     Columns: the keys, chunk_no, signature, count, examples (the first five messages), timestamp_start, timestamp_end,
     log_level (of the first line), chunk_id (stable over reruns). Needs project_id, source_service, source_env, message,
-    level, ts and the line order. Sorting and grouping share one shuffle by the keys.
+    level, ts and the line order, an integer.
+
+    Two levels keep a hot signature apart: lines are sorted and cut within spans of ``span_seconds`` (lines without a
+    time, within ``NO_TIME_PARTS`` parts), and only what is left of a span, its sessions, is sorted again and joined
+    over spans.
     """
-    rows = parsed.withColumn("signature", log_signature(F.col("message")))
-    line = Window.partitionBy(*KEYS).orderBy(F.asc_nulls_first("ts"), order)
-    far = F.col("ts").isNotNull() & (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(line)) > int(gap_seconds * 1_000_000))
-    opens = F.when(far, 1).when(F.col("ts").isNotNull() & F.lag("ts").over(line).isNull() & (F.row_number().over(line) > 1), 1).otherwise(0)
-    numbered = rows.withColumn("_opens", opens).withColumn("chunk_no", F.sum("_opens").over(line))
-    inside = Window.partitionBy(*KEYS, "chunk_no").orderBy(F.asc_nulls_first("ts"), order)
+    gap = int(gap_seconds * 1_000_000)
+    rows = parsed.withColumns({"signature": log_signature(F.col("message")), "_at": F.unix_micros("ts")})
+    rows = rows.withColumn("_span", F.when(F.col("ts").isNull(), -1 - F.pmod(F.col(order), F.lit(NO_TIME_PARTS))).otherwise(F.floor(F.col("_at") / (span_seconds * 1_000_000))))
+    line = Window.partitionBy(*KEYS, "_span").orderBy("_at", order)
+    far = F.col("_at").isNotNull() & (F.col("_at") - F.lag("_at").over(line) > gap)
+    numbered = rows.withColumn("_part", F.sum(F.when(far, 1).otherwise(0)).over(line))
+    inside = Window.partitionBy(*KEYS, "_span", "_part").orderBy("_at", order)
     placed = numbered.withColumn("_place", F.row_number().over(inside))
-    early = F.when(F.col("_place") <= EXAMPLES, F.struct("_place", "message"))
-    chunks = placed.groupBy(*KEYS, "chunk_no").agg(
-        F.count("*").alias("count"), F.transform(F.sort_array(F.collect_list(early)), lambda x: x["message"]).alias("examples"), F.min("ts").alias("timestamp_start"),
-        F.max("ts").alias("timestamp_end"), F.min_by("level", "_place").alias("log_level"), F.min_by(order, "_place").alias("_first"),
+    first = F.when(F.col("_place") <= EXAMPLES, F.struct("_at", F.col(order).alias("_line"), "message", "level"))
+    pieces = placed.groupBy(*KEYS, "_span", "_part").agg(F.count("*").alias("_count"), F.min("_at").alias("_start"), F.max("_at").alias("_end"), F.collect_list(first).alias("_first"))
+
+    timed = F.col("_start").isNotNull()
+    piece = Window.partitionBy(*KEYS).orderBy(F.asc_nulls_first("_start"), "_span", "_part")
+    before = F.lag("_end").over(piece)
+    opens = F.when(timed & (F.row_number().over(piece) > 1) & (before.isNull() | (F.col("_start") - before > gap)), 1).otherwise(0)
+    joined = pieces.withColumn("_opens", opens).withColumn("chunk_no", F.sum("_opens").over(piece))
+    # of any piece the first five lines are enough; those of a session stand in its first pieces
+    chunks = joined.groupBy(*KEYS, "chunk_no").agg(
+        F.sum("_count").alias("count"), F.slice(F.array_sort(F.flatten(F.collect_list("_first"))), 1, EXAMPLES).alias("_lines"),
+        F.timestamp_micros(F.min("_start")).alias("timestamp_start"), F.timestamp_micros(F.max("_end")).alias("timestamp_end"),
     )
+    head = F.element_at("_lines", 1)
+    chunks = chunks.withColumns({"examples": F.transform("_lines", lambda x: x["message"]), "log_level": head["level"], "_first": head["_line"]})
     identity = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*KEYS, "timestamp_start", "_first")]), 256)
-    return chunks.withColumn("chunk_id", identity).drop("_first")
+    return chunks.withColumn("chunk_id", identity).drop("_lines", "_first")
 
 
 def ingest_stats(parsed: DataFrame, chunks: DataFrame) -> DataFrame:

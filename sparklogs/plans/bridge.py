@@ -3,11 +3,15 @@ that grows with them. Chunks and raw lines come from ``events``, retrieval from
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparklogs.functions.intent import SYNONYMS
+
 START, END = datetime(2024, 1, 5), datetime(2024, 1, 14)
 NOW = datetime(2024, 1, 31)
 
@@ -81,6 +85,38 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.concat(F.lit("svc-"), (F.col("user_id") % 4).cast("string")).alias("source_service"), "ts", "value", line.alias("line"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a temporary one only in plain local mode."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="sparklogs-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+
+
+def drained(frame: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for the data that is there, written in append mode and read back."""
+    spark = frame.sparkSession
+    folder = scratch(spark, name)
+    stream = frame.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    stream.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
+
+
+def synonyms_sql() -> str:
+    rows = ", ".join(f"('{k}', {i}, '{v}')" for k, vs in SYNONYMS.items() for i, v in enumerate(vs))
+    return f"syn(word, nth, synonym) AS (VALUES {rows})"
+
+
+#: query_id, variant, text of the variants of a table of (query_id, query).
+VARIANTS_SQL = """words AS (SELECT query_id, query, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> ''), 1) AS at_ FROM {q}),
+  every AS (SELECT query_id, query AS text, 0 AS ord FROM {q} UNION ALL SELECT query_id, replace(lower(query), word, synonym), at_ * 100 + nth FROM words JOIN syn USING (word)),
+  once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY ord) = 1),
+  variants AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ord) - 1 AS INTEGER) AS variant, text FROM once QUALIFY variant < 5)"""
+
+
 def zoneless(df: DataFrame) -> DataFrame:
     """Timestamps as UTC without a zone, which DuckDB reads as its own."""
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 
 from sparklogs.functions import intent, parsing, text
 from sparklogs.operators import events, filters, incident, sessions, views
-from sparklogs.plans.bridge import CHUNKS_SQL, END, HITS_SQL, LINES_SQL, NOW, START, chunks, hits, raw_lines, table
+from sparklogs.plans.bridge import CHUNKS_SQL, END, HITS_SQL, LINES_SQL, NOW, START, VARIANTS_SQL, chunks, drained, hits, raw_lines, scratch, synonyms_sql, table
 from sparklogs.plans.registry import query
-from sparklogs.sources import tables
+from sparklogs.sources import files, tables
+from sparklogs.streaming import streams
 
 C, H = "WITH " + CHUNKS_SQL, "WITH " + HITS_SQL
 WINDOW = "timestamp_start >= TIMESTAMP '2024-01-05' AND timestamp_start < TIMESTAMP '2024-01-14'"
@@ -56,12 +59,16 @@ def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return buckets, events.error_series(buckets)
 
 
-@query(ALL_SQL + " SELECT * FROM feed")
+KIND_SQL = "list_position(['health_degraded', 'new_pattern', 'begins', 'spike', 'health_recovered', 'subsides'], kind)"
+PLACE_SQL = f"ORDER BY ts, {KIND_SQL}, service, signature NULLS LAST, title) AS INTEGER) AS place"
+
+
+@query(ALL_SQL + f" SELECT *, CAST(row_number() OVER (PARTITION BY date_trunc('hour', ts) {PLACE_SQL} FROM feed")
 def event_feed(spark, sf_dir):
     return events.event_feed(chunks(spark, sf_dir), START, END, max_events=None)
 
 
-@query(ALL_SQL + " SELECT * FROM feed ORDER BY list_position(['health_degraded', 'new_pattern', 'begins', 'spike', 'health_recovered', 'subsides'], kind), count DESC, ts, service, signature NULLS LAST LIMIT 25")
+@query(ALL_SQL + f" SELECT *, CAST(row_number() OVER ({PLACE_SQL} FROM (SELECT * FROM feed ORDER BY {KIND_SQL}, count DESC, ts, service, signature NULLS LAST LIMIT 25)")
 def event_feed_capped(spark, sf_dir):
     return events.event_feed(chunks(spark, sf_dir), START, END)
 
@@ -184,7 +191,9 @@ def service_summary(spark, sf_dir):
 
 
 @query(C + f""" SELECT source_service AS service, count(*) FILTER (log_level = 'ERROR') AS errors, count(*) FILTER (log_level = 'WARNING') AS warnings,
-  min(timestamp_start) FILTER (log_level = 'ERROR') AS first_error, list(chunk_id ORDER BY timestamp_start, chunk_id) AS chunk_ids FROM (
+  min(timestamp_start) FILTER (log_level = 'ERROR') AS first_error, list(chunk_id ORDER BY timestamp_start, chunk_id) AS chunk_ids,
+  CAST(row_number() OVER (ORDER BY min(timestamp_start) FILTER (log_level = 'ERROR') NULLS FIRST, source_service) AS INTEGER) AS place,
+  source_service || coalesce('@' || strftime(min(timestamp_start) FILTER (log_level = 'ERROR'), '%Y-%m-%dT%H:%M:%S'), '') AS label, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM (
   SELECT * FROM chunks WHERE {BETWEEN} AND log_level IN ('ERROR', 'WARNING') AND source_service <> 'svc-3' ORDER BY timestamp_start, chunk_id LIMIT 50) GROUP BY 1""")
 def auto_sweep(spark, sf_dir):
     return incident.auto_sweep(chunks(spark, sf_dir), START, END, ["svc-3"])
@@ -440,15 +449,7 @@ def needs_clarification(spark, sf_dir):
     return asked.select("query_id", intent.needs_clarification(F.lit(None).cast("timestamp"), services, entity).alias("unclear"))
 
 
-def _synonyms_sql() -> str:
-    rows = ", ".join(f"('{k}', {i}, '{v}')" for k, vs in intent.SYNONYMS.items() for i, v in enumerate(vs))
-    return f"syn(word, nth, synonym) AS (VALUES {rows})"
-
-
-@query(f"""WITH {QUESTIONS_SQL}, {_synonyms_sql()}, words AS (SELECT query_id, query, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> ''), 1) AS at_ FROM q),
-  every AS (SELECT query_id, query AS text, 0 AS ord FROM q UNION ALL SELECT query_id, replace(lower(query), word, synonym), at_ * 100 + nth FROM words JOIN syn USING (word)),
-  once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY ord) = 1)
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ord) - 1 AS INTEGER) AS variant, text FROM once QUALIFY variant < 5""")
+@query(f"WITH {QUESTIONS_SQL}, {synonyms_sql()}, {VARIANTS_SQL.format(q='q')} SELECT * FROM variants")
 def expand_queries(spark, sf_dir):
     return intent.expand_queries(_questions(spark, sf_dir))
 
@@ -476,11 +477,154 @@ def parse_window(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.parse_window(said).alias("seconds"))
 
 
-@query()
+#: Each event as a text with identifiers of several kinds; the list is in order of the kinds, then of the text.
+ENTITIES_SQL = """h AS (SELECT event_id, md5('e' || event_id) AS m, event_id % 50 AS n FROM events),
+  said AS (SELECT *, left(m, 8) || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS uuid, 'i-0' || m[1:9] AS box, 'arn:aws:sqs:eu-west-1:123456789012:queue-' || n AS arn,
+    upper('01HZX' || m[1:21]) AS ulid, 'req_' || m[1:8] AS req, 'a1b2c' || m[1:5] AS sha, 'order-' || n AS ord, m[1:16] AS span FROM h)"""
+_ENTITIES = {
+    0: ("failed svc-1 {ord} for {uuid} and {ORD}", "[uuid, ord]"),
+    1: ("{box} sent {arn} twice", "[arn, box]"),
+    2: ("trace {m} span {span} of {req}", "[m, span, req]"),
+    3: ("deploy {sha} broke {ord}", "[sha, ord]"),
+    4: ("no id at all here", "[]"),
+    5: ("ticket {ulid} on svc-2", "[ulid]"),
+}
+_SAID = {
+    "ord": "concat('order-', event_id % 50)", "ORD": "concat('ORDER-', event_id % 50)", "m": "m", "span": "left(m, 16)", "req": "concat('req_', left(m, 8))", "sha": "concat('a1b2c', left(m, 5))",
+    "uuid": "concat_ws('-', left(m, 8), substring(m, 9, 4), substring(m, 13, 4), substring(m, 17, 4), substring(m, 21, 12))", "box": "concat('i-0', left(m, 9))",
+    "arn": "concat('arn:aws:sqs:eu-west-1:123456789012:queue-', event_id % 50)", "ulid": "upper(concat('01HZX', left(m, 21)))",
+}
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT event_id, CASE event_id % 6 {' '.join(f'WHEN {k} THEN {v}' for k, (_, v) in _ENTITIES.items())} END AS id_values FROM said")
 def extract_entities(spark, sf_dir):
-    return intent.extract_entities(chunks(spark, sf_dir), "text", SERVICES, to="id_values").select("chunk_id", "id_values")
+    rows = table(spark, sf_dir, "events").select("event_id", F.md5(F.concat(F.lit("e"), F.col("event_id").cast("string")).cast("binary")).alias("m"))
+    said = F.lit(None).cast("string")
+    for k, (pattern, _) in _ENTITIES.items():
+        parts = [F.lit(p) if i % 2 == 0 else F.expr(_SAID[p]) for i, p in enumerate(re.split(r"[{}]", pattern))]
+        said = F.when(F.col("event_id") % 6 == k, F.concat(*parts)).otherwise(said)
+    return intent.extract_entities(rows.withColumn("text", said), "text", SERVICES, to="id_values").select("event_id", "id_values")
+
+
+# Files and streams: the raw lines, written as files and read back
+
+#: Raw lines as they are read: level, message, signature and time.
+READ_SQL = LINES_SQL + r""",
+st AS (SELECT event_id, source_service, line, CASE WHEN event_id % 6 = 5 THEN NULL ELSE date_trunc('second', ts) END AS ts,
+    CASE event_id % 6 WHEN 0 THEN regexp_extract(line, '\[(\w+)\]', 1) WHEN 1 THEN 'WARN' WHEN 2 THEN CASE WHEN contains(line, ']: error: ') THEN 'ERROR' ELSE 'INFO' END
+      WHEN 4 THEN CASE WHEN contains(line, '[crit]') THEN 'CRITICAL' ELSE 'INFO' END ELSE 'INFO' END AS level,
+    CASE event_id % 6 WHEN 0 THEN regexp_extract(line, '\] (.*)', 1) WHEN 1 THEN line::JSON->>'message' WHEN 2 THEN line[17:] WHEN 3 THEN regexp_extract(line, '^(\S+)', 1) || ' ' || regexp_extract(line, '\] (.*)', 1)
+      WHEN 4 THEN regexp_extract(line, '\] \[\w+\] (.*)', 1) ELSE line END AS message FROM raw_lines),
+rd AS (SELECT *, CASE event_id % 6 WHEN 2 THEN regexp_replace(regexp_replace(message, '\[\d+\]', '[<NUM>]'), '\d+$', '<NUM>') WHEN 3 THEN regexp_replace(regexp_replace(message, '^\S+', '<IP>'), '\d+$', '<NUM>')
+      WHEN 5 THEN regexp_replace(message, '0x[0-9a-f]+', '<HEX>') WHEN 0 THEN regexp_replace(message, '\d+', '<NUM>') ELSE regexp_replace(message, '\d+$', '<NUM>') END AS signature FROM st)"""
+
+
+def _files(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder with the raw lines as text, in time order over its files."""
+    folder = scratch(spark, name)
+    raw_lines(spark, sf_dir).orderBy("ts", "event_id").select("line").write.text(folder)
+    return folder
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.stream_parse(spark, _files(spark, sf_dir, "stream"), "svc", F.lit(NOW))
+
+
+@query("WITH " + LINES_SQL + " SELECT source_service, 'production' AS source_env, line FROM raw_lines")
+def read_raw_logs(spark, sf_dir):
+    folder = scratch(spark, "logs")
+    raw_lines(spark, sf_dir).select("source_service", "line").write.partitionBy("source_service").text(folder)
+    names = sorted(r[0] for r in spark.read.text(folder).select("source_service").distinct().collect())
+    read = [files.read_raw_logs(spark, f"{folder}/source_service={name}", name) for name in names]
+    return functools.reduce(DataFrame.unionByName, read).select("source_service", "source_env", "line")
+
+
+@query("WITH " + LINES_SQL + " SELECT 'svc-' || (event_id % 3) AS source_service, 'prod' AS source_env, line FROM raw_lines WHERE event_id % 4 <> 3 AND event_id % 3 <> 2 AND (event_id % 3 <> 1 OR hour(ts) >= 12)")
+def ingest_file_increments(spark, sf_dir):
+    """A file for each watched service and day; of one service the lines before noon were read before, another is off."""
+    folder = scratch(spark, "watched")
+    rows = raw_lines(spark, sf_dir).where("event_id % 4 <> 3").withColumns({"service": F.col("event_id") % 3, "day": F.date_format("ts", "yyyy-MM-dd"), "noon": F.hour("ts") >= 12})
+    # both halves of a day in one task, so in one file
+    dealt = rows.repartition("service", "day").sortWithinPartitions("service", "day", "noon")
+    dealt.select("service", "day", "line").write.partitionBy("service", "day").option("maxRecordsPerFile", 0).text(folder)
+    read = rows.where("service = 1 and not noon").groupBy("service", "day").agg(F.sum(F.octet_length("line") + 1).alias("offset"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"))
+    parts = listed.withColumns({"service": F.regexp_extract("file_path", "service=([0-9]+)", 1).cast("long"), "day": F.regexp_extract("file_path", "day=([0-9-]+)", 1)})
+    offsets = parts.join(read, ["service", "day"]).select(F.col("service").alias("watcher_config_id"), "file_path", "offset")
+    plain = re.sub("^file:/+", "/", folder)
+    watchers = spark.range(3).select(
+        "id", F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("service_name"), F.concat(F.lit(f"{plain}/service="), F.col("id").cast("string")).alias("watch_path"),
+        F.lit("prod").alias("env"), (F.col("id") != 2).alias("enabled"), F.lit("p").alias("project_id"),
+    )
+    found, _ = files.ingest_file_increments(spark, folder, offsets, watchers)
+    return found.select("source_service", "source_env", "line")
+
+
+@query("""SELECT 'd' || c_nationkey AS dataset_name, 'why did ' || c_name || ' fail' AS question, 'svc-' || (c_custkey % 4) AS service, ['svc-' || (c_custkey % 4), 'svc-9'] AS services, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE ['k' || c_custkey] END AS keywords FROM customer""")
+def read_ground_truth(spark, sf_dir):
+    n, folder = F.col("c_custkey"), scratch(spark, "truth")
+    service = F.concat(F.lit("svc-"), (n % 4).cast("string"))
+    question = F.struct(
+        F.concat(F.lit("why did "), "c_name", F.lit(" fail")).alias("question"), F.struct(F.lit(None).cast("string").alias("time_from"), service.alias("service")).alias("filters"), F.lit("an answer").alias("ground_truth_answer"),
+        F.array(service, F.lit("svc-9")).alias("ground_truth_services"), F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("k"), n.cast("string")))).alias("ground_truth_keywords"),
+    )
+    docs = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("dataset_name")).agg(F.collect_list(question).alias("questions"))
+    # a folder and so a file for each document
+    docs.withColumn("folder", F.col("dataset_name")).write.partitionBy("folder").json(folder)
+    return files.read_ground_truth(spark, folder).select("dataset_name", "question", F.col("filters.service").alias("service"), "services", "keywords")
+
+
+@query("""SELECT 'q' || n_nationkey AS query, 't' || n_nationkey AS trigger_event, [n_name, 'x'] AS root_cause_must_mention, CASE WHEN n_nationkey % 2 = 0 THEN 'high' END AS confidence FROM nation""")
+def read_expected(spark, sf_dir):
+    n, folder = F.col("n_nationkey").cast("string"), scratch(spark, "expected")
+    answer = F.struct(F.concat(F.lit("t"), n).alias("trigger_event"), F.array("n_name", F.lit("x")).alias("root_cause_must_mention"), F.when(F.col("n_nationkey") % 2 == 0, "high").alias("confidence"))
+    docs = table(spark, sf_dir, "nation").select(F.concat(F.lit("q"), n).alias("query"), answer.alias("expected_answer"), n.alias("folder"))
+    docs.write.partitionBy("folder").json(folder)
+    return files.read_expected(spark, folder).select("query", "trigger_event", "root_cause_must_mention", "confidence")
+
+
+@query("WITH " + READ_SQL + " SELECT line, level, message, signature, ts FROM rd")
+def stream_parse(spark, sf_dir):
+    return drained(_stream(spark, sf_dir), "parsed").select("line", "level", "message", "signature", "ts")
+
+
+SESSIONS_SQL = READ_SQL + """, sess AS (SELECT *, sum(opens) OVER (PARTITION BY signature ORDER BY ts, message ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY signature ORDER BY ts, message) > INTERVAL 2 HOUR THEN 1 ELSE 0 END AS opens FROM rd WHERE ts IS NOT NULL)),
+  closed AS (SELECT signature, count(*) AS count, list(message ORDER BY ts, message)[1:5] AS examples, min(ts) AS timestamp_start, max(ts) AS timestamp_end, first(level ORDER BY ts, message) AS log_level
+    FROM sess GROUP BY signature, island HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) FROM rd))"""
+
+
+@query("WITH " + SESSIONS_SQL + " SELECT * FROM closed")
+def stream_chunks(spark, sf_dir):
+    found = streams.stream_chunks(_stream(spark, sf_dir), 7200, "2 hours")
+    return drained(found, "sessions").select("signature", "count", "examples", "timestamp_start", "timestamp_end", "log_level")
+
+
+@query("WITH " + SESSIONS_SQL + " SELECT signature, count, timestamp_start, log_level FROM closed")
+def stream_upsert(spark, sf_dir):
+    """Sessions into the chunk table, and the same again, which changes nothing."""
+    folder, source = scratch(spark, "chunks"), _files(spark, sf_dir, "stream")
+    for k in (1, 2):
+        found = streams.stream_chunks(streams.stream_parse(spark, source, "svc", F.lit(NOW)), 7200, "2 hours")
+        streams.stream_upsert(found, f"{folder}/table", f"{folder}/checkpoint-{k}").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("signature", "count", "timestamp_start", "log_level")
+
+
+@query("WITH " + READ_SQL + """, hours AS (SELECT signature, level, date_trunc('hour', ts) AS start FROM rd WHERE ts IS NOT NULL)
+  SELECT signature, level, start, start + INTERVAL 1 HOUR AS end, count(*) AS n FROM hours WHERE start + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM rd) GROUP BY ALL""")
+def stream_bucket_counts(spark, sf_dir):
+    return drained(streams.stream_bucket_counts(_stream(spark, sf_dir)), "counts").select("signature", "level", "start", "end", "n")
+
+
+@query("WITH " + READ_SQL + " SELECT DISTINCT 'svc' AS source_service, signature FROM rd WHERE ts IS NOT NULL")
+def stream_new_patterns(spark, sf_dir):
+    return drained(streams.stream_new_patterns(_stream(spark, sf_dir), "40 days"), "patterns").select("source_service", "signature")
 
 
-@query()
-def embed_texts(spark, sf_dir):
-    return text.embed_texts(table(spark, sf_dir, "documents"), "text").select("doc_id", "embedding")
+@query("WITH " + READ_SQL + " SELECT signature, min(ts) AS ts FROM rd WHERE ts IS NOT NULL GROUP BY 1")
+def stream_new_patterns_ever(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return drained(streams.stream_new_patterns_ever(_stream(spark, sf_dir)), "ever").select("signature", "ts")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

@@ -5,16 +5,17 @@ State is bounded by the watermark. Rows without a time cannot be sessionised in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparklogs.functions.parsing import log_signature, parse_log_lines
 from sparklogs.operators.sessions import EXAMPLES, GAP_SECONDS
-from sparklogs.sources.tables import upsert_chunks
+from sparklogs.sources.tables import BUCKETS, upsert_table
 
 
 def stream_parse(spark: SparkSession, folder: str, service: str, now: Column | None = None, env: str = "production", project_id: str | None = None, max_files: int = 100) -> DataFrame:
@@ -30,20 +31,58 @@ def untimed(parsed: DataFrame) -> DataFrame:
     return parsed.where("ts is null")
 
 
+KEYS = ["project_id", "source_service", "source_env", "signature"]
+SESSIONS = "project_id string, source_service string, source_env string, signature string, count long, examples array<string>, timestamp_start timestamp, timestamp_end timestamp, log_level string"
+_STATE = "sessions array<struct<start: long, end: long, count: long, lines: array<struct<ts: long, message: string, level: string>>>>"
+
+
+def merge_sessions(open_: list[tuple], lines: list[tuple], gap: int) -> list[tuple]:
+    """Sessions (start, end, count, first lines) of open ones and new lines (ts, message, level), times in microseconds.
+
+    Lines at most the gap apart belong together; a session keeps its first ``EXAMPLES`` lines and no others.
+    """
+    singles = [(ts, ts, 1, [(ts, message, level)]) for ts, message, level in lines]
+    out: list[tuple] = []
+    for start, end, count, first in sorted([*open_, *singles], key=lambda s: (s[0], s[1])):
+        if out and start - out[-1][1] <= gap:
+            a, b, n, kept = out[-1]
+            out[-1] = (a, max(b, end), n + count, sorted([*kept, *first])[:EXAMPLES])
+        else:
+            out.append((start, end, count, first))
+    return out
+
+
 def stream_chunks(parsed: DataFrame, gap_seconds: int = GAP_SECONDS, delay: str = "1 minute") -> DataFrame:
     """Closed sessions of one signature of one service; append mode emits each once, when the watermark passes it.
 
     ``delay`` should not be less than the gap. A line exactly the gap later still belongs to a session. Examples and the
-    level follow the order of time and message.
+    level follow the order of time and message. The state of a signature is its open sessions: two times, a number and
+    five lines each, however many lines there are. ``chunk_id`` comes from the keys and the first line, so a run after a
+    restart gives the same one.
     """
-    timed = parsed.where("ts is not null").withWatermark("ts", delay)
-    keys = ["project_id", "source_service", "source_env", "signature"]
-    line = F.struct("ts", "message")
-    grouped = timed.groupBy(*keys, F.session_window("ts", f"{gap_seconds} seconds").alias("session"))
-    return grouped.agg(
-        F.count("*").alias("count"), F.transform(F.slice(F.sort_array(F.collect_list(line)), 1, EXAMPLES), lambda x: x["message"]).alias("examples"),
-        F.min("ts").alias("timestamp_start"), F.max("ts").alias("timestamp_end"), F.min_by("level", line).alias("log_level"),
-    ).drop("session")
+    gap = gap_seconds * 1_000_000
+
+    def sessions(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [(s["start"], s["end"], s["count"], [(x["ts"], x["message"], x["level"]) for x in s["lines"]]) for s in state.get[0]] if state.exists else []
+        for frame in frames:
+            frame = frame.sort_values("micros", kind="stable")
+            held = merge_sessions(held, list(zip(frame["micros"].tolist(), frame["message"].tolist(), frame["level"].tolist(), strict=True)), gap)
+        mark = state.getCurrentWatermarkMs() * 1000
+        done, held = [s for s in held if s[1] + gap <= mark], [s for s in held if s[1] + gap > mark]
+        if held:
+            state.update(([{"start": a, "end": b, "count": n, "lines": [{"ts": t, "message": m, "level": v} for t, m, v in lines]} for a, b, n, lines in held],))
+            state.setTimeoutTimestamp(max(min(s[1] for s in held) + gap, mark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if done:
+            rows = [(*key, n, [m for _, m, _ in lines], pd.Timestamp(a, unit="us"), pd.Timestamp(b, unit="us"), lines[0][2]) for a, b, n, lines in done]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SESSIONS.split(", ")])
+
+    timed = parsed.where("ts is not null").withWatermark("ts", delay).select(*KEYS, "ts", F.unix_micros("ts").alias("micros"), "message", "level")
+    found = timed.groupBy(*KEYS).applyInPandasWithState(sessions, SESSIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    first = [*KEYS, F.unix_micros("timestamp_start").cast("string"), F.element_at("examples", 1)]
+    identity = F.concat_ws("|", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in first])
+    return found.withColumn("chunk_id", F.sha2(identity, 256))
 
 
 def stream_bucket_counts(parsed: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -54,8 +93,9 @@ def stream_bucket_counts(parsed: DataFrame, width: str = "1 hour", slide: str |
 
 
 def stream_new_patterns(parsed: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first row of each (project_id, source_service, signature) within the watermark's reach."""
-    return parsed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["project_id", "source_service", "signature"])
+    """The first row of each (project_id, source_service, signature) within the watermark's reach; rows without a time are
+    left out."""
+    return parsed.where("ts is not null").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["project_id", "source_service", "signature"])
 
 
 def stream_new_patterns_ever(parsed: DataFrame) -> DataFrame:
@@ -82,16 +122,14 @@ def stream_new_patterns_ever(parsed: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "signature").transformWithStateInPandas(First(), "project_id string, signature string, ts timestamp", "Append", "None")
 
 
-def stream_upsert(chunks: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Start a query that puts each micro-batch into the chunk table by chunk_id.
+def stream_upsert(chunks: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Start a query that puts what is there of ``chunks`` (chunk_id, timestamp_end, ...) into the chunk table at ``path``.
 
-    ``read`` gives the stored table (None if there is none yet), ``write`` replaces it under a batch number; a batch that
-    is run again gives the same table, because equal ids replace each other.
+    A micro-batch touches only the folders that its ids belong to; a batch that is run again gives the same table,
+    because equal ids replace each other.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        stored = read()
-        order = F.desc_nulls_last("timestamp_end")
-        write(upsert_chunks(stored if stored is not None else batch.limit(0), batch, order), number)
+        upsert_table(path, batch, F.desc_nulls_last("timestamp_end"), buckets)
 
     return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -56,3 +56,20 @@ def test_leaderboard_appends(spark, tmp_path):
         tables.write_leaderboard(row, str(tmp_path / "board"))
     got = spark.read.parquet(str(tmp_path / "board")).collect()
     assert len(got) == 2 and got[0].criteria == '{"b":1.0}' and str(got[0].aggregate_score) == "0.500"
+
+
+def test_a_line_read_in_part_goes_on_where_it_ended(spark, tmp_path):
+    log = tmp_path / "w" / "a.log"
+    log.parent.mkdir()
+    log.write_text("first é\r\nhalf done\nlast without an end")
+    watchers = spark.createDataFrame([(1, "svc", str(tmp_path / "w"), "prod", True, "p")], "id int, service_name string, watch_path string, env string, enabled boolean, project_id string")
+    offsets = spark.createDataFrame([(1, str(log), len("first é\r\nhalf".encode()))], "watcher_config_id int, file_path string, offset long")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8")
+    try:
+        lines, after = files.ingest_file_increments(spark, str(tmp_path), offsets, watchers)
+        assert [r.line for r in lines.orderBy("offset").collect()] == [" done", "last without an end"]
+        every, _ = files.ingest_file_increments(spark, str(tmp_path), offsets.limit(0), watchers)
+        assert [(r.line, r.offset) for r in every.orderBy("offset").collect()] == [("first é", 0), ("half done", 10), ("last without an end", 20)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.offset for r in after.collect()] == [len(log.read_bytes())]

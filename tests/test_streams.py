@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -40,18 +41,27 @@ def test_counts_and_first_sights(spark, tmp_path):
     assert sorted(r.signature for r in run(streams.stream_new_patterns(parsed), "news", tmp_path / "c2")) == ["fail <NUM>", "ok"]
 
 
-def test_upsert_sink_is_idempotent(spark, tmp_path):
-    logs, store = tmp_path / "in", {}
+def test_sessions_go_into_the_chunk_table_and_again(spark, tmp_path):
+    logs, store = tmp_path / "in", str(tmp_path / "table")
     logs.mkdir()
-    drop(logs, "1.log", ["2026-01-01T00:10:00Z [ERROR] fail 1", "2026-01-01T00:10:01Z [ERROR] fail 1"])
-    parsed = streams.stream_parse(spark, str(logs), "svc", F.lit(datetime(2026, 2, 1)))
-    chunks = parsed.select(F.sha2("message", 256).alias("chunk_id"), "message", F.col("ts").alias("timestamp_end"))
+    line = "2026-01-01T00:{:02d}:{:02d}Z [ERROR] fail {}".format
+    drop(logs, "1.log", [line(10, k, k) for k in range(9)] + ["2026-01-01T00:10:05Z [INFO] fine", line(30, 0, 1)])
+    for k in (1, 2):  # the same lines again change nothing
+        parsed = streams.stream_parse(spark, str(logs), "svc", F.lit(datetime(2026, 2, 1)))
+        streams.stream_upsert(streams.stream_chunks(parsed), store, str(tmp_path / f"c{k}"), 4).awaitTermination(120)
+        rows = spark.read.parquet(store).orderBy("signature").collect()
+        assert [(r.signature, r["count"], r.examples, r.log_level) for r in rows] == [("fail <NUM>", 9, [f"fail {i}" for i in range(5)], "ERROR"), ("fine", 1, ["fine"], "INFO")]
+    drop(logs, "2.log", [line(50, 0, 7)])
+    streams.stream_upsert(streams.stream_chunks(streams.stream_parse(spark, str(logs), "svc", F.lit(datetime(2026, 2, 1)))), store, str(tmp_path / "c2"), 4).awaitTermination(120)
+    assert spark.read.parquet(store).count() == 3 and spark.read.parquet(store).select("chunk_id").distinct().count() == 3
 
-    def write(df, number):
-        path = str(tmp_path / f"table-{number}-{len(store)}")
-        df.write.parquet(path)
-        store["at"] = path
 
-    for k in (1, 2):
-        streams.stream_upsert(chunks, lambda: spark.read.parquet(store["at"]) if store else None, write, str(tmp_path / f"c{k}")).awaitTermination(120)
-    assert spark.read.parquet(store["at"]).count() == 1
+def test_sessions_keep_five_lines_whatever_the_order():
+    rng = random.Random(1)
+    lines = [(t, f"m{t}", "INFO") for t in [*range(0, 300, 7), *range(1000, 1100, 9)]]
+    rng.shuffle(lines)
+    held = []
+    for k in range(0, len(lines), 5):
+        held = streams.merge_sessions(held, lines[k : k + 5], 40)
+    firsts = [sorted(x for x in lines if low <= x[0] < low + 900)[:5] for low in (0, 1000)]
+    assert [(s[2], s[3]) for s in held] == [(43, firsts[0]), (12, firsts[1])]
