@@ -1,12 +1,16 @@
 """Media columns: AVI motion-JPEG files as binary columns, written, parsed, decoded and cut into shots.
 
 A frame is a gray baseline JPEG of 8 x 8 blocks. Each block is flat and holds one sample, so the quantised DC value is
-exactly that sample and decoding loses nothing. Frames of a batch are coded and decoded together: the k-th block of
-every frame is one vector step, whatever the number of documents.
+exactly that sample and decoding loses nothing. Frames of a batch are coded and decoded together: the k-th symbol of
+every frame is one vector step, whatever the number of documents; long documents are coded in runs of frames.
+
+The decoder reads any baseline motion-JPEG: frames of any size, gray or colour with subsampled components, AC
+coefficients, restart markers, and frames without Huffman tables of their own, as most cameras write them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -21,6 +25,8 @@ from sparklogs.llm.common import buffers, expand, slices
 SIDE = 8
 BLOCKS = SIDE * SIDE
 RATE = 25
+#: Frames that are coded or decoded at once.
+RUN = 1 << 14
 #: DC categories 0 to 8 get these code lengths; the only AC code is "end of block", one bit.
 _DC_LENGTHS = (4, 4, 4, 4, 4, 4, 3, 3, 2)
 
@@ -100,109 +106,292 @@ def encode_frames(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
-def write_avi(samples: np.ndarray, count: np.ndarray) -> list[bytes]:
-    """One AVI file for each document: ``count[i]`` frames of ``samples``, with the index chunk ``idx1``."""
+def _chunks(samples: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The video chunks of some frames, where each begins, and the length of its data."""
     data, length = encode_frames(samples)
-    padded = length + (length & 1)
-    chunk = padded + 8
+    chunk = length + (length & 1) + 8
     start = np.cumsum(chunk) - chunk
     movie = np.zeros(int(chunk.sum()), np.uint8)
     movie[start[:, None] + np.arange(4)] = np.frombuffer(b"00dc", np.uint8)
     movie[start[:, None] + 4 + np.arange(4)] = length.astype("<u4").view(np.uint8).reshape(-1, 4)
     _place(movie, start + 8, data, length)
+    return movie.tobytes(), start, length
+
+
+def _file(movie: bytes, start: np.ndarray, length: np.ndarray) -> bytes:
+    """An AVI file of chunks that begin at ``start``, with the index chunk ``idx1``."""
+    n = len(start)
+    index = np.zeros((n, 4), "<u4")
+    index[:, 0], index[:, 1], index[:, 2], index[:, 3] = int.from_bytes(b"00dc", "little"), 16, start + 4, length
+    main = struct.pack("<14I", 1_000_000 // RATE, 0, 0, 16, n, 0, 1, 0, SIDE * 8, SIDE * 8, 0, 0, 0, 0)
+    stream = b"vidsMJPG" + struct.pack("<10I4H", 0, 0, 0, 1, RATE, 0, n, 0, 2**32 - 1, 0, 0, 0, SIDE * 8, SIDE * 8)
+    form = struct.pack("<IiiHH4sIiiII", 40, SIDE * 8, SIDE * 8, 1, 24, b"MJPG", 0, 0, 0, 0, 0)
+    box = lambda tag, body: tag + struct.pack("<I", len(body)) + body
+    head = box(b"LIST", b"hdrl" + box(b"avih", main) + box(b"LIST", b"strl" + box(b"strh", stream) + box(b"strf", form)))
+    size = 4 + len(head) + 12 + len(movie) + 8 + 16 * n
+    if size >= 1 << 32:
+        raise ValueError("an AVI file holds 4 GB, which is about 1 GB of text")
+    return b"".join([b"RIFF", struct.pack("<I", size), b"AVI ", head, struct.pack("<4sI4s", b"LIST", len(movie) + 4, b"movi"), movie, b"idx1", struct.pack("<I", 16 * n), index.tobytes()])
+
+
+def write_avi(samples: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """One AVI file for each document: ``count[i]`` frames of ``samples``, with the index chunk ``idx1``."""
     last = np.cumsum(count)
+    if len(samples) > RUN and len(count) == 1:  # one long document
+        runs = [_chunks(samples[at : at + RUN]) for at in range(0, len(samples), RUN)]
+        base = np.cumsum([0, *(len(m) for m, _, _ in runs)])
+        return [_file(b"".join(m for m, _, _ in runs), np.concatenate([b + s for b, (_, s, _) in zip(base, runs, strict=False)]), np.concatenate([n for _, _, n in runs]))]
+    movie, start, length = _chunks(samples)
+    bound = np.append(start, len(movie))
     files = []
     for n, end in zip(count.tolist(), last.tolist(), strict=True):
-        lo = int(start[end - n])
-        hi = int(start[end]) if end < len(start) else len(movie)
-        index = np.zeros((n, 4), "<u4")
-        index[:, 0], index[:, 1] = int.from_bytes(b"00dc", "little"), 16
-        index[:, 2], index[:, 3] = start[end - n : end] - lo + 4, length[end - n : end]
-        main = struct.pack("<14I", 1_000_000 // RATE, 0, 0, 16, n, 0, 1, 0, SIDE * 8, SIDE * 8, 0, 0, 0, 0)
-        stream = b"vidsMJPG" + struct.pack("<10I4H", 0, 0, 0, 1, RATE, 0, n, 0, 2**32 - 1, 0, 0, 0, SIDE * 8, SIDE * 8)
-        form = struct.pack("<IiiHH4sIiiII", 40, SIDE * 8, SIDE * 8, 1, 24, b"MJPG", 0, 0, 0, 0, 0)
-        box = lambda tag, body: tag + struct.pack("<I", len(body)) + body
-        head = box(b"LIST", b"hdrl" + box(b"avih", main) + box(b"LIST", b"strl" + box(b"strh", stream) + box(b"strf", form)))
-        body = b"AVI " + head + struct.pack("<4sI4s", b"LIST", hi - lo + 4, b"movi") + movie[lo:hi].tobytes() + box(b"idx1", index.tobytes())
-        files.append(b"RIFF" + struct.pack("<I", len(body)) + body)
+        lo, hi = int(bound[end - n]), int(bound[end])
+        files.append(_file(movie[lo:hi], start[end - n : end] - lo, length[end - n : end]))
     return files
 
 
+def _walk(file: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each video chunk between two places, also inside lists."""
+    while at + 8 <= end:
+        tag, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
+        if tag == b"LIST":
+            yield from _walk(file, at + 12, min(at + 8 + size, end))
+        elif tag[2:] == b"dc":
+            yield at + 8, size
+        at += 8 + size + (size & 1)
+
+
 def read_index(file: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Offset and length of each video chunk, from ``idx1``; its offsets count from the ``movi`` tag or the file's start."""
+    """Offset and length of each video chunk, from ``idx1``; its offsets count from the ``movi`` tag or the file's start.
+
+    A file without an index is read chunk by chunk.
+    """
     if file[:4] != b"RIFF" or file[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     at, movie, index = 12, None, None
     while at + 8 <= len(file):
         tag, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
         if tag == b"LIST" and file[at + 8 : at + 12] == b"movi":
-            movie = at + 8
+            movie = at + 8, at + 8 + size
         elif tag == b"idx1":
             index = np.frombuffer(file, "<u4", size // 16 * 4, at + 8).reshape(-1, 4)
         at += 8 + size + (size & 1)
-    if movie is None or index is None:
-        raise ValueError("no movi list or no idx1 index")
+    if movie is None:
+        raise ValueError("no movi list")
+    if index is None:
+        found = np.array(list(_walk(file, movie[0] + 4, movie[1])), np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
     index = index[(index[:, 0] >> 16) == int.from_bytes(b"dc", "little")]
     offset = index[:, 2].astype(np.int64)
-    base = movie if not len(offset) or file[movie + offset[0] : movie + offset[0] + 4] == index[0, 0].tobytes() else 0
+    base = movie[0] if not len(offset) or file[movie[0] + offset[0] : movie[0] + offset[0] + 4] == index[0, 0].tobytes() else 0
     return offset + base + 8, index[:, 3].astype(np.int64)
 
 
-def parse_header(frame: bytes) -> tuple[int, int, dict[tuple[int, int], int], dict[tuple[int, int], int]]:
-    """Header length, DC quantiser and the DC and AC code tables {(length, code): symbol} of a baseline gray frame."""
-    at, quant, tables = 2, 1, [{}, {}]
-    while True:
-        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
-        body = frame[at + 4 : at + 2 + size]
-        if marker == 0xDB:
-            quant = body[1]
-        elif marker == 0xC4:
-            symbols, code, k = body[17:], 0, 0
-            for length in range(1, 17):
-                for _ in range(body[length]):
-                    tables[body[0] >> 4][length, code] = symbols[k]
-                    code, k = code + 1, k + 1
-                code <<= 1
-        elif marker == 0xC0 and (body[5] != 1 or struct.unpack_from(">HH", body, 1) != (SIDE * 8, SIDE * 8)):
-            raise ValueError("not a gray frame of the expected size")
-        at += 2 + size
-        if marker == 0xDA:
-            return at, quant, *tables
+def frame_seconds(file: bytes) -> float:
+    """Seconds a frame stands, from the main header."""
+    at = file.find(b"avih", 12, 4096)
+    micros = struct.unpack_from("<I", file, at + 8)[0] if at >= 0 else 0
+    return micros / 1e6 if micros else 1 / RATE
+
+
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k % 8 if (k // 8 + k % 8) % 2 else k // 8)))
+#: What 8 coefficients of a row or column add to its 8 values.
+_BASIS = np.array([[(0.5 if k else 0.5 / np.sqrt(2)) * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)])
+# Huffman tables of frames that bring none (number of codes of each length, then the symbols). All other AC
+# symbols follow the listed ones in ascending order.
+_COMMON = {
+    (0, 0): ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    (0, 1): ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    (1, 0): ("00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d", "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    (1, 1): ("00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77", "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+
+
+def _lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Code length and symbol for every 16 bits; length 0 where no code begins so."""
+    length, value = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    code, k = 0, 0
+    for n in range(1, 17):
+        for _ in range(counts[n - 1]):
+            span = slice(code << (16 - n), (code + 1) << (16 - n))
+            length[span], value[span] = n, symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return length, value
+
+
+@functools.cache
+def _common_tables() -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for key, (counts, symbols) in _COMMON.items():
+        own = bytes.fromhex(symbols)
+        if key[0]:
+            own += bytes(r << 4 | n for r in range(16) for n in range(1, 11) if (r << 4 | n) not in own)
+        out[key] = _lookup(bytes.fromhex(counts), own)
+    return out
+
+
+class Header:
+    """What a baseline frame says before its data: size, components, quantisers, Huffman tables and restart interval."""
+
+    def __init__(self, frame: bytes):
+        at, self.restart, self.quant, self.tables, self.size = 2, 0, {}, dict(_common_tables()), None
+        if frame[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
+        while True:
+            if frame[at] != 0xFF or at + 4 > len(frame):
+                raise ValueError("no marker where one is due")
+            marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+            body = frame[at + 4 : at + 2 + size]
+            if marker == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    self.quant[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                    body = body[65 + 64 * wide :]
+            elif marker == 0xC4:
+                while body:
+                    n = sum(body[1:17])
+                    self.tables[body[0] >> 4, body[0] & 15] = _lookup(body[1:17], body[17 : 17 + n])
+                    body = body[17 + n :]
+            elif marker in (0xC0, 0xC1):
+                if body[0] != 8:
+                    raise ValueError("not eight bits a sample")
+                self.size = struct.unpack_from(">HH", body, 1)
+                self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
+                raise ValueError("not a baseline frame")
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
+            at += 2 + size
+            if marker == 0xDA:
+                break
+        if self.size is None or body[0] != len(self.parts):
+            raise ValueError("not one scan of all components")
+        self.length = at
+        self.codes = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+        single = len(self.parts) == 1
+        across, down = (1, 1) if single else (max(p[1] for p in self.parts), max(p[2] for p in self.parts))
+        self.mcus = -(-self.size[0] // (8 * down)), -(-self.size[1] // (8 * across))
+        #: For each component: blocks down and across in an MCU, quantiser, DC and AC table.
+        self.components = [(1 if single else v, 1 if single else h, self.quant[q], self.tables[0, self.codes[i][0]], self.tables[1, self.codes[i][1]]) for i, h, v, q in self.parts]
+
+
+def _clean(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The coded bytes of all frames without stuffing and markers, where each frame's begin, and those of its restarts."""
+    scan = data[expand(start, count)]
+    after = np.zeros(len(scan), bool)
+    after[1:] = scan[:-1] == 255
+    after[np.cumsum(count)[:-1]] = False
+    mark = after & (scan >= 0xD0) & (scan <= 0xD7)
+    drop = (after & (scan == 0)) | mark
+    drop[:-1] |= mark[1:]
+    kept = np.concatenate([[0], np.cumsum(~drop)])
+    ends = np.cumsum(count)
+    where, owner = kept[np.flatnonzero(mark)], np.searchsorted(ends, np.flatnonzero(mark), "right")
+    cut = np.searchsorted(owner, np.arange(len(count) + 1))
+    return scan[~drop], kept[ends - count], [where[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """(frames, 64) samples: the mean of each block. All frames must open with the header of the first."""
-    if not len(start):
-        return np.zeros((0, BLOCKS), np.uint8)
-    top, quant, dc, ac = parse_header(data[start[0] : start[0] + length[0]].tobytes())
-    if (data[start[:, None] + np.arange(top)] != data[start[0] : start[0] + top]).any():
-        raise ValueError("frames with different headers")
-    count = length - top - 2
-    scan = data[expand(start + top, count)]
-    keep = np.ones(len(scan), bool)
-    keep[1:] = (scan[1:] != 0) | (scan[:-1] != 255)
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    ends = np.cumsum(count)
-    first = kept[ends - count]
-    scan = np.concatenate([scan[keep], np.zeros(8, np.uint8)])
+def _decode(data: np.ndarray, start: np.ndarray, length: np.ndarray, head: Header) -> tuple[list[np.ndarray], list[tuple[np.ndarray, ...]]]:
+    """Quantised DC values (frames, blocks) of each component, in MCU order, and all other values that are not zero as
+    (component, frame, block, place, value). All frames have one header; a symbol of every frame is one step."""
+    scan, first, restarts = _clean(data, start + head.length, length - head.length)
+    scan = np.concatenate([scan, np.zeros(8, np.uint8)])
     wide = scan[:-7].astype(np.uint64)
     for k in range(1, 5):
         wide = (wide << np.uint64(8)) | scan[k : len(scan) - 7 + k]
-    most = max(n for n, _ in dc)
-    look_n, look_s = np.zeros(1 << most, np.int64), np.zeros(1 << most, np.int64)
-    for (n, code), symbol in dc.items():
-        look_n[code << (most - n) : (code + 1) << (most - n)], look_s[code << (most - n) : (code + 1) << (most - n)] = n, symbol
-    end_bits = next(n for (n, _), symbol in ac.items() if symbol == 0)
-    at, level, out = first * 8, np.zeros(len(start), np.int64), np.empty((len(start), BLOCKS), np.int64)
-    for k in range(BLOCKS):
-        bits = (wide[at >> 3] << (at & 7).astype(np.uint64)) & np.uint64((1 << 40) - 1)
-        code = (bits >> np.uint64(40 - most)).astype(np.int64)
-        n, cat = look_n[code], look_s[code]
-        extra = (bits >> (40 - n - cat).astype(np.uint64)).astype(np.int64) & ((1 << cat) - 1)
-        level = level + np.where((cat > 0) & (extra < (1 << np.maximum(cat - 1, 0))), extra - (1 << cat) + 1, extra)
-        out[:, k] = level
-        at = at + n + cat + end_bits
-    return (out * quant // 8 + 128).astype(np.uint8)
+    at, frames = first * 8, np.arange(len(start))
+    top = (len(wide) - 1) * 8
+
+    def symbol(own: np.ndarray, table: tuple[np.ndarray, np.ndarray], mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next symbol of some frames, the value after it, and how many values it skips."""
+        here = at[own]
+        bits = (wide[np.minimum(here, top) >> 3] << (here & 7).astype(np.uint64)) & np.uint64((1 << 40) - 1)
+        code = (bits >> np.uint64(24)).astype(np.int64)
+        n, s = table[0][code], table[1][code]
+        cat = s & mask
+        raw = (bits >> (40 - n - cat).astype(np.uint64)).astype(np.int64) & ((1 << cat) - 1)
+        at[own] = here + n + cat
+        return s, np.where((cat > 0) & (raw < (1 << np.maximum(cat - 1, 0))), raw - (1 << cat) + 1, raw), s >> 4
+
+    mcus = head.mcus[0] * head.mcus[1]
+    out = [np.empty((len(start), mcus * down * across), np.int32) for down, across, *_ in head.components]
+    rest: list[tuple[np.ndarray, ...]] = []
+    level = [np.zeros(len(start), np.int64) for _ in head.components]
+    for mcu in range(mcus):
+        if head.restart and mcu and mcu % head.restart == 0:
+            nth = mcu // head.restart - 1
+            if any(len(r) <= nth for r in restarts):
+                raise ValueError("a restart marker is missing")
+            at[:] = np.array([r[nth] for r in restarts]) * 8
+            level = [np.zeros(len(start), np.int64) for _ in head.components]
+        for c, (down, across, _, dc, ac) in enumerate(head.components):
+            for block in range(mcu * down * across, (mcu + 1) * down * across):
+                level[c] = level[c] + symbol(frames, dc, 15)[1]
+                out[c][:, block] = level[c]
+                own, place = frames, np.zeros(len(start), np.int64)
+                while len(own):
+                    s, value, skip = symbol(own, ac, 15)
+                    go = s != 0
+                    if not go.any():
+                        break
+                    own, place, value, full = own[go], place[go] + skip[go] + 1, value[go], s[go] == 0xF0
+                    if (place > 63).any():
+                        raise ValueError("more than 64 values in a block")
+                    if not full.all():
+                        rest.append((np.full((~full).sum(), c), own[~full], np.full((~full).sum(), block), place[~full], value[~full]))
+                    own, place = own[place < 63], place[place < 63]
+    return out, rest
+
+
+def _runs(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, Header]]:
+    """Numbers of frames with one header, ``RUN`` at most."""
+    left = np.arange(len(start))
+    while len(left):
+        part = left[:RUN]
+        head = Header(data[start[part[0]] : start[part[0]] + length[part[0]]].tobytes())
+        own = data[start[part[0]] : start[part[0]] + head.length]
+        long = length[part] >= head.length
+        same = np.zeros(len(part), bool)
+        same[long] = (data[start[part[long]][:, None] + np.arange(head.length)] == own).all(axis=1)
+        yield part[same], head
+        left = np.concatenate([part[~same], left[RUN:]])
+
+
+def decode_frames(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(frames, blocks) samples: the mean of each block of the first component, which AC values do not change."""
+    out = None
+    for own, head in _runs(data, start, length):
+        values = _decode(data, start[own], length[own], head)[0][0]
+        mean = np.clip(values * int(head.components[0][2][0]) // 8 + 128, 0, 255).astype(np.uint8)
+        if out is None:
+            out = np.empty((len(start), mean.shape[1]), np.uint8)
+        if mean.shape[1] != out.shape[1]:
+            raise ValueError("frames of different sizes")
+        out[own] = mean
+    return np.zeros((0, BLOCKS), np.uint8) if out is None else out
+
+
+def decode_planes(frame: bytes) -> list[np.ndarray]:
+    """The samples of each component of a frame, at the component's own resolution."""
+    data = np.frombuffer(frame, np.uint8)
+    head = Header(frame)
+    dc, rest = _decode(data, np.zeros(1, np.int64), np.array([len(frame)]), head)
+    planes = []
+    for c, (down, across, quant, *_) in enumerate(head.components):
+        values = np.zeros((dc[c].shape[1], 64))
+        values[:, 0] = dc[c][0]
+        for part, _, block, place, value in rest:
+            values[block[part == c], place[part == c]] = value[part == c]
+        square = np.zeros_like(values)
+        square[:, _ZIGZAG] = values * quant
+        pixels = np.einsum("nuv,uy,vx->nyx", square.reshape(-1, 8, 8), _BASIS, _BASIS) + 128
+        rows, columns = head.mcus
+        grid = pixels.reshape(rows, columns, down, across, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(rows * down * 8, columns * across * 8)
+        most_down, most_across = (1, 1) if len(head.parts) == 1 else (max(p[2] for p in head.parts), max(p[1] for p in head.parts))
+        height, width = -(-head.size[0] * down // most_down), -(-head.size[1] * across // most_across)
+        planes.append(np.clip(np.rint(grid[:height, :width]), 0, 255).astype(np.uint8))
+    return planes
 
 
 def shots(samples: np.ndarray, count: np.ndarray, bins: int = 16, near: int = 8, factor: float = 2.0) -> list[np.ndarray]:
@@ -244,7 +433,7 @@ def texts_as_video(texts: pa.Array) -> list[bytes]:
 
 
 def decode_videos(files: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Samples of all frames of some AVI files and the number of frames of each."""
+    """Samples of all frames of some AVI files, of one size, and the number of frames of each."""
     data = np.frombuffer(b"".join(files), np.uint8)
     base = np.cumsum([0, *map(len, files[:-1])])
     found = [read_index(f) for f in files]
@@ -253,6 +442,22 @@ def decode_videos(files: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return decode_frames(data, start, length), np.array([len(s) for s, _ in found], np.int64)
 
 
+def decoded(files: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of files, samples, frames of each): all at once where their frames are alike, else one by one.
+
+    Files that are no baseline motion-JPEG AVI are left out.
+    """
+    try:
+        yield list(range(len(files))), *decode_videos(files)
+    except (ValueError, IndexError, KeyError, struct.error):
+        for i, file in enumerate(files):
+            try:
+                found = decode_videos([file])
+            except (ValueError, IndexError, KeyError, struct.error):
+                continue
+            yield [i], *found
+
+
 def media_table(docs: DataFrame) -> DataFrame:
     """``docs`` with a binary column ``media``, the AVI file of each text (null counts as empty); other columns go on."""
     schema = docs.select(*[c for c in docs.columns if c != "media"]).schema.add("media", "binary")
@@ -268,7 +473,8 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 def media_clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per shot: key, clip, first_frame, frames, start_s, end_s, mean sample; null media gives no rows."""
+    """One row per shot: key, clip, first_frame, frames, start_s, end_s, mean sample; null media gives no rows, and so does
+    a file that is no baseline motion-JPEG AVI."""
     kind = media.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, clip int, first_frame int, frames int, start_s double, end_s double, mean double"
 
@@ -276,12 +482,14 @@ def media_clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for part in slices(batch, "media", 8 << 20):
                 part = part.filter(part.column("media").is_valid())
-                samples, count = decode_videos(part.column("media").to_pylist())
-                rows, base = [], 0
-                for k, n, cuts in zip(part.column(key).to_pylist(), count.tolist(), shots(samples, count), strict=True):
-                    for c, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=False)):
-                        rows.append((k, c, a, b - a, a / RATE, b / RATE, float(samples[base + a : base + b].mean())))
-                    base += n
+                keys, files, rows = part.column(key).to_pylist(), part.column("media").to_pylist(), []
+                for own, samples, count in decoded(files):
+                    base = 0
+                    for i, n, cuts in zip(own, count.tolist(), shots(samples, count), strict=True):
+                        tick = frame_seconds(files[i])
+                        for c, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=False)):
+                            rows.append((keys[i], c, a, b - a, a * tick, b * tick, float(samples[base + a : base + b].mean())))
+                        base += n
                 if rows:
                     names = [x.split()[0] for x in schema.split(", ")]
                     kinds = [part.schema.field(key).type, *[pa.int32()] * 3, *[pa.float64()] * 3]

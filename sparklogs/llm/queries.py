@@ -26,6 +26,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_docs(spark, sf_dir))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shots of the videos that ``op3_media`` describes, as timed clips."""
+    return media.media_clips(media.media_table(_docs(spark, sf_dir).select("doc_id", "text")))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_docs(spark, sf_dir))
 
@@ -64,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality)
+    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality, media_clips)
 }
 #: Lines that an earlier one equals or is one edit away from, by plain edit distance of all lines of about one length.
 #: DuckDB's distance counts bytes, and a character has four at most: what it lets pass is compared without one character.

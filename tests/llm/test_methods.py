@@ -551,3 +551,147 @@ def test_without_ratings_thresholds_are_ordered_and_all_stay(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     rows = quality.grade_documents(docs, spark.createDataFrame([], "doc_id long, grade int"), grades=3).collect()
     assert [r.keep for r in rows] == [1, 1] and all(abs(r.expected_grade - (0.5 + 1 / (1 + np.e))) < 1e-9 for r in rows)
+
+
+class _Jpeg:
+    """A slow baseline encoder: planes of quantised blocks to a frame, with the common Huffman tables."""
+
+    def __init__(self, planes, quant, sampling, size, restart=0, own_tables=False):
+        self.bits, self.out, self.codes = [], bytearray(b"\xff\xd8"), {}
+        for key, (counts, symbols) in media._COMMON.items():
+            n, own = bytes.fromhex(counts), bytes.fromhex(symbols)
+            if key[0]:
+                own += bytes(s for s in range(256) if s >> 4 < 16 and 1 <= s & 15 <= 10 and s not in own)
+            code, k = 0, 0
+            for length in range(1, 17):
+                for _ in range(n[length - 1]):
+                    self.codes[key, own[k]] = (code, length)
+                    code, k = code + 1, k + 1
+                code <<= 1
+            if own_tables:
+                self.segment(0xC4, bytes([key[0] << 4 | key[1]]) + n + own)
+        zigzag = [int(x) for x in media._ZIGZAG]
+        for i, q in enumerate(quant):
+            self.segment(0xDB, bytes([i]) + bytes(int(q[z]) for z in zigzag))
+        parts = b"".join(bytes([i + 1, h << 4 | v, min(i, len(quant) - 1)]) for i, (v, h) in enumerate(sampling))
+        self.segment(0xC0, b"\x08" + size[0].to_bytes(2, "big") + size[1].to_bytes(2, "big") + bytes([len(planes)]) + parts)
+        if restart:
+            self.segment(0xDD, restart.to_bytes(2, "big"))
+        scan = b"".join(bytes([i + 1, 0x11 if i else 0]) for i in range(len(planes)))
+        self.segment(0xDA, bytes([len(planes)]) + scan + b"\x00\x3f\x00")
+        last = [0] * len(planes)
+        rows, columns = planes[0].shape[0] // sampling[0][0], planes[0].shape[1] // sampling[0][1]
+        for mcu in range(rows * columns):
+            if restart and mcu and mcu % restart == 0:
+                self.flush()
+                self.out += bytes([0xFF, 0xD0 + (mcu // restart - 1) % 8])
+                last = [0] * len(planes)
+            r, c = divmod(mcu, columns)
+            for i, (v, h) in enumerate(sampling):
+                for y in range(v):
+                    for x in range(h):
+                        block = planes[i][r * v + y, c * h + x].reshape(-1)[zigzag]
+                        self.value((0, min(i, 1)), 0, int(block[0]) - last[i])
+                        last[i], run = int(block[0]), 0
+                        for k in range(1, 64):
+                            if block[k] == 0:
+                                run += 1
+                                continue
+                            while run > 15:
+                                self.code((1, min(i, 1)), 0xF0)
+                                run -= 16
+                            self.value((1, min(i, 1)), run, int(block[k]))
+                            run = 0
+                        if run:
+                            self.code((1, min(i, 1)), 0)
+        self.flush()
+        self.frame = bytes(self.out) + b"\xff\xd9"
+
+    def segment(self, marker, body):
+        self.out += bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    def put(self, value, length):
+        self.bits += [value >> (length - 1 - i) & 1 for i in range(length)]
+
+    def code(self, table, symbol):
+        self.put(*self.codes[table, symbol])
+
+    def value(self, table, run, x):
+        n = abs(x).bit_length()
+        self.code(table, run << 4 | n)
+        self.put(x if x > 0 else x + (1 << n) - 1, n)
+
+    def flush(self):
+        self.bits += [1] * (-len(self.bits) % 8)
+        for i in range(0, len(self.bits), 8):
+            byte = int("".join(map(str, self.bits[i : i + 8])), 2)
+            self.out += bytes([byte]) + (b"\x00" if byte == 255 else b"")
+        self.bits = []
+
+
+def _inverse(block, quant):
+    out = np.zeros((8, 8))
+    for u in range(8):
+        for v in range(8):
+            a = np.cos((2 * np.arange(8) + 1) * u * np.pi / 16) * (1 if u else np.sqrt(0.5)) / 2
+            b = np.cos((2 * np.arange(8) + 1) * v * np.pi / 16) * (1 if v else np.sqrt(0.5)) / 2
+            out += block[u, v] * quant[u * 8 + v] * np.outer(a, b)
+    return np.clip(np.rint(out + 128), 0, 255)
+
+
+@pytest.mark.parametrize(("sampling", "size", "restart", "own"), [([(1, 1)], (20, 30), 0, False), ([(2, 2), (1, 1), (1, 1)], (30, 50), 0, True), ([(2, 1), (1, 1), (1, 1)], (33, 16), 3, False), ([(1, 1)], (64, 64), 5, True)])
+def test_any_baseline_frame_is_decoded(sampling, size, restart, own):
+    rng = np.random.default_rng(5)
+    down, across = max(v for v, _ in sampling), max(h for _, h in sampling)
+    rows, columns = -(-size[0] // (8 * down)), -(-size[1] // (8 * across))
+    quant = [rng.integers(1, 30, 64), rng.integers(1, 40, 64)][: len(sampling)]
+
+    def video():
+        planes = []
+        for v, h in sampling:
+            p = rng.integers(-12, 13, (rows * v, columns * h, 8, 8)) * (rng.random((rows * v, columns * h, 8, 8)) < 0.15)
+            p[:, :, 0, 0] = rng.integers(-30, 31, p.shape[:2])
+            planes.append(p)
+        return planes
+
+    frames = [video() for _ in range(3)]
+    coded = [_Jpeg(p, quant, sampling, size, restart, own).frame for p in frames]
+    for planes, frame in zip(frames, coded, strict=True):
+        for i, got in enumerate(media.decode_planes(frame)):
+            q = quant[min(i, len(quant) - 1)]
+            want = np.block([[_inverse(b, q) for b in row] for row in planes[i]])
+            height, width = -(-size[0] * sampling[i][0] // down), -(-size[1] * sampling[i][1] // across)
+            assert got.shape == (height, width) and np.abs(got.astype(int) - want[:height, :width]).max() <= 1
+    lengths = np.array([len(f) for f in coded])
+    means = media.decode_frames(np.frombuffer(b"".join(coded), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    for planes, got in zip(frames, means, strict=True):
+        v, h = sampling[0]
+        want = np.clip(planes[0][:, :, 0, 0] * int(quant[0][0]) // 8 + 128, 0, 255)
+        assert (got == want.reshape(rows, v, columns, h).transpose(0, 2, 1, 3).reshape(-1)).all()
+
+
+def test_videos_of_other_writers_and_none_at_all(spark):
+    rng = np.random.default_rng(6)
+    chunk = lambda tag, body: tag + len(body).to_bytes(4, "little") + body + b"\x00" * (len(body) % 2)
+    frames = []
+    for level in (-20, 25):
+        for _ in range(6):
+            p = rng.integers(-2, 3, (2, 2, 8, 8))
+            p[:, :, 0, 0] = level
+            frames.append(_Jpeg([p], [np.full(64, 16)], [(1, 1)], (16, 16)).frame)
+    movie = chunk(b"LIST", b"rec " + b"".join(chunk(b"00dc", f) for f in frames[:4])) + b"".join(chunk(b"00dc", f) for f in frames[4:])
+    body = b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"avih", (500_000).to_bytes(4, "little") + bytes(52))) + chunk(b"LIST", b"movi" + movie)
+    mine = media.texts_as_video(pa.array(["some text"]))[0]
+    rows = [(1, bytearray(chunk(b"RIFF", body))), (2, bytearray(b"no video")), (3, None), (4, bytearray(mine)), (5, bytearray(chunk(b"RIFF", body)[:700]))]
+    got = media.media_clips(spark.createDataFrame(rows, "doc_id long, media binary").repartition(1)).collect()
+    assert sorted((r.doc_id, r.clip, r.first_frame, r.frames, r.start_s, r.end_s) for r in got if r.doc_id != 5) == [(1, 0, 0, 6, 0.0, 3.0), (1, 1, 6, 6, 3.0, 6.0), (4, 0, 0, 1, 0.0, 0.04)]
+
+
+def test_a_long_text_is_stored_in_runs(monkeypatch):
+    monkeypatch.setattr(media, "RUN", 50)
+    text = "some words in a row " * 600
+    one = media.texts_as_video(pa.array([text]))
+    samples, count = media.decode_videos(one)
+    assert samples.tobytes()[: len(text)] == text.encode() and count.tolist() == [-(-len(text) // 64)]
+    monkeypatch.setattr(media, "RUN", 1 << 14)
+    assert media.texts_as_video(pa.array([text])) == one
