@@ -12,7 +12,7 @@ def drop(folder, name, lines):
 
 def run(frame, name, checkpoint, mode="append"):
     query = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", str(checkpoint)).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(600)
     return frame.sparkSession.table(name).collect()
 
 
@@ -48,11 +48,11 @@ def test_sessions_go_into_the_chunk_table_and_again(spark, tmp_path):
     drop(logs, "1.log", [line(10, k, k) for k in range(9)] + ["2026-01-01T00:10:05Z [INFO] fine", line(30, 0, 1)])
     for k in (1, 2):  # the same lines again change nothing
         parsed = streams.stream_parse(spark, str(logs), "svc", F.lit(datetime(2026, 2, 1)))
-        streams.stream_upsert(streams.stream_chunks(parsed), store, str(tmp_path / f"c{k}"), 4).awaitTermination(120)
+        streams.stream_upsert(streams.stream_chunks(parsed), store, str(tmp_path / f"c{k}"), 4).awaitTermination(600)
         rows = spark.read.parquet(store).orderBy("signature").collect()
         assert [(r.signature, r["count"], r.examples, r.log_level) for r in rows] == [("fail <NUM>", 9, [f"fail {i}" for i in range(5)], "ERROR"), ("fine", 1, ["fine"], "INFO")]
     drop(logs, "2.log", [line(50, 0, 7)])
-    streams.stream_upsert(streams.stream_chunks(streams.stream_parse(spark, str(logs), "svc", F.lit(datetime(2026, 2, 1)))), store, str(tmp_path / "c2"), 4).awaitTermination(120)
+    streams.stream_upsert(streams.stream_chunks(streams.stream_parse(spark, str(logs), "svc", F.lit(datetime(2026, 2, 1)))), store, str(tmp_path / "c2"), 4).awaitTermination(600)
     assert spark.read.parquet(store).count() == 3 and spark.read.parquet(store).select("chunk_id").distinct().count() == 3
 
 
