@@ -51,7 +51,7 @@ def sparse_rows(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return np.split((key[new] & (BUCKETS - 1)).astype(np.int32), cut), np.split(share.astype(np.float32), cut)
 
 
-def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 150, ridge: float = 1e-6, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 150, ridge: float = 1e-3, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by gradient steps with adapted rates; thresholds stay ordered as a first one and
     the logarithms of the gaps. Without rows the weights are zero and the thresholds 0, 1, 2 and so on."""
     weight, base = np.zeros(BUCKETS), np.arange(max(grades - 1, 1), dtype=float)
