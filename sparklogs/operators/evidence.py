@@ -32,13 +32,17 @@ def cited_ids(answer_trigger: str = "trigger_event", chain: str = "propagation_c
 
 
 def _pool(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Answers with ``_n``, the size of their evidence, and ``_outside``, the cited ids that are not in it."""
-    size = evidence.groupBy("investigation_id").agg(F.count("*").alias("_n"))
-    cited = answers.select("investigation_id", F.explode(cited_ids()).alias("chunk_id"))
-    outside = cited.join(evidence.select("investigation_id", "chunk_id"), ["investigation_id", "chunk_id"], "left_anti")
-    lost = outside.groupBy("investigation_id").agg(F.collect_set("chunk_id").alias("_outside"))
-    rows = answers.join(size, "investigation_id", "left").join(lost, "investigation_id", "left")
-    return rows.withColumns({"_n": F.coalesce("_n", F.lit(0)), "_outside": F.coalesce("_outside", _none("array<string>"))})
+    """Answers with ``_n``, the size of their evidence, its ``_services`` and lower-case ``_texts``, and ``_outside``, the
+    cited ids that are not in it.
+
+    An investigation's evidence is what one run of questions found, some hundreds of rows at most, so it is gathered into
+    one row, in one shuffle, and everything else is done there.
+    """
+    text = F.lower(F.coalesce("message", F.lit("")))
+    own = evidence.groupBy("investigation_id").agg(F.count("*").alias("_n"), F.collect_set("chunk_id").alias("_ids"), F.collect_set("service").alias("_services"), F.collect_set(text).alias("_texts"))
+    rows = answers.join(own, "investigation_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rows = rows.withColumns({c: F.coalesce(c, _none("array<string>")) for c in ("_ids", "_services", "_texts")})
+    return rows.withColumn("_outside", F.array_except(cited_ids(), F.col("_ids"))).drop("_ids")
 
 
 def validate_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -57,15 +61,11 @@ def validate_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return _pool(answers, evidence).select("investigation_id", F.array_compact(errors).alias("errors")).withColumn("valid", F.size("errors") == 0)
 
 
-def _absent(answers: DataFrame, evidence: DataFrame, column: str, name: str, by_service: bool = False) -> DataFrame:
-    """investigation_id and ``name``: how many of the answer's ``column`` stand in no evidence text (or service)."""
-    asked = answers.select("investigation_id", F.explode(F.array_distinct(column)).alias("what"))
-    text = F.lower(F.coalesce("message", F.lit("")))
-    seen = text.contains(F.lower("what"))
-    if by_service:
-        seen = seen | F.coalesce(F.col("service") == F.col("what"), F.lit(False))
-    found = asked.join(evidence.select("investigation_id", "message", "service"), "investigation_id").groupBy("investigation_id", "what").agg(F.max(seen).alias("seen"))
-    return found.groupBy("investigation_id").agg(F.count_if(~F.col("seen")).alias(name))
+def _absent(what: Column, by_service: bool = False) -> Column:
+    """Those of an array that stand in no evidence text (or service)."""
+    held = lambda w: F.exists("_texts", lambda t: t.contains(F.lower(w)))
+    seen = (lambda w: held(w) | F.array_contains("_services", w)) if by_service else held
+    return F.filter(F.array_distinct(F.array_compact(what)), lambda w: ~seen(w))
 
 
 def enforce_floors(answers: DataFrame, evidence: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -76,14 +76,15 @@ def enforce_floors(answers: DataFrame, evidence: DataFrame, entities: DataFrame
     one; a hedging root cause is not high. ``entities`` has investigation_id and entities.
     """
     rows = _pool(answers, evidence).withColumn("_cited", F.size(cited_ids()))
-    rows = rows.join(_absent(answers, evidence, "affected_services", "_unseen", by_service=True), "investigation_id", "left")
-    services = evidence.where("service is not null and service <> ''").select("investigation_id").distinct().withColumn("_services", F.lit(True))
-    rows = rows.join(services, "investigation_id", "left")
+    asked = _none("array<string>")
     if entities is not None:
-        rows = rows.join(entities.select("investigation_id", F.size(F.array_distinct("entities")).alias("_asked")), "investigation_id", "left")
-        rows = rows.join(_absent(entities, evidence, "entities", "_lost"), "investigation_id", "left")
-    else:
-        rows = rows.withColumns({"_asked": F.lit(0), "_lost": F.lit(0)})
+        rows = rows.join(entities.select("investigation_id", F.col("entities").alias("_entities")), "investigation_id", "left")
+        asked = F.coalesce("_entities", asked)
+    shown = F.exists("_services", lambda s: s != "")
+    rows = rows.withColumns({
+        "_unseen": F.when(shown, F.size(_absent(F.coalesce("affected_services", _none("array<string>")), by_service=True))).otherwise(0),
+        "_asked": F.size(F.array_distinct(asked)), "_lost": F.size(_absent(asked)),
+    })
     given = F.lower(F.coalesce("confidence", F.lit("")))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, CONFIDENCE)), given) - 1, F.lit(-1)).cast("int")
     rows = rows.withColumns({"_rank": F.greatest(rank, F.lit(0)), "_gaps": F.coalesce("gaps", _none("array<string>")), "notes": F.when(rank < 0, F.array(F.lit("bad confidence"))).otherwise(_none("array<string>"))})
@@ -96,13 +97,13 @@ def enforce_floors(answers: DataFrame, evidence: DataFrame, entities: DataFrame
 
     lower, level = F.greatest(F.col("_rank") - 1, F.lit(0)), F.col("_rank")
     rows = floor(rows, (F.col("_n") == 0) & (level > 0), F.lit(0), "no evidence")
-    rows = floor(rows, (F.col("_n") > 0) & (F.coalesce("_asked", F.lit(0)) > 0) & (F.col("_lost") == F.col("_asked")) & (level > 0), F.lit(0), "no entity of the question in the evidence")
+    rows = floor(rows, (F.col("_n") > 0) & (F.col("_asked") > 0) & (F.col("_lost") == F.col("_asked")) & (level > 0), F.lit(0), "no entity of the question in the evidence")
     rows = floor(rows, (level == 2) & (F.col("_cited") < 2), lower, "fewer than two citations")
     bare = (level > 0) & (F.size("_gaps") == 0)
     rows = rows.withColumn("_bare", bare)
     rows = floor(rows, F.col("_bare") & (F.col("_cited") >= 3), level, "no gaps listed", as_gap=False)
     rows = floor(rows, F.col("_bare") & (F.col("_cited") < 3), lower, "no gaps and fewer than three citations")
-    rows = floor(rows, F.coalesce("_services", F.lit(False)) & (F.coalesce("_unseen", F.lit(0)) > 0), lower, "services that no evidence shows")
+    rows = floor(rows, F.col("_unseen") > 0, lower, "services that no evidence shows")
     hedged = F.exists(F.array(*map(F.lit, HEDGES)), lambda h: F.lower(F.coalesce("root_cause", F.lit(""))).contains(h))
     rows = floor(rows, (level == 2) & hedged, F.lit(1), "hedging root cause")
     return rows.select("investigation_id", F.element_at(F.array(*map(F.lit, CONFIDENCE)), level + 1).alias("confidence"), F.col("_gaps").alias("gaps"), "notes")

@@ -122,11 +122,11 @@ def zoneless(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
 
 
-#: Ranked hits of 40 queries: each chunk belongs to one.
+#: Ranked hits of queries, 250 each: every chunk belongs to one, so there are more queries where there are more events.
 HITS_SQL = CHUNKS_SQL + """,
-hits AS (SELECT event_id % 40 AS query_id, row_number() OVER (PARTITION BY event_id % 40 ORDER BY value DESC, chunk_id) - 1 AS rank, value AS score, * FROM chunks)"""
+hits AS (SELECT event_id // 250 AS query_id, row_number() OVER (PARTITION BY event_id // 250 ORDER BY value DESC, chunk_id) - 1 AS rank, value AS score, * FROM chunks)"""
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).withColumns({"query_id": F.col("event_id") % 40, "score": F.col("value")})
+    rows = chunks(spark, sf_dir).withColumns({"query_id": F.call_function("div", F.col("event_id"), F.lit(250)), "score": F.col("value")})
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "chunk_id")) - 1)

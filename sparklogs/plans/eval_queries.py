@@ -239,17 +239,31 @@ def precheck_answers(spark, sf_dir):
 
 # Evaluation
 
-@query("WITH " + HITS_SQL + """, top AS (SELECT * FROM hits WHERE rank < 10), truth AS (SELECT DISTINCT query_id, ['svc-1', 'svc-9'] AS services, CASE WHEN query_id % 5 = 0 THEN [] ELSE ['ORDER-' || query_id, 'purchase', 'absent'] END AS keywords FROM hits),
-  a AS (SELECT query_id, list_sort(list(DISTINCT source_service)) AS seen, string_agg(lower(text), chr(1)) AS body FROM top GROUP BY 1),
-  f AS (SELECT t.*, seen, list_filter(keywords, lambda k: contains(body, lower(k))) AS found FROM truth t JOIN a USING (query_id))
-  SELECT query_id, len(list_intersect(services, seen)) / 2 AS service_recall, CASE WHEN len(keywords) = 0 THEN 1.0 ELSE round(len(found) / len(keywords), 6) END AS keyword_recall, list_sort(found) AS found,
-   list_sort(list_filter(keywords, lambda k: NOT list_contains(found, k))) AS missed, seen AS services, len(list_intersect(services, seen)) / 2 >= 0.6 AND (len(keywords) = 0 OR len(found) / len(keywords) >= 0.6) AS meets_target FROM f""")
-def score_retrieval(spark, sf_dir):
+SCORED_SQL = "WITH " + HITS_SQL + """, top AS (SELECT * FROM hits WHERE rank < 10), truth AS (SELECT DISTINCT query_id, ['svc-1', 'svc-9'] AS services, CASE WHEN query_id % 5 = 0 THEN [] ELSE ['ORDER-' || query_id, 'purchase', 'absent'] END AS keywords FROM hits),
+  a AS (SELECT query_id, list_sort(list(DISTINCT source_service)) AS seen, string_agg(lower(text), chr(1)) AS body, list(round(score, 6) ORDER BY score DESC)[1:3] AS best FROM top GROUP BY 1),
+  f AS (SELECT t.*, seen, best, list_filter(keywords, lambda k: contains(body, lower(k))) AS found FROM truth t JOIN a USING (query_id)),
+  scored AS (SELECT query_id, len(list_intersect(services, seen)) / 2 AS service_recall, CASE WHEN len(keywords) = 0 THEN 1.0 ELSE len(found) / len(keywords) END AS keyword_recall, list_sort(found) AS found,
+   list_sort(list_filter(keywords, lambda k: NOT list_contains(found, k))) AS missed, seen AS services, array_to_string(best, ',') AS top_scores, len(list_intersect(services, seen)) / 2 >= 0.6 AND (len(keywords) = 0 OR len(found) / len(keywords) >= 0.6) AS meets_target FROM f)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits(spark, sf_dir)
     n = F.col("query_id")
     words = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(_text("ORDER-", n), F.lit("purchase"), F.lit("absent")))
     truth = rows.select("query_id").distinct().select("query_id", F.array(F.lit("svc-1"), F.lit("svc-9")).alias("services"), words.alias("keywords"))
-    return evaluation.score_retrieval(rows.where("rank < 10"), truth).drop("top_scores").withColumn("keyword_recall", F.round("keyword_recall", 6))
+    return evaluation.score_retrieval(rows.where("rank < 10"), truth)
+
+
+@query(SCORED_SQL + " SELECT * EXCLUDE top_scores REPLACE (round(keyword_recall, 6) AS keyword_recall), len(string_split(top_scores, ',')) AS top_count, round(string_split(top_scores, ',')[1]::DOUBLE, 4) AS top_score FROM scored")
+def score_retrieval(spark, sf_dir):
+    best = F.col("top_scores")
+    return _scored(spark, sf_dir).withColumns({"keyword_recall": F.round("keyword_recall", 6), "top_count": F.size(best).cast("long"), "top_score": F.round(best[0], 4)}).drop("top_scores")
+
+
+@query(SCORED_SQL + " SELECT meets_target, count(*) AS questions, round(avg(service_recall), 6) AS service_recall, round(avg(keyword_recall), 6) AS keyword_recall FROM scored GROUP BY 1")
+def retrieval_averages(spark, sf_dir):
+    found = evaluation.retrieval_averages(_scored(spark, sf_dir), ["meets_target"])
+    return found.withColumns({c: F.round(c, 6) for c in ("service_recall", "keyword_recall")})
 
 
 EXPECTED_SQL = """expected AS (SELECT p_partkey AS dataset, CASE WHEN p_partkey % 2 = 0 THEN 'x' END AS trigger_event, CASE WHEN p_partkey % 3 = 0 THEN ['y'] ELSE [] END AS must, CASE WHEN p_partkey % 4 = 1 THEN 'high' ELSE '' END AS confidence,

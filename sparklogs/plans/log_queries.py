@@ -280,6 +280,19 @@ def followup_bias(spark, sf_dir):
     return views.followup_bias(hits(spark, sf_dir).where("rank < 6"))
 
 
+@query(H + """, cited AS (SELECT * FROM hits WHERE rank < 6), per AS (SELECT query_id, source_service, count(*) AS n FROM cited GROUP BY 1, 2),
+  pin AS (SELECT query_id, max_by(source_service, n) AS service FROM per GROUP BY 1 HAVING max(n) >= 2 * coalesce(list(n ORDER BY n DESC)[2], 0)),
+  t AS (SELECT query_id, min(timestamp_start) - INTERVAL 5 MINUTE AS time_from, max(timestamp_start) + INTERVAL 5 MINUTE AS time_to FROM cited GROUP BY 1)
+  SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'svc-9' ELSE service END AS service, CASE WHEN query_id % 2 = 0 THEN TIMESTAMP '2024-01-02' ELSE time_from END AS time_from, time_to FROM t LEFT JOIN pin USING (query_id)""")
+def fill_filters(spark, sf_dir):
+    rows = hits(spark, sf_dir)
+    n = F.col("query_id")
+    asked = rows.select("query_id").distinct().select(
+        "query_id", F.when(n % 3 == 0, "svc-9").alias("service"), F.when(n % 2 == 0, F.lit(datetime(2024, 1, 2))).alias("time_from"), F.lit(None).cast("timestamp").alias("time_to")
+    )
+    return views.fill_filters(asked, views.followup_bias(rows.where("rank < 6")))
+
+
 @query("""WITH work AS (SELECT conv_id, min(text) AS query, 'i' || conv_id AS investigation_id FROM conversations WHERE role = 'user' AND conv_id % 3 = 0 GROUP BY conv_id),
   both_ AS (SELECT conv_id AS conversation_id, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * turn AS created_at, 'chat' AS mode, role, text AS content, CAST(NULL AS VARCHAR) AS investigation_id FROM conversations
     UNION ALL SELECT conv_id, TIMESTAMP '2024-01-01 00:01:30', 'investigation', NULL, query, investigation_id FROM work)

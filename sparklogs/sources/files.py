@@ -34,7 +34,8 @@ def read_raw_logs(spark: SparkSession, paths: str | list[str], service: str, env
 def new_bytes(files: DataFrame, offsets: DataFrame, watchers: DataFrame) -> DataFrame:
     """Files (path, length, ...) with more bytes than were read, with their watcher and the offset to go on from.
 
-    A file belongs to the first enabled watcher, by id, whose path begins its own.
+    A file belongs to the first enabled watcher, by id, whose path begins its own. Watchers are a list that people keep,
+    so it is sent to the files.
     """
     active = F.broadcast(watchers.where("enabled").select(F.col("id").alias("watcher_id"), "watch_path", "service_name", "env", "project_id"))
     mine = files.join(active, F.col("path").startswith(F.col("watch_path")))
