@@ -32,7 +32,7 @@ def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(_docs(spark, sf_dir))
+    return ngram_join.ngram_join(_docs(spark, sf_dir)).drop("class_hash")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,58 @@ SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.line) AS INT
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id
 """
 
-ORACLES: dict[str, str] = {"op9_lines": OP9_SQL}
+#: Words, their windows of 35 as hashes, and what windows that start twice cover.
+OP1_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+words AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS k FROM docs),
+windows AS (
+  SELECT doc_id, k, md5(array_to_string(list(word) OVER w, ' ')) AS seen FROM words
+  WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) QUALIFY count(*) OVER w = 35
+), twice AS (SELECT doc_id, k FROM windows QUALIFY count(*) OVER (PARTITION BY seen) > 1
+), marked AS (SELECT doc_id, k, k - coalesce(max(start) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -99) < 35 AS gone, word
+  FROM (SELECT w.doc_id, w.k, w.word, t.k AS start FROM words w LEFT JOIN twice t USING (doc_id, k)))
+SELECT d.doc_id, count(m.k) AS n_words, count(m.k) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY m.k) FILTER (NOT gone), '')) AS kept_sha256
+FROM docs d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id
+"""
+
+#: Runs of five words of all different texts, all pairs that share one, and the closure of the links.
+OP4_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), ' ') AS s FROM documents),
+kinds AS (SELECT s, min(doc_id) AS id, count(*) AS copies FROM docs GROUP BY s),
+words AS (SELECT id, unnest(string_split(s, ' ')) AS word, generate_subscripts(string_split(s, ' '), 1) AS k, len(string_split(s, ' ')) AS n FROM kinds WHERE s <> ''),
+runs AS (SELECT DISTINCT id, array_to_string(list(word) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS g, k <= greatest(n - 4, 1) AS whole FROM words QUALIFY whole),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY 1),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM runs a JOIN runs b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS id, min(b) AS least FROM reach GROUP BY 1),
+degree AS (SELECT a AS id, count(*) AS n_links, sum(copies) AS docs_ FROM links JOIN kinds ON b = id GROUP BY 1)
+SELECT doc_id, least(id, coalesce(least, id)) AS class_id, id AS copy_of, copies, coalesce(n_links, 0) AS n_links, CAST(coalesce(docs_, 0) AS BIGINT) AS n_linked_docs
+FROM docs JOIN kinds USING (s) LEFT JOIN classes USING (id) LEFT JOIN degree USING (id)
+"""
+
+
+def _times(x: str, factor: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) * CAST({factor} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+
+
+#: CRC-32 byte by byte, and the jump hash of a mixed key step by step; slots follow doc_id, as the rows of the table do.
+OP6_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS step, CAST(i AS BIGINT) AS c FROM range(256) r(i) UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+docs AS (SELECT doc_id, coalesce(text, '') AS s, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crcs AS (SELECT doc_id, octet_length(encode(s)) + 8 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+  lambda acc, x: xor(t[(xor(acc, x) & 255) + 1], acc >> 8)), 4294967295) AS text_crc32 FROM docs, tab),
+m1 AS (SELECT doc_id, CAST(coalesce(doc_id, 0) AS UBIGINT) AS k FROM documents),
+m2 AS (SELECT doc_id, {_times("xor(k, k >> 30)", 0xBF58476D1CE4E5B9)} AS k FROM m1),
+m3 AS (SELECT doc_id, {_times("xor(k, k >> 27)", 0x94D049BB133111EB)} AS k FROM m2),
+jumps AS (
+  SELECT doc_id, n, xor(k, k >> 31) AS state, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS jump FROM m3, (SELECT unnest([24, 25]) AS n)
+  UNION ALL SELECT doc_id, n, s, jump, CAST(floor((jump + 1) * (CAST(2147483648 AS DOUBLE) / CAST((s >> 33) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT *, CAST((CAST(state AS UHUGEINT) * CAST(2862933555777941757 AS UHUGEINT) + CAST(1 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS s FROM jumps WHERE jump < n)
+), placed AS (SELECT doc_id, CAST(max(place) FILTER (n = 24) AS INTEGER) AS shard, CAST(max(place) FILTER (n = 25) AS INTEGER) AS grown_shard FROM jumps WHERE jump >= n GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM crcs JOIN placed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op9_lines": OP9_SQL}
