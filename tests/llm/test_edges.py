@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sparklogs.llm import fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keep string, id string, size string, copies string, n_lines string, media string, held_out string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keep string, id string, size string, copies string, n_lines string, media string, held_out string, tail_probability string, expected_grade string, _id string, _gone string, _hash string, _times string, hash string, node string"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
 TEXTS = [
     (1, "Alpha beta\ngamma delta."), (2, None), (3, ""), (4, " \n\t "), (5, "Alpha beta\ngamma delta."), (None, "a null id stands here"), (6, LONG),
@@ -26,7 +26,7 @@ def words(text):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en", None if k % 4 == 3 else f"s{k % 3}", None if t is None else len(t), "x", "x", "x", "x", "x", "x", "x", "x") for k, (i, t) in enumerate(TEXTS)]
+    rows = [(i, t, "en", None if k % 4 == 3 else f"s{k % 3}", None if t is None else len(t), *["x"] * 16) for k, (i, t) in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA).repartition(2).sortWithinPartitions("doc_id", "text").cache()
 
 
@@ -158,6 +158,17 @@ def test_lines(docs, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def test_rows_that_share_a_doc_id_keep_their_own_results(spark):
+    rows = [(1, "one text " * 30), (1, "another text, longer " * 20), (1, None), (2, "one text " * 30), (None, "no id"), (None, "no id either")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for found in (substrings.remove_repeats(table), sharding.shard_documents(table), media.media_digests(table), ngram_join.ngram_join(table), lines.dedup_lines(table), fingerprints.fingerprint_edits(table, 4)):
+        assert sorted((r.doc_id or 0 for r in found.collect())) == [0, 0, 1, 1, 1, 2]
+    kept = {(r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(table).collect()}
+    assert kept == {(1, 60, 60), (1, 60, 60), (1, 0, 0), (2, 60, 60), (None, 2, 0), (None, 3, 0)}
+    pieces = packing.pack_documents(table).collect()
+    assert len({(r.doc_id, r.doc_tokens) for r in pieces}) == 6
+
+
 def test_stages(docs, nothing, labels, spark, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for table in (docs, nothing):

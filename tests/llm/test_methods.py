@@ -695,3 +695,11 @@ def test_a_long_text_is_stored_in_runs(monkeypatch):
     assert samples.tobytes()[: len(text)] == text.encode() and count.tolist() == [-(-len(text) // 64)]
     monkeypatch.setattr(media, "RUN", 1 << 14)
     assert media.texts_as_video(pa.array([text])) == one
+
+
+def test_ids_of_real_documents_equal_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    encoder, library = packing.Encoder(packing.vocabulary_path()), Tokenizer.from_file(packing.vocabulary_path())
+    assert all(np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
