@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparklogs.llm import common, components, fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
+from sparklogs.llm import common, components, fingerprints, lines, media, mixing, ngram_join, packing, quality, queries, sharding, substrings, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -333,14 +334,12 @@ def test_over_full_nodes_are_parted_where_they_share_least():
     assert ngram_join.part_node(shared, 11) == [(0, 11)]
 
 
-def test_links_of_real_documents_like_brute_force(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
-    texts = [(r.doc_id, " ".join(re.findall("[^\x20\x09-\x0d]+", r.text or ""))) for r in rows]
-    _, pairs = _jaccard_links([t for _, t in texts if t])
-    links = Counter(t for p in pairs for t in p)
-    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
-    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(docs).collect()}
-    assert pairs and got == {i: links[t] for i, t in texts}
+def test_links_of_real_documents_like_all_pairs(spark):
+    con = duckdb.connect()
+    con.sql("create view documents as select * from read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    want = con.sql(f"select doc_id, class_id, n_links from ({queries.ORACLES['op4_ngram_join']})").fetchall()
+    got = queries.op4_ngram_join(spark, "/root/testdata/sf0.01").select("doc_id", "class_id", "n_links").collect()
+    assert sum(n for *_, n in want) > 0 and sorted(tuple(r) for r in got) == sorted(want)
 
 
 def test_components_say_when_they_are_not_finished(spark):
