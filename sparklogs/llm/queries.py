@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklogs.llm import fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
+from sparklogs.llm import conversations, fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "held_out", "expected_grade", "tail_probability", "keep")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_conversations(conversations.damage(table), table)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality, media_clips)
+    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality, op13_conversations, media_clips)
 }
 #: Lines that an earlier one equals or is one edit away from, by plain edit distance of all lines of about one length.
 #: DuckDB's distance counts bytes, and a character has four at most: what it lets pass is compared without one character.
@@ -149,4 +154,52 @@ jumps AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM crcs JOIN placed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op9_lines": OP9_SQL}
+
+def _edits(state: int) -> str:
+    """The cheapest way from a row on, as (cost, audit, repaired rows), without inserts before it; a missing way costs 10**9."""
+    def way(letter: str, cost: str, to: int, role: str = "", when: str = "true") -> str:
+        row = f"{role} || ':' || text || coalesce(chr(10) || s{to}.r, '')" if role == "role" else f"'{role}:' || text || coalesce(chr(10) || s{to}.r, '')" if role else f"s{to}.r"
+        return f"CASE WHEN {when} THEN struct_pack(c := s{to}.c + {cost}, a := '{letter}' || s{to}.a, r := {row}) ELSE struct_pack(c := 1000000000, a := '', r := NULL) END"
+
+    kept = {0: (("s", 1), ("u", 2)), 1: (("u", 2),), 2: (("a", 3),), 3: (("u", 2),)}[state]
+    other, new = (3, "assistant") if state == 2 else (2, "user")
+    ways = [way("D", "3", state), way("R", "2 + late", other, new, "NOT gone"), *(way("K", "late", to, "role", f"NOT gone AND left(role, 1) = '{x}'") for x, to in kept)]
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserts(state: int) -> str:
+    """The cheapest way with up to two inserts before the row."""
+    one = {0: 2, 1: 2, 2: 3, 3: 2}
+    name = {2: "user", 3: "assistant"}
+    a, b = one[state], one[one[state]]
+    first, second = f"'{name[a]}:' || coalesce(chr(10) || b{a}.r, '')", f"'{name[a]}:' || chr(10) || '{name[b]}:' || coalesce(chr(10) || b{b}.r, '')"
+    return f"list_min([b{state}, struct_pack(c := b{a}.c + 2, a := 'I' || b{a}.a, r := {first}), struct_pack(c := b{b}.c + 4, a := 'II' || b{b}.a, r := {second})])"
+
+
+#: Damage row by row, faults by window functions, and the cheapest repair from the last row back, one row a step.
+OP13_SQL = rf"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS step, CAST(i AS BIGINT) AS c FROM range(256) r(i) UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+keyed AS (SELECT *, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+  lambda acc, x: xor(t[(xor(acc, x) & 255) + 1], acc >> 8)), 4294967295) % 20 AS kind FROM keyed, tab),
+rows_ AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS time FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM rows_),
+placed AS (SELECT conv_id, turn, role, text, nth, row_number() OVER w AS k, lag(left(role, 1)) OVER w AS before,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM numbered WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), nth)),
+faulty AS (SELECT *, CASE WHEN solid = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, n + 1 AS k, struct_pack(c := 0, a := '', r := CAST(NULL AS VARCHAR)) AS s0, struct_pack(c := 4, a := 'II', r := 'user:' || chr(10) || 'assistant:') AS s1,
+    struct_pack(c := 2, a := 'I', r := 'assistant:') AS s2, struct_pack(c := 0, a := '', r := CAST(NULL AS VARCHAR)) AS s3 FROM counted
+  UNION ALL SELECT conv_id, k, {', '.join(f'{_inserts(q)} AS s{q}' for q in range(4))}
+  FROM (SELECT conv_id, k, {', '.join(f'{_edits(q)} AS b{q}' for q in range(4))}
+    FROM (SELECT f.conv_id, f.k, f.role, f.text, f.fault IN ('b', 'd') AS gone, (f.fault = 't')::INTEGER AS late, s0, s1, s2, s3 FROM steps s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.k = s.k - 1))
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(s0.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counted c ON i.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN (SELECT * FROM steps WHERE k = 1) s ON i.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op9_lines": OP9_SQL, "op13_conversations": OP13_SQL}
