@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklogs.llm import conversations, fingerprints, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
+from sparklogs.llm import conversations, fingerprints, hard_negatives, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +68,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "held_out", "expected_grade", "tail_probability", "keep")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversations.repair_conversations(conversations.damage(table), table)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality, op13_conversations, media_clips)
+    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality, op12_negatives, op13_conversations, media_clips)
 }
 #: Lines that an earlier one equals or is one edit away from, by plain edit distance of all lines of about one length.
 #: DuckDB's distance counts bytes, and a character has four at most: what it lets pass is compared without one character.
@@ -202,4 +208,16 @@ SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counted c ON i.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN (SELECT * FROM steps WHERE k = 1) s ON i.conv_id IS NOT DISTINCT FROM s.conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op9_lines": OP9_SQL, "op13_conversations": OP13_SQL}
+#: All inner products of anchors and rows.
+OP12_SQL = """
+WITH valid AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM valid a JOIN valid b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, id, score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n USING (anchor_id) WHERE NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op4_ngram_join": OP4_SQL, "op6_sharding": OP6_SQL, "op9_lines": OP9_SQL, "op12_negatives": OP12_SQL, "op13_conversations": OP13_SQL}
