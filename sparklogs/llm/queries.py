@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklogs.llm import conversations, fingerprints, hard_negatives, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
+from sparklogs.llm import conversations, fingerprints, hard_negatives, language, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "held_out", "expected_grade", "tail_probability", "keep")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify_language(_docs(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,7 +85,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality, op12_negatives, op13_conversations, media_clips)
+    f.__name__: f for f in (op1_substrings, op2_packing, op3_media, op4_ngram_join, op5_toxicity, op6_sharding, op7_mixing, op8_fingerprints, op9_lines, op10_quality, op11_language, op12_negatives, op13_conversations, media_clips)
 }
 #: Lines that an earlier one equals or is one edit away from, by plain edit distance of all lines of about one length.
 #: DuckDB's distance counts bytes, and a character has four at most: what it lets pass is compared without one character.
