@@ -213,7 +213,7 @@ class Asked:
             if len(i):
                 self.fresh.append((rows[i] * self.low.shape[1] + w, score[i, j], tree.ids[box][j]))
                 self.waiting += len(i)
-        if self.waiting > max(1 << 14, len(self.held[0])):
+        if self.waiting >= self.kth.size * self.k:  # as many as may be kept at all
             self._settle()
 
     def _settle(self) -> None:
