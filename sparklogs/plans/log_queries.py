@@ -14,6 +14,7 @@ from sparklogs.operators import events, filters, incident, sessions, views
 from sparklogs.plans.bridge import CHUNKS_SQL, END, HITS_SQL, LINES_SQL, NOW, START, VARIANTS_SQL, chunks, drained, hits, raw_lines, scratch, synonyms_sql, table
 from sparklogs.plans.registry import query
 from sparklogs.sources import files, tables
+from sparklogs.sources.versions import ChunkTable
 from sparklogs.streaming import streams
 
 C, H = "WITH " + CHUNKS_SQL, "WITH " + HITS_SQL
@@ -589,11 +590,11 @@ def read_raw_logs(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, read).select("source_service", "source_env", "line")
 
 
-@query("WITH " + LINES_SQL + " SELECT 'svc-' || (event_id % 3) AS source_service, 'prod' AS source_env, line FROM raw_lines WHERE event_id % 4 <> 3 AND event_id % 3 <> 2 AND (event_id % 3 <> 1 OR hour(ts) >= 12)")
+@query("WITH " + LINES_SQL + " SELECT 'svc-' || (event_id % 3) AS source_service, 'prod' AS source_env, line FROM raw_lines WHERE event_id % 3 <> 2 AND (event_id % 3 <> 1 OR hour(ts) >= 12)")
 def ingest_file_increments(spark, sf_dir):
     """A file for each watched service and day; of one service the lines before noon were read before, another is off."""
     folder = scratch(spark, "watched")
-    rows = raw_lines(spark, sf_dir).where("event_id % 4 <> 3").withColumns({"service": F.col("event_id") % 3, "day": F.date_format("ts", "yyyy-MM-dd"), "noon": F.hour("ts") >= 12})
+    rows = raw_lines(spark, sf_dir).withColumns({"service": F.col("event_id") % 3, "day": F.date_format("ts", "yyyy-MM-dd"), "noon": F.hour("ts") >= 12})
     # both halves of a day in one task, so in one file
     dealt = rows.repartition("service", "day").sortWithinPartitions("service", "day", "noon")
     dealt.select("service", "day", "line").write.partitionBy("service", "day").option("maxRecordsPerFile", 0).text(folder)
@@ -610,6 +611,19 @@ def ingest_file_increments(spark, sf_dir):
     return found.select("source_service", "source_env", "line")
 
 
+@query("WITH " + READ_SQL + " SELECT line, level, message, signature, ts FROM rd")
+def stream_appended(spark, sf_dir):
+    """Files that are there, then more of them, over one checkpoint: each line comes once."""
+    folder, target = scratch(spark, "growing"), scratch(spark, "appended")
+    rows = raw_lines(spark, sf_dir)
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).select("line").write.mode("append").text(folder)
+        parsed = streams.stream_appended(spark, folder, "svc", F.lit(NOW))
+        stream = parsed.writeStream.format("parquet").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/checkpoint")
+        stream.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(f"{target}/rows").select("line", "level", "message", "signature", "ts")
+
+
 @query("""SELECT 'd' || c_nationkey AS dataset_name, 'why did ' || c_name || ' fail' AS question, 'svc-' || (c_custkey % 4) AS service, ['svc-' || (c_custkey % 4), 'svc-9'] AS services, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE ['k' || c_custkey] END AS keywords FROM customer""")
 def read_ground_truth(spark, sf_dir):
     n, folder = F.col("c_custkey"), scratch(spark, "truth")
@@ -656,8 +670,19 @@ def stream_upsert(spark, sf_dir):
     folder, source = scratch(spark, "chunks"), _files(spark, sf_dir, "stream")
     for k in (1, 2):
         found = streams.stream_chunks(streams.stream_parse(spark, source, "svc", F.lit(NOW)), 7200, "2 hours")
-        streams.stream_upsert(found, f"{folder}/table", f"{folder}/checkpoint-{k}").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("signature", "count", "timestamp_start", "log_level")
+        streams.stream_merge(found, f"{folder}/table", f"{folder}/checkpoint-{k}").awaitTermination()
+    return ChunkTable(spark, f"{folder}/table").read().select("signature", "count", "timestamp_start", "log_level")
+
+
+@query("WITH " + CHUNKS_SQL + """ SELECT chunk_id, log_level, CASE WHEN event_id % 4 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS batch,
+  CASE WHEN event_id % 4 = 0 THEN value + 3 WHEN event_id % 3 = 0 THEN value + 2 WHEN event_id % 2 = 0 THEN value + 1 ELSE value END AS value FROM chunks""")
+def chunk_table(spark, sf_dir):
+    """All chunks, and three batches of new versions of some; folders small enough for compaction and splits."""
+    rows = chunks(spark, sf_dir).select("chunk_id", "event_id", "log_level", "value")
+    store = ChunkTable(spark, scratch(spark, "versions"), folder_bytes=256 << 10)
+    for k in range(4):
+        store.upsert(rows.where(F.col("event_id") % (k + 1) == 0).withColumns({"batch": F.lit(k), "value": F.col("value") + k}), "event_id")
+    return store.read().select("chunk_id", "log_level", "batch", "value")
 
 
 @query("WITH " + READ_SQL + """, hours AS (SELECT signature, level, date_trunc('hour', ts) AS start FROM rd WHERE ts IS NOT NULL)

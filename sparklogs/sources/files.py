@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparklogs.sources.appended import RANGE_BYTES, byte_ranges, read_ranges
+
 GROUND_TRUTH = (
     "dataset_name string, questions array<struct<question: string, filters: struct<time_from: string, time_to: string, service: string>, "
     "ground_truth_answer: string, ground_truth_services: array<string>, ground_truth_keywords: array<string>>>"
@@ -44,35 +46,22 @@ def new_bytes(files: DataFrame, offsets: DataFrame, watchers: DataFrame) -> Data
     return first.join(read, ["watcher_id", "path"], "left").withColumn("offset", F.coalesce("offset", F.lit(0))).where("length > offset")
 
 
-def ingest_file_increments(spark: SparkSession, folder: str, offsets: DataFrame, watchers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ingest_file_increments(spark: SparkSession, folder: str, offsets: DataFrame, watchers: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Lines after each file's offset, and the offsets to store next (watcher_config_id, file_path, offset).
 
-    Files are read as lines, in splits, so one of any size is shared by many tasks; ``offset`` is a line's first byte. Of
-    a line that was read in part only the rest comes. What is written after the files were listed waits for the next
-    run, like the offsets, which are the lengths at that time. Blank lines are left out.
+    Files are listed, not read, to find those with news; their new bytes are cut into ranges that tasks read, so the work is
+    that of the news and a file of any size is shared by many tasks. ``offset`` is a line's first byte. Of a line that was
+    read in part only the rest comes. What is written after the files were listed waits for the next run, like the
+    offsets, which are the lengths at that time. Blank lines are left out.
     """
     clean = F.regexp_replace("path", "^file:/+", "/")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length").withColumn("path", clean)
+    # sizes as listed, not as they are when a task looks: lines and offsets then end at the same byte
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("_metadata.file_size").alias("length")).withColumn("path", clean)
     fresh = new_bytes(listed, offsets, watchers)
-    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(folder)
-    lines = text.select(
-        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"),
-        (F.octet_length("value") + 1).cast("long").alias("size"), "value",
-    )
-    mine = lines.join(fresh.select("path", "project_id", "service_name", "env", "length", F.col("offset").alias("read")), "path")
-    # bytes before a split of a file, then bytes before a line of a split
-    splits = mine.groupBy("path", "block").agg(F.sum("size").alias("bytes"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
-    inside = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = mine.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(splits, ["path", "block"]).withColumn("at", F.col("base") + F.col("inside"))
-    new = placed.where("at + size > read and at < length")
-    part = F.greatest(F.lit(0), F.col("read") - F.col("at")).cast("int")
-    whole = F.least(F.col("size") - 1, F.col("length") - F.col("at")).cast("int")
-    rest = F.when((part > 0) | (whole < F.col("size") - 1), F.decode(F.substring(F.encode("value", "UTF-8"), part + 1, whole - part), "UTF-8")).otherwise(F.col("value"))
-    line = F.regexp_replace(rest, r"\r$", "")
-    named = new.select("project_id", F.col("service_name").alias("source_service"), F.col("env").alias("source_env"), "path", (F.col("at") + part).alias("offset"), line.alias("line"))
-    return named.where(F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")) != ""), fresh.select(F.col("watcher_id").alias("watcher_config_id"), F.col("path").alias("file_path"), F.col("length").alias("offset"))
+    lines = read_ranges(byte_ranges(fresh, range_bytes), "project_id", "service_name", "env")
+    line = F.regexp_replace("line", r"\r$", "")
+    found = lines.select("project_id", F.col("service_name").alias("source_service"), F.col("env").alias("source_env"), "path", "offset", line.alias("line"))
+    return found.where(F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")) != ""), fresh.select(F.col("watcher_id").alias("watcher_config_id"), F.col("path").alias("file_path"), F.col("length").alias("offset"))
 
 
 def read_ground_truth(spark: SparkSession, paths: str | list[str]) -> DataFrame:

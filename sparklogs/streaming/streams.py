@@ -15,15 +15,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparklogs.functions.parsing import log_signature, parse_log_lines
 from sparklogs.operators.sessions import EXAMPLES, GAP_SECONDS
+from sparklogs.sources.appended import RANGE_BYTES, AppendedLines
 from sparklogs.sources.tables import BUCKETS, upsert_table
+from sparklogs.sources.versions import ChunkTable
 
 
 def stream_parse(spark: SparkSession, folder: str, service: str, now: Column | None = None, env: str = "production", project_id: str | None = None, max_files: int = 100) -> DataFrame:
     """Parsed rows, with signature, of files that arrive in ``folder``; each file is read once, also over restarts."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
-    raw = lines.where(F.trim("value") != "").select(
-        F.lit(project_id).cast("string").alias("project_id"), F.lit(service).alias("source_service"), F.lit(env).alias("source_env"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")
-    )
+    return _parsed(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")), service, now, env, project_id)
+
+
+def stream_appended(spark: SparkSession, folder: str, service: str, now: Column | None = None, env: str = "production", project_id: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Parsed rows, with signature, of what is written to files under ``folder``, new or growing; each line is read once, when
+    it has its end, and of a file only the bytes after those that were read before. Lines carry the ``offset`` of their
+    first byte."""
+    spark.dataSource.register(AppendedLines)
+    lines = spark.readStream.format("appended_lines").option("path", folder).option("rangeBytes", range_bytes).load()
+    return _parsed(lines.withColumn("line", F.regexp_replace("line", r"\r$", "")), service, now, env, project_id)
+
+
+def _parsed(lines: DataFrame, service: str, now: Column | None, env: str, project_id: str | None) -> DataFrame:
+    named = {"project_id": F.lit(project_id).cast("string"), "source_service": F.lit(service), "source_env": F.lit(env)}
+    raw = lines.where(F.trim("line") != "").select(*[c.alias(k) for k, c in named.items()], *lines.columns)
     return parse_log_lines(raw, F.current_timestamp() if now is None else now).withColumn("signature", log_signature(F.col("message")))
 
 
@@ -133,3 +147,16 @@ def stream_upsert(chunks: DataFrame, path: str, checkpoint: str, buckets: int =
         upsert_table(path, batch, F.desc_nulls_last("timestamp_end"), buckets)
 
     return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_merge(chunks: DataFrame, path: str, checkpoint: str, **sizes: int) -> StreamingQuery:
+    """Start a query that appends what is there of ``chunks`` to the ``ChunkTable`` at ``path``, which merges when it is read.
+
+    A micro-batch writes its own rows; one that runs again after a failure is left out, as the table knows its number.
+    ``sizes`` go to the table.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        ChunkTable(batch.sparkSession, path, **sizes).upsert(batch, F.desc_nulls_last("timestamp_end"), checkpoint, number)
+
+    return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
