@@ -11,16 +11,13 @@ APACHE_LEVELS = {
 }
 HEX, UUID, IP, NUM = "<HEX>", "<UUID>", "<IP>", "<NUM>"
 
-# The parts that lines are made of, and the formats as sequences of them.
-_HMS, _MONTH, _ZONE = r"\d\d:\d\d:\d\d", "[A-Z][a-z][a-z]", r"[+-]\d\d:?\d\d"
-_DATE_TIME = rf"\d{{4}}-\d\d-\d\d[ T]{_HMS}(?:[,.]\d+)?(?:{_ZONE}|Z)?"
-_WORDS = {False: "FATAL|CRITICAL|ERROR|WARNING|WARN|INFO|DEBUG", True: "INFO|ERROR|WARN|WARNING|DEBUG|CRITICAL|FATAL"}
-#: An optional time, an optional dash, a level with or without brackets, the message. Levels in full end before a letter.
-_LEVELLED = {legacy: rf"(?is)^({_DATE_TIME})?\s*-?\s*\[?({words}){'' if legacy else '(?![a-z])'}\]?\s*(.*)$" for legacy, words in _WORDS.items()}
-_APACHE = rf"(?s)^\[({_MONTH} {_MONTH} {{1,2}}\d\d? {_HMS} \d{{4}})\] \[([a-z]+)\] (.+)$"
-_SYSLOG = rf"(?s)^({_MONTH}\s+\d\d?\s+{_HMS})\s+(.+)$"
-_ACCESS = rf"(?s)^(\S+) \S+ \S+ \[(\d\d/{_MONTH}/\d{{4}}:{_HMS} [+-]\d{{4}})\] (.+)$"
-_CUT = "\x01"
+# Levels of text logs, in the order in which a prefix is looked for, and words of system logs.
+LEVELS = ("INFO", "ERROR", "WARN", "WARNING", "DEBUG", "CRITICAL", "FATAL")
+SYSLOG_LEVELS = ("error", "warning", "fatal")
+SYSLOG_FAILURES = ("authentication failure", "failed password")
+
+SPACE = " \t\n\x0b\x0c\r"
+DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A run of digits that is masked. Kept are up to three digits inside a word, versions such as v2 and HTTP/1.1, and a
 #: three-digit code from 1xx to 5xx shortly after "status", "code" or "http".
@@ -62,57 +59,114 @@ def _json_text(parsed: Column, *keys: str) -> Column:
     return F.coalesce(*[F.when(~x.isin("", "false", "0"), x) for x in found])
 
 
-def _groups(line: Column, guard: Column, pattern: str, count: int) -> Column:
-    """The ``count`` groups of a pattern as an array, null where it does not match; one match a line, and only behind ``guard``."""
-    marked = F.regexp_replace(line, pattern, _CUT + _CUT.join(f"${i + 1}" for i in range(count)) + _CUT)
-    return F.when(guard & ~line.contains(_CUT) & (marked != line), F.slice(F.split(marked, _CUT), 2, count))
+def _shape(text: Column) -> Column:
+    """Digits as 0, capitals as A, small letters as a: what a stamp looks like."""
+    return F.translate(text, DIGITS + UPPER + LOWER, "0" * 10 + "A" * 26 + "a" * 26)
+
+
+def _from(text: Column, at: Column | int) -> Column:
+    """The text from a place on, counted from 1."""
+    return F.substring(text, F.lit(at) if isinstance(at, int) else at, F.length(text))
+
+
+def _run(text: Column, kind: str) -> Column:
+    """The characters of one kind that a text begins with."""
+    return F.left(text, F.length(text) - F.length(F.ltrim(text, F.lit(kind))))
+
+
+def _iso_length(line: Column) -> Column:
+    """How many characters of a line are its ISO stamp: 0, or date and time with a fraction and a zone where there are any."""
+    stamp = F.upper(F.left(line, F.lit(19)))
+    rest = _from(line, 20)
+    digits = F.when(F.left(rest, F.lit(1)).isin(".", ","), F.length(_run(_from(rest, 2), DIGITS))).otherwise(0)
+    fraction = F.when(digits > 0, digits + 1).otherwise(0)
+    zone = F.upper(_shape(F.substring(rest, fraction + 1, F.lit(6))))
+    signed = F.left(zone, F.lit(1)).isin("+", "-")
+    after = F.when(signed & (F.substring(zone, 2, 5) == "00:00"), 6).when(signed & (F.substring(zone, 2, 4) == "0000"), 5).when(F.upper(F.substring(rest, fraction + 1, F.lit(1))) == "Z", 1).otherwise(0)
+    return F.when(_shape(stamp).isin("0000-00-00 00:00:00", "0000-00-00A00:00:00") & F.substring(stamp, 11, 1).isin(" ", "T"), 19 + fraction + after).otherwise(0)
 
 
 def parse_log_lines(lines: DataFrame, now: Column, legacy_levels: bool = False) -> DataFrame:
     """``lines`` with ts_str, level, message and ts, by the first format of: JSON object, level text, Apache error, syslog,
     access log, plain text.
 
-    A level must end before another letter; ``legacy_levels`` reads a prefix of a longer word, so that "[WARNING] x"
-    gives WARN. JSON that is no object is plain text, and so is a line that holds the control character 1.
+    Formats are told by the shapes of a line's parts, taken by position; nothing searches a line by a pattern. A level must
+    end before another letter; ``legacy_levels`` reads a prefix of a longer word, so that "[WARNING] x" gives WARN. JSON
+    that is no object is plain text.
     """
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    opens = lambda pattern: F.substring(F.col("_line"), 1, 12).rlike(pattern)
-    rows = lines.withColumn("_line", line)
+    # each step is a projection of its own: what it finds is used several times by the next
+    steps: list[str] = []
+
+    def step(rows: DataFrame, **columns: Column) -> DataFrame:
+        steps.extend(columns)
+        return rows.withColumns(columns)
+
     line = F.col("_line")
-    found = {
-        "_text": _groups(line, opens(r"^(?:\d{4}-|[\s\[-]*(?i:[fcewid]))"), _LEVELLED[legacy_levels], 3),
-        "_apache": _groups(line, opens(rf"^\[{_MONTH} {_MONTH}"), _APACHE, 3),
-        "_syslog": _groups(line, opens(rf"^{_MONTH}\s+\d"), _SYSLOG, 2),
-        "_access": _groups(line, line.contains("["), _ACCESS, 3),
-        "_json": F.try_parse_json(F.when(line.startswith("{"), line)),
-    }
-    # projections of their own: what is matched above is used several times below
-    rows = rows.withColumns(found)
-    part = lambda name, i: F.get(F.col(name), F.lit(i - 1))
+    rows = step(lines, _line=F.btrim(F.col("line"), F.lit(SPACE)))
+    rows = step(rows, _json=F.try_parse_json(F.when(line.startswith("{"), line)), _stamp=_iso_length(line), _words=F.split(line, r"\s+", 4), _fields=F.split(line, " ", 4))
+
+    # level text: a stamp or none, a dash or none, the level with or without brackets
+    rest = F.ltrim(_from(line, F.col("_stamp") + 1), F.lit(SPACE))
+    rest = F.when(rest.startswith("-"), F.ltrim(_from(rest, 2), F.lit(SPACE))).otherwise(rest)
+    rows = step(rows, _rest=F.when(rest.startswith("["), _from(rest, 2)).otherwise(rest))
+    rest, upper = F.col("_rest"), F.upper(F.left(F.col("_rest"), F.lit(9)))
+    if legacy_levels:
+        level = F.coalesce(*[F.when(upper.startswith(x), x) for x in LEVELS])
+    else:
+        word = F.upper(_run(F.left(rest, F.lit(9)), UPPER + LOWER))
+        level = F.when(word.isin(*LEVELS), word)
+    rows = step(rows, _level=level)
+    after = _from(rest, F.length("_level") + 1)
+    text_message = F.ltrim(F.when(after.startswith("]"), _from(after, 2)).otherwise(after), F.lit(SPACE))
+
+    # Apache error: [stamp] [level] message
+    stamp = F.substring_index(_from(line, 2), "]", 1)
+    rows = step(rows, _apache=F.when(line.startswith("[") & _shape(stamp).isin(*[f"Aaa Aaa{gap}{day} 00:00:00 0000" for gap in (" ", "  ") for day in ("0", "00")]), stamp))
+    tail = _from(line, F.length("_apache") + 2)
+    severity = F.substring_index(_from(tail, 4), "]", 1)
+    apache_message = _from(tail, F.length(severity) + 6)
+    is_apache = F.col("_apache").isNotNull() & tail.startswith("] [") & (severity != "") & (F.ltrim(severity, F.lit(LOWER)) == "") & (F.substring(tail, F.length(severity) + 4, F.lit(2)) == "] ") & (apache_message != "")
+    table = F.create_map(*[F.lit(x) for pair in APACHE_LEVELS.items() for x in pair])
+
+    # syslog: month, day, time, the rest; the level may stand after the first ": "
+    word = lambda i: F.get("_words", F.lit(i))
+    body = word(3)
+    is_syslog = (_shape(word(0)) == "Aaa") & _shape(word(1)).isin("0", "00") & (_shape(word(2)) == "00:00:00") & (body != "")
+    syslog_stamp = F.rtrim(F.left(line, F.length(line) - F.length(body)), F.lit(SPACE))
+    said = F.when(body.contains(": "), _from(body, F.instr(body, ": ") + 2))
+    hint = _run(said, UPPER + LOWER)
+    syslog_level = (
+        F.when(F.lower(hint).isin(*SYSLOG_LEVELS) & F.substring(said, F.length(hint) + 1, F.lit(1)).isin(":", " "), F.upper(hint))
+        .when(F.lower(said).contains(SYSLOG_FAILURES[0]) | F.lower(said).contains(SYSLOG_FAILURES[1]), "WARNING").otherwise("INFO")
+    )
+
+    # access log: host, two fields, [stamp], message
+    field = lambda i: F.get("_fields", F.lit(i))
+    solid = lambda x: (x != "") & (F.translate(x, SPACE, "") == x)
+    when_ = F.substring_index(_from(field(3), 2), "]", 1)
+    asked = _from(field(3), F.length(when_) + 4)
+    is_access = (
+        solid(field(0)) & solid(field(1)) & solid(field(2)) & field(3).startswith("[") & _shape(when_).isin("00/Aaa/0000:00:00:00 +0000", "00/Aaa/0000:00:00:00 -0000")
+        & (F.substring(field(3), F.length(when_) + 2, F.lit(2)) == "] ") & (asked != "")
+    )
+
     is_json = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
-    body = part("_syslog", 2)
-    after = F.when(body.contains(": "), F.regexp_replace(body, r"^.*?: ", ""))
-    hint = F.regexp_extract(after, r"^(?i)(error|warning|fatal)\b[: ]", 1)
-    apache = F.create_map(*[F.lit(x) for pair in APACHE_LEVELS.items() for x in pair])
-    parts = [
+    formats = [
         (is_json, _json_text(F.col("_json"), "timestamp", "time", "@timestamp"), F.upper(F.coalesce(_json_text(F.col("_json"), "level", "log_level"), F.lit("INFO"))), F.coalesce(_json_text(F.col("_json"), "message", "msg"), line)),
-        (F.col("_text").isNotNull(), F.nullif(part("_text", 1), F.lit("")), F.upper(part("_text", 2)), part("_text", 3)),
-        (F.col("_apache").isNotNull(), part("_apache", 1), F.coalesce(F.try_element_at(apache, part("_apache", 2)), F.lit("INFO")), part("_apache", 3)),
-        (
-            F.col("_syslog").isNotNull(), part("_syslog", 1),
-            F.when(hint != "", F.upper(hint)).when(after.rlike(r"(?i)authentication failure|failed password"), "WARNING").otherwise("INFO"), body,
-        ),
-        (F.col("_access").isNotNull(), part("_access", 2), F.lit("INFO"), F.concat(part("_access", 1), F.lit(" "), part("_access", 3))),
-    ]
-
-    def pick(i: int, otherwise: Column) -> Column:
-        chosen = F.when(parts[0][0], parts[0][i])
-        for p in parts[1:]:
-            chosen = chosen.when(p[0], p[i])
-        return chosen.otherwise(otherwise)
-
-    read = rows.withColumns({"ts_str": pick(1, F.lit(None).cast("string")), "level": pick(2, F.lit("INFO")), "message": pick(3, line)})
-    return read.drop("_line", *found).withColumn("ts", parse_timestamp(F.col("ts_str"), now))
+        (F.col("_level").isNotNull(), F.nullif(F.left(line, F.col("_stamp")), F.lit("")), F.col("_level"), text_message),
+        (is_apache, F.col("_apache"), F.coalesce(F.try_element_at(table, severity), F.lit("INFO")), apache_message),
+        (is_syslog, syslog_stamp, syslog_level, body),
+        (is_access, when_, F.lit("INFO"), F.concat(field(0), F.lit(" "), asked)),
+        (F.lit(True), F.lit(None).cast("string"), F.lit("INFO"), line),
+    ]
+    number = F.coalesce(*[F.when(found, F.lit(i)) for i, (found, *_) in enumerate(formats)])
+    rows = step(rows, _format=number)
+
+    def pick(i: int) -> Column:
+        return F.coalesce(*[F.when(F.col("_format") == k, parts[i]) for k, parts in enumerate(formats)])
+
+    read = rows.withColumns({"ts_str": pick(1), "level": pick(2), "message": pick(3)})
+    return read.drop(*steps).withColumn("ts", parse_timestamp(F.col("ts_str"), now))
 
 
 def chunk_text(signature: Column, examples: Column) -> Column:
