@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -15,17 +15,12 @@ from pyspark.sql import functions as F
 from sparklogs.functions.intent import expand_queries
 from sparklogs.functions.text import Embedder, embed_texts
 from sparklogs.operators.filters import hydrate
+from sparklogs.operators.text_index import FIELD_WEIGHTS, QUERY_BLOCK, QUERY_WORDS, Bm25, Web, search_blocks, text_blocks, tokens, word_statistics
 from sparklogs.operators.views import diversify
 
-# Fusion, scoring and boosts.
+# Fusion and boosts.
 RRF_K, FAN_OUT = 60, 20
-K1, B = 1.2, 0.75
-FIELD_WEIGHTS = {"text": 1.0, "source_service": 0.4, "log_level": 0.2}
 LEVEL_FACTORS = {"FATAL": 2.0, "ERROR": 1.5, "WARN": 1.2, "WARNING": 1.2, "INFO": 1.0, "DEBUG": 0.8}
-#: Queries that one scan of the vectors serves; more are dealt into blocks of about that many.
-QUERY_BLOCK = 4096
-#: Query terms up to so many are broadcast; beyond, they are joined.
-BROADCAST_TERMS = 100_000
 
 
 def ranked(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -111,11 +106,6 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = FAN_OUT) -> Dat
     return ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, schema), ["query_id"], k)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def postings(chunks: DataFrame, column: str = "text") -> DataFrame:
     """term, chunk_id, tf, size (words of the chunk) of each word of each chunk, to be stored and asked many times.
 
@@ -125,65 +115,69 @@ def postings(chunks: DataFrame, column: str = "text") -> DataFrame:
     return terms.select("chunk_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "size").agg(F.count("*").alias("tf"))
 
 
+def _query_blocks(rows: DataFrame) -> Iterator[pa.Table]:
+    """``rows`` (query_id, words, ...) in tables of about ``QUERY_BLOCK`` queries or ``QUERY_WORDS`` words each, one at a time
+    on the driver; all rows of a query are in one."""
+    size = rows.agg(F.count_distinct("query_id").alias("n"), F.sum(F.size("words")).alias("words")).first()
+    n = max(-(-size["n"] // QUERY_BLOCK), -(-(size["words"] or 0) // QUERY_WORDS))
+    tables = (rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toArrow().combine_chunks() for k in range(n))
+    return (t for t in tables if len(t))
+
+
+def _all_of(found: list[DataFrame], queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    none = queries.limit(0).crossJoin(blocks.limit(0).select(F.get("docs", F.lit(0)).alias("chunk_id"))).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    return ranked(reduce(DataFrame.unionByName, found, none), ["query_id"], k)
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = FAN_OUT, stored: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25 over the terms of each query (query_id, query); blank queries find none.
 
-    ``stored`` may hold the ``postings`` of the chunks, which then are not read. Only occurrences of query terms are
-    counted: they are filtered before the first shuffle.
+    ``stored`` may hold the ``text_blocks`` of the chunks, which then are not read. Blocks are asked twice by each set of
+    queries: in how many chunks its words stand, and for the best k. Nothing is joined; a task gives k rows a query.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    sent = F.broadcast if few else (lambda df: df)  # tables of at most BROADCAST_TERMS terms
-    if stored is None:
-        sized = chunks.select("chunk_id", tokens(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
-        total = sized.where("size > 0").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
-        hit = sized.select("chunk_id", "size", F.explode("terms").alias("term")).join(sent(terms), "term", "left_semi")
-        tf = hit.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
-    else:
-        # every chunk's tf add up to its size, so the shares of a chunk add up to one
-        total = stored.agg(F.round(F.sum(F.col("tf") / F.col("size"))).alias("n"), F.sum("tf").alias("words")).withColumn("mean", F.col("words") / F.col("n")).drop("words")
-        tf = stored.join(sent(terms), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = df.crossJoin(F.broadcast(total)).withColumn("idf", idf).drop("n", "df")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = tf.join(sent(known), "term").join(sent(asked) if few else asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
-    return ranked(scored, ["query_id"], k)
-
-
-def fts_topk(queries: DataFrame, chunks: DataFrame, k: int = FAN_OUT) -> DataFrame:
+    blocks = text_blocks(chunks, ("text",)) if stored is None else stored
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words")).where(F.size("words") > 0)
+    found = []
+    for table in _query_blocks(asked):
+        lists = table["words"].combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        df, n, mean = word_statistics(blocks, words.dictionary)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        own = np.split(words.indices.to_numpy(zero_copy_only=False), np.cumsum(size)[:-1])
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        found.append(search_blocks(blocks, table["query_id"].combine_chunks(), queries.schema["query_id"].dataType, words.dictionary, partial(Bm25, own, idf, mean, k)))
+    return _all_of(found, queries, blocks, k)
+
+
+def fts_topk(queries: DataFrame, chunks: DataFrame | None, k: int = FAN_OUT, stored: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank for web-search queries: words and "phrases" must all occur, ``or`` joins
     alternatives, a leading minus excludes.
 
     The score adds up, over the words and phrases found, their occurrences times the weight of the field. There is no
-    stemming, and words may stand in any field of a chunk. A phrase is looked up as a run of as many words, so texts are
-    never joined.
+    stemming, and words may stand in any field of a chunk. A phrase is a run of places in one field, looked up from its
+    rarest word on. ``stored`` may hold the ``text_blocks`` of the chunks, which then are not read.
     """
+    blocks = text_blocks(chunks) if stored is None else stored
     pieces = queries.select("query_id", F.posexplode(F.regexp_extract_all("query", F.lit(r'-?"[^"]*"|[^\s"]+'), F.lit(0))).alias("at", "piece"))
     own = Window.partitionBy("query_id").orderBy("at")
     is_or = F.lower("piece") == "or"
     pieces = pieces.withColumns({"is_or": is_or, "after_or": F.coalesce(F.lag(is_or).over(own), F.lit(False))})
     excludes = F.col("piece").startswith("-")
     clauses = pieces.where("not is_or").select(
-        "query_id", F.sum(F.when(F.col("after_or") & ~excludes, 0).otherwise(1)).over(own).alias("clause"), excludes.alias("no"),
-        F.array_join(tokens(F.col("piece")), " ").alias("phrase"), F.size(tokens(F.col("piece"))).alias("words"),
-    ).where("words > 0")
-    needed = clauses.where("not no").groupBy("query_id").agg(F.count_distinct("clause").alias("needed"))
-    lengths = sorted(r[0] for r in clauses.select("words").distinct().collect())  # a few numbers
-    field = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), tokens(F.col(c)).alias("terms")) for c, w in FIELD_WEIGHTS.items()])).alias("f")
-    fields = chunks.select("chunk_id", field).select("chunk_id", "f.weight", "f.terms").where(F.size("terms") > 0)
-    starts = lambda n: F.when(F.size("terms") >= n, F.sequence(F.lit(1), F.size("terms") - n + 1)).otherwise(F.array().cast("array<int>"))
-    run_of = lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("terms", i, F.lit(n)), " "))
-    runs = [F.col("terms") if n == 1 else run_of(n) for n in lengths]
-    phrases = clauses.select("phrase").distinct()
-    few = phrases.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    held = fields.select("chunk_id", "weight", F.explode(F.flatten(F.array(*runs)) if runs else F.array().cast("array<string>")).alias("phrase"))
-    times = held.join(F.broadcast(phrases) if few else phrases, "phrase", "left_semi").groupBy("chunk_id", "weight", "phrase").agg(F.count("*").alias("times"))
-    met = times.join(clauses, "phrase")
-    yes = met.where("not no").groupBy("query_id", "chunk_id").agg(F.count_distinct("clause").alias("found"), F.sum(F.col("times") * F.col("weight")).alias("score"))
-    full = yes.join(needed, "query_id").where("found = needed").select("query_id", "chunk_id", "score")
-    return ranked(full.join(met.where("no").select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti"), ["query_id"], k)
+        "query_id", F.sum(F.when(F.col("after_or") & ~excludes, 0).otherwise(1)).over(own).alias("clause"), excludes.alias("no"), tokens(F.col("piece")).alias("words")
+    ).where(F.size("words") > 0)
+    found = []
+    for table in _query_blocks(clauses):
+        lists = table["words"].combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        runs = np.split(words.indices.to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+        names = table["query_id"].combine_chunks().dictionary_encode()
+        asked: list[list[tuple[int, bool, tuple[int, ...]]]] = [[] for _ in range(len(names.dictionary))]
+        for q, clause, no, run in zip(names.indices.to_pylist(), table["clause"].to_pylist(), table["no"].to_pylist(), runs, strict=True):
+            asked[q].append((clause, no, tuple(run.tolist())))
+        weights = np.array(list(FIELD_WEIGHTS.values()))
+        found.append(search_blocks(blocks, names.dictionary, queries.schema["query_id"].dataType, words.dictionary, partial(Web, asked, weights, k)))
+    return _all_of(found, queries, blocks, k)
 
 
 def rrf_fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt out over all cores if it has fewer files than these: one file is often one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table: one chunk for each event."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklogs.functions import text
-from sparklogs.operators import evaluation, evidence, retrieval
-from sparklogs.plans.bridge import CHUNKS_SQL, HITS_SQL, NOW, VARIANTS_SQL, chunks, hits, scratch, synonyms_sql, table
+from sparklogs.operators import evaluation, evidence, retrieval, text_index
+from sparklogs.plans.bridge import CHUNKS_SQL, HITS_SQL, NOW, VARIANTS_SQL, chunks, hits, scratch, spread, synonyms_sql, table
 from sparklogs.plans.registry import query
 from sparklogs.sources import tables
 
@@ -23,7 +23,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", F.col("source").alias("source_service"),
         F.when(F.col("doc_id") % 3 == 0, "ERROR").otherwise("INFO").alias("log_level"), F.lit(NOW).alias("timestamp_start"),
@@ -55,9 +55,9 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {Q_SQL}, {BM25_SQL} SELECT query_id, chunk_id, round(x, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) <= 20")
 def bm25_stored(spark, sf_dir):
-    """The same from stored postings, which one run writes and many ask."""
-    path = scratch(spark, "postings")
-    retrieval.postings(_documents(spark, sf_dir)).write.parquet(path)
+    """The same from stored blocks, which one run writes and many ask."""
+    path = scratch(spark, "blocks")
+    text_index.text_blocks(_documents(spark, sf_dir)).write.parquet(path)
     found = retrieval.bm25_topk(_queries(spark, sf_dir), None, stored=spark.read.parquet(path))
     return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
