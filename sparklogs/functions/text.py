@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,22 +69,33 @@ class HashingEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"[^\W_]+", text.lower()):
-                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-                row[h % self.dim] += 1 if h >> 31 else -1
+        return self.matrix(pa.array(texts, pa.string())).tolist()
+
+    def matrix(self, texts: pa.Array) -> np.ndarray:
+        """Vectors of a batch: words are split and counted over its buffers, and only different ones are hashed."""
+        words = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\pL\pN]+")
+        row = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        h = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in coded.dictionary.to_pylist()], np.int64)
+        sign = np.where(h >> 31, 1.0, -1.0) * np.array([bool(w) for w in coded.dictionary.to_pylist()], float)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        out = np.bincount(row * self.dim + h[code] % self.dim, sign[code], len(texts) * self.dim).reshape(len(texts), self.dim) if len(code) else np.zeros((len(texts), self.dim))
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norm > 0, norm, 1)).tolist()
+        return out / np.where(norm > 0, norm, 1)
 
 
 def embed_texts(df: DataFrame, column: str, embedder: Embedder | None = None, to: str = "embedding") -> DataFrame:
     """``df`` with a vector for each text, in batches; a backend loads once per task. Null counts as empty."""
     backend = embedder or HashingEmbedder()
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(backend.embed(texts.fillna("").tolist()))
+            texts = pc.fill_null(texts, "")
+            if hasattr(backend, "matrix"):
+                flat = backend.matrix(texts).astype(np.float32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+            else:
+                yield pa.array(backend.embed(texts.to_pylist()), pa.list_(pa.float32()))
 
     return df.withColumn(to, vectors(F.col(column)))

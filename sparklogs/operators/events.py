@@ -114,15 +114,102 @@ def events_health(buckets: DataFrame, start: datetime, end: datetime, n: int = N
     return turned.select(kind.alias("kind"), *event[1:])
 
 
+def _bucket(at: Column, start: datetime, end: datetime, n: int) -> Column:
+    """The bucket of a time, null outside the window."""
+    passed = micros(at) - micros(start)
+    return F.when((at >= F.lit(start)) & (at < F.lit(end)), (F.call_function("div", passed * n, micros(end) - micros(start)) + 1).cast("int"))
+
+
+def series_counts(chunks: DataFrame, start: datetime, end: datetime, n: int = N_BUCKETS, service: str | None = None) -> DataFrame:
+    """service, signature, level, bucket, n, first of all chunks with a signature; rows outside the window, and of other
+    services than an asked one, have no bucket and only tell when a signature was first seen."""
+    bucket = _bucket(F.col("timestamp_start"), start, end, n)
+    if service is not None:
+        bucket = F.when(F.col("source_service") == service, bucket)
+    rows = chunks.where("signature is not null and signature <> ''")
+    return rows.groupBy(F.col("source_service").alias("service"), "signature", F.upper("log_level").alias("level"), bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.min("timestamp_start").alias("first")
+    )
+
+
+def feed_of(counts: DataFrame, start: datetime, end: datetime, n: int = N_BUCKETS) -> DataFrame:
+    """All events of ``series_counts``, by the rules of the ``events_`` functions, from one reading of them.
+
+    Each series, and each service for its health, becomes one row with an array of at most ``n`` buckets, and the rules are
+    functions of that array.
+    """
+    bad = F.col("level").isin(*ERROR_CLASS) & F.col("bucket").isNotNull()
+    rank = _rank(F.col("level"))
+    both = counts.withColumn("key", F.explode(F.array(F.struct(F.lit(False).alias("health"), F.col("signature").alias("name")), F.struct(F.lit(True).alias("health"), F.lit("").alias("name")))))
+    keyed = both.select("service", "key.health", "key.name", "level", "bucket", "n", "first", bad.alias("bad"), rank.alias("rank"))
+    # a service of very many series is summed up before it is dealt out
+    per = keyed.groupBy("service", "health", "name", "bucket").agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("errors"), F.max(F.when(F.col("bad"), F.struct("rank", "level"))).alias("worst"), F.min("first").alias("first")
+    )
+    rows = per.groupBy("service", "health", "name").agg(
+        F.array_sort(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "total", "errors")))).alias("b"), F.max("worst")["level"].alias("level"), F.min("first").alias("first")
+    )
+    # a signature's first sight, over all services
+    rows = rows.withColumn("first_ever", F.min("first").over(Window.partitionBy("health", "name"))).where(F.size("b") > 0)
+    kind_of = "struct<kind:string,ts:timestamp,signature:string,level:string,title:string,count:bigint>"
+    at = lambda bucket: bucket_time(start, end, n, bucket)
+    event = lambda kind, ts, signature, level, title, count: F.struct(kind.alias("kind"), ts.alias("ts"), signature.alias("signature"), level.alias("level"), title.alias("title"), count.cast("long").alias("count")).cast(kind_of)
+    name, level = F.col("name"), F.col("level")
+    own = F.filter("b", lambda x: x["errors"] > 0)
+    rows = rows.withColumn("own", own)
+    head, last = F.get("own", F.lit(0)), F.element_at("own", -1)
+    new = F.coalesce(F.col("first_ever") >= F.lit(start), F.lit(False))
+    kind = F.when(new, "new_pattern").when((head["bucket"] > 1) & (head["errors"] >= BEGINS_MIN), "begins")
+    first_event = F.when(kind.isNotNull(), event(kind, at(head["bucket"] - 1), name, level, name, head["errors"]))
+    mean = lambda i: F.aggregate(F.slice("own", F.lit(1), i), F.lit(0).cast("double"), lambda a, x: a + x["errors"]) / i
+    spikes = F.transform("own", lambda x, i: F.when((i > 0) & (x["errors"] >= SPIKE_MIN) & (x["errors"] >= SPIKE_RATIO * mean(F.greatest(i, F.lit(1)))), F.struct((-x["errors"]).alias("less"), x["bucket"].alias("bucket"))))
+    top = F.array_min(F.array_compact(spikes))
+    spike = F.when(top.isNotNull(), event(F.lit("spike"), at(top["bucket"] - 1), name, level, F.concat(name, F.lit(" (×"), (-top["less"]).cast("string"), F.lit(")")), -top["less"]))
+    total = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x["errors"])
+    subside = F.when((total >= SUBSIDE_MIN) & (last["bucket"] <= n - QUIET_BUCKETS), event(F.lit("subsides"), at(last["bucket"]), name, level, name, F.lit(0)))
+    of_series = F.when(F.size("own") > 0, F.array(first_event, spike, subside)).otherwise(F.array().cast(f"array<{kind_of}>"))
+    # health: buckets that say something, and where that turns
+    share = lambda x: x["errors"] / x["total"]
+    said = F.filter(F.transform("b", lambda x: F.when(x["total"] >= HEALTH_MIN, F.struct(x["bucket"].alias("bucket"), x["errors"].alias("errors"), F.when(share(x) >= DEGRADED_SHARE, True).when(share(x) <= RECOVERED_SHARE, False).alias("bad")))), lambda x: x["bad"].isNotNull())
+    rows = rows.withColumn("said", said)
+    none = F.lit(None).cast("string")
+    turns = F.transform("said", lambda x, i: F.when(x["bad"] != F.when(i > 0, F.get("said", i - 1)["bad"]).otherwise(F.lit(False)), event(
+        F.when(x["bad"], "health_degraded").otherwise("health_recovered"), at(x["bucket"] - 1), none, F.when(x["bad"], "ERROR").otherwise("INFO"), F.col("service"), F.when(x["bad"], x["errors"]).otherwise(0))))
+    found = F.array_compact(F.when(F.col("health"), turns).otherwise(of_series))
+    return rows.select("service", F.explode(found).alias("e")).select("e.kind", "e.ts", "service", "e.signature", "e.level", "e.title", "e.count")
+
+
 def event_feed(chunks: DataFrame, start: datetime, end: datetime, n: int = N_BUCKETS, max_events: int | None = MAX_EVENTS, service: str | None = None) -> DataFrame:
     """Events of a window with ``place``, their order in time; beyond ``max_events`` those of higher kinds and larger counts
     stay. Without that bound (None) all events come, and ``place`` counts within an hour, so that nothing is sorted in one task.
+    The chunks are read once.
     """
-    buckets = window_aggregates(chunks, start, end, n, service)
-    series = error_series(buckets)
-    seen = first_seen(chunks, series)
-    events = events_new_begins(series, seen, start, end, n).unionByName(events_spike(series, start, end, n))
-    events = events.unionByName(events_subside(series, start, end, n)).unionByName(events_health(buckets, start, end, n))
+    return _placed(feed_of(series_counts(chunks, start, end, n, service), start, end, n), max_events)
+
+
+def event_rollup(chunks: DataFrame) -> DataFrame:
+    """service, signature, level, minute, n, first: counts of chunks with a signature, to be kept instead of them; sums and
+    minima of such rows are such rows again."""
+    rows = chunks.where("signature is not null and signature <> ''")
+    return rows.groupBy(F.col("source_service").alias("service"), "signature", F.upper("log_level").alias("level"), F.date_trunc("minute", F.col("timestamp_start").cast("timestamp")).alias("minute")).agg(
+        F.count("*").alias("n"), F.min("timestamp_start").alias("first")
+    )
+
+
+def event_feed_from_rollup(rollup: DataFrame, start: datetime, end: datetime, n: int = N_BUCKETS, max_events: int | None = MAX_EVENTS, service: str | None = None) -> DataFrame:
+    """``event_feed`` from rows of ``event_rollup``, in any number of parts. The window and its buckets have to begin at full
+    minutes."""
+    minutes, odd = divmod((end - start).total_seconds(), 60)
+    if odd or minutes % n or start.second or start.microsecond:
+        raise ValueError("the window and its buckets begin at full minutes")
+    bucket = _bucket(F.col("minute"), start, end, n)
+    if service is not None:
+        bucket = F.when(F.col("service") == service, bucket)
+    counts = rollup.groupBy("service", "signature", "level", bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return _placed(feed_of(counts, start, end, n), max_events)
+
+
+def _placed(events: DataFrame, max_events: int | None) -> DataFrame:
     priority = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     within = Window.partitionBy(F.date_trunc("hour", "ts")) if max_events is None else Window.partitionBy()
     if max_events is not None:

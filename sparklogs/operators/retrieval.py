@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
-from functools import lru_cache, partial, reduce
+from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from sparklogs.functions.intent import expand_queries
 from sparklogs.functions.text import Embedder, embed_texts
 from sparklogs.operators.filters import hydrate
+from sparklogs.operators.identifiers import find_by_id, gram_blocks, word_similarity
 from sparklogs.operators.text_index import FIELD_WEIGHTS, QUERY_BLOCK, QUERY_WORDS, Bm25, Web, search_blocks, text_blocks, tokens, word_statistics
 from sparklogs.operators.views import diversify
 
@@ -221,89 +221,3 @@ def hybrid_search_diverse(queries: DataFrame, chunks: DataFrame, k: int = 10, ov
     """Like ``hybrid_search`` from ``over_fetch * k`` hits, with services taking turns; ``place`` counts from 1."""
     pool = hybrid_search(queries, chunks, max(k, over_fetch * k), **how)
     return diversify(hydrate(pool, chunks.select("chunk_id", "source_service")), k, cap_ratio)
-
-
-@lru_cache(maxsize=1 << 16)
-def trigrams(text: str) -> tuple[str, ...]:
-    """Trigrams of the lower-case words of a text in order, each word padded by two spaces and one."""
-    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-    return tuple(p[i : i + 3] for p in (f"  {w} " for w in words) for i in range(len(p) - 2))
-
-
-def word_similarity(query: str, text: str) -> float:
-    """The greatest share of common trigrams of ``query`` and any continuous extent of the trigrams of ``text``."""
-    want, line = frozenset(trigrams(query)), trigrams(text)
-    hits, best = [i for i, t in enumerate(line) if t in want], 0.0
-    for n, a in enumerate(hits):
-        if (len(hits) - n) <= best * len(want):
-            break
-        extent, common, at = set(), set(), a
-        for b in hits[n:]:
-            extent.update(line[at : b + 1])
-            common.add(line[b])
-            at = b + 1
-            best = max(best, len(common) / (len(want) + len(extent) - len(common)))
-    return best
-
-
-_WORD = r"[\p{L}\p{N}]+"
-
-
-def text_grams(text: Column) -> Column:
-    """Distinct trigrams of the lower-case words of a text, each word padded by two spaces and one."""
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
-    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: cut(F.concat(F.lit("  "), w, F.lit(" "))))))
-
-
-def literal_grams(entity: Column) -> Column:
-    """Trigrams that a text must have if it holds an entity somewhere.
-
-    An entity's first and last word may be parts of longer words there, and next to % or _ any character may follow, so
-    only sides of words that the entity itself closes off are padded.
-    """
-    pieces = F.split(F.lower(entity), "[%_]")
-    # every run of letters and digits with the character before and behind it in its piece, if there is one
-    marked = lambda p: F.regexp_extract_all(F.regexp_replace(p, r"(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])", "  "), F.lit(r"(?:  )?[\p{L}\p{N}]+(?: ?[^\p{L}\p{N}])?"), F.lit(0))
-    padded = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]$", " ")
-    cut = lambda w: F.when(F.length(w) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(pieces, marked)), lambda w: cut(padded(w)))))
-
-
-def find_by_id(entities: DataFrame, chunks: DataFrame, k: int = 50, min_similarity: float = 0.6) -> DataFrame:
-    """query_id, entity, chunk_id, similarity, place: chunks that hold an entity (similarity 1) or words like it.
-
-    The k best by similarity and then time come first, and only then those below ``min_similarity`` go. ``%`` and ``_``
-    in an entity match anything. Chunks and entities meet by an equality join on trigrams: a chunk that holds an entity
-    has all trigrams the entity fixes, so its rarest one is enough; one that resembles it has so many of its trigrams
-    that it has one of the rarest few. What meets is then checked. Entities without a fixed trigram, of one or two
-    characters, are held against every chunk.
-    """
-    asked = entities.select("query_id", "entity").where("entity is not null and entity <> ''").distinct()
-    names = asked.select("entity").distinct().withColumns({"grams": text_grams(F.col("entity")), "fixed": literal_grams(F.col("entity"))})
-    need = F.ceil(F.size("grams") * F.lit(min_similarity))
-    rows = chunks.select("chunk_id", "text", "timestamp_start")
-    # how often the trigrams of entities occur; the others are filtered before the shuffle
-    own = names.select(F.explode(F.array_union("grams", "fixed")).alias("gram")).distinct()
-    held = rows.select("chunk_id", F.explode(text_grams(F.col("text"))).alias("gram")).join(own, "gram", "left_semi")
-    often = held.groupBy("gram").agg(F.count("*").alias("n"))
-    keyed = names.select("entity", F.explode(F.array_union(F.transform("grams", lambda g: F.struct(g.alias("gram"), F.lit(0).alias("tier"))), F.transform("fixed", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("tier"))))).alias("g"), need.alias("need"), F.size("grams").alias("size"))
-    placed = keyed.select("entity", "g.gram", "g.tier", "need", "size").join(often, "gram", "left").withColumn("place", F.row_number().over(Window.partitionBy("entity", "tier").orderBy(F.coalesce("n", F.lit(0)), "gram")))
-    keys = placed.where((F.col("n") > 0) & F.when(F.col("tier") == 1, F.col("place") == 1).otherwise(F.col("place") <= F.col("size") - F.col("need") + 1)).select("gram", "entity").distinct()
-    met = held.join(keys, "gram").select("chunk_id", "entity").distinct()
-    literal = F.expr("text ilike concat('%', entity, '%')")
-    near = met.join(names.drop("fixed"), "entity").join(rows, "chunk_id")
-    short = names.where(F.size("fixed") == 0).drop("fixed")
-    pairs = near.unionByName(rows.join(short, literal).join(met, ["chunk_id", "entity"], "left_anti").select(*near.columns))
-    enough = (F.size("grams") > 0) & (F.size(F.array_intersect(text_grams(F.col("text")), "grams")) >= need)
-    checked = pairs.withColumn("literal", literal).where(F.col("literal") | enough)
-
-    @F.pandas_udf("double")
-    def similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([word_similarity(q, t) for q, t in zip(query, text, strict=True)], dtype=float)
-
-    scored = checked.select("entity", "chunk_id", "timestamp_start", F.when(F.col("literal"), "").otherwise(F.col("text")).alias("rest"), "literal")
-    scored = scored.withColumn("similarity", F.when(F.col("literal"), 1.0).otherwise(similarity("entity", "rest")))
-    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("similarity"), F.desc_nulls_first("timestamp_start"), "chunk_id"))
-    best = scored.withColumn("place", place).where((F.col("place") <= k) & (F.col("similarity") >= min_similarity))
-    return asked.join(best, "entity").select("query_id", "entity", "chunk_id", "similarity", "place")

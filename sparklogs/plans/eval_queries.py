@@ -151,7 +151,7 @@ def hybrid_search_diverse(spark, sf_dir):
   SELECT * FROM s""")
 def find_by_id(spark, sf_dir):
     asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), _text("der-", F.col("n_nationkey")).alias("entity"))
-    return retrieval.find_by_id(asked, chunks(spark, sf_dir))
+    return retrieval.find_by_id(asked, spread(chunks(spark, sf_dir)))
 
 
 # Answers of investigations, from orders; their evidence, from line items

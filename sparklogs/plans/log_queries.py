@@ -74,6 +74,17 @@ def event_feed_capped(spark, sf_dir):
     return events.event_feed(chunks(spark, sf_dir), START, END)
 
 
+@query(ALL_SQL + f" SELECT *, CAST(row_number() OVER (PARTITION BY date_trunc('hour', ts) {PLACE_SQL} FROM feed")
+def event_feed_rollup(spark, sf_dir):
+    """The same feed from a rollup that a stream has kept over two batches of files."""
+    folder = scratch(spark, "rollup")
+    rows = chunks(spark, sf_dir).select("source_service", "signature", "log_level", "timestamp_start")
+    for half in (0, 1):
+        rows.where(F.pmod(F.hash("timestamp_start"), F.lit(2)) == half).write.mode("append").parquet(f"{folder}/chunks")
+        streams.stream_rollup(spark.readStream.schema(rows.schema).parquet(f"{folder}/chunks"), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return events.event_feed_from_rollup(streams.read_rollup(spark, f"{folder}/table"), START, END, max_events=None)
+
+
 @query(BUCKETS_SQL + " SELECT * FROM buckets")
 def window_aggregates(spark, sf_dir):
     return events.window_aggregates(chunks(spark, sf_dir), START, END)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparklogs.functions.parsing import log_signature, parse_log_lines
+from sparklogs.operators.events import event_rollup
 from sparklogs.operators.sessions import EXAMPLES, GAP_SECONDS
 from sparklogs.sources.appended import RANGE_BYTES, AppendedLines
 from sparklogs.sources.tables import BUCKETS, upsert_table
@@ -160,3 +161,21 @@ def stream_merge(chunks: DataFrame, path: str, checkpoint: str, **sizes: int) ->
         ChunkTable(batch.sparkSession, path, **sizes).upsert(batch, F.desc_nulls_last("timestamp_end"), checkpoint, number)
 
     return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_rollup(chunks: DataFrame, path: str, checkpoint: str, **sizes: int) -> StreamingQuery:
+    """Start a query that keeps the ``event_rollup`` of what is there of ``chunks`` at ``path``; ``read_rollup`` reads it.
+
+    A micro-batch appends its own counts; one that runs again is left out. A minute has a row for each batch that it was in.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("service", "signature", "level", "minute")]
+        rows = event_rollup(batch).withColumn("rollup_id", F.md5(F.concat_ws("\x00", F.lit(f"{checkpoint}/{number}"), *keys)))
+        ChunkTable(batch.sparkSession, path, "rollup_id", **sizes).upsert(rows, "minute", checkpoint, number)
+
+    return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    return ChunkTable(spark, path, "rollup_id").read().drop("rollup_id")

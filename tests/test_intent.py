@@ -1,5 +1,9 @@
+import hashlib
+import random
+import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +98,41 @@ def test_text_helpers(spark):
 def test_embedding_is_unit_length(spark):
     row = text.embed_texts(spark.createDataFrame([("a b a",), (None,)], "t string"), "t").collect()
     assert abs(sum(x * x for x in row[0].embedding) - 1) < 1e-6 and set(row[1].embedding) == {0.0}
+
+
+def test_entities_without_python_like_the_plain_finder(spark):
+    rng = random.Random(7)
+    parts = [
+        "123e4567-e89b-12d3-a456-426614174000", "arn:aws:s3:eu:123456789012:bucket/x", "i-0abcdef12", "01HZXABCDEFGHJKMNPQRSTVWXY", "0123456789abcdef0123456789abcdef", "0123456789ABCDEF", "req_abc123", "abc1234", "1717000000",
+        "order-77", "ORDER-77", "cart-svc2", "self-service", "blk_-99", "é-1", "x", "v1.2-rc3", "a_b-c9", "ünï-5x", "中文-7", ".", ",", "deadbeef", "svc-1",
+    ]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "-", "", "_", "/", "\n"]) for _ in range(rng.randint(0, 6))) for _ in range(600)] + [None, "", "no ids at all"]
+    extra = [r"\bx\b", "(", r"service\b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, query string").repartition(3)
+    frame = intent.extract_entities(rows, "query", ["cart-svc2", "SVC-1"], extra)
+    find = intent.entity_finder(["cart-svc2", "SVC-1"], extra)
+    got = {r.i: r.entities for r in frame.collect()}
+    assert got == {i: find(t) for i, t in enumerate(texts)}
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString() and frame.columns == ["i", "query", "entities"]
+
+
+def test_embeddings_of_a_batch_like_word_by_word(spark):
+    texts = ["a b a", "", "Ünïcode, straße! 42_7", None, "same same", "- -"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in text.embed_texts(rows, "t").collect():
+        out = np.zeros(64)
+        for word in re.findall(r"[^\W_]+", (texts[r.i] or "").lower()):
+            h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+            out[h % 64] += 1 if h >> 31 else -1
+        assert np.allclose(r.embedding, out / (np.linalg.norm(out) or 1), atol=1e-6)
+
+
+def test_a_backend_of_ones_own(spark):
+    class Length:
+        name, dim = "length", 2
+
+        def embed(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(1, "abc"), (2, None)], "i int, t string")
+    assert {r.i: r.v for r in text.embed_texts(rows, "t", Length(), "v").collect()} == {1: [3.0, 1.0], 2: [0.0, 1.0]}
