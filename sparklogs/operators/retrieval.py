@@ -8,8 +8,10 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparklogs.functions.intent import expand_queries
 from sparklogs.functions.text import Embedder, embed_texts
@@ -49,61 +51,122 @@ def _best(kept: tuple[np.ndarray, ...], ids: np.ndarray, scores: np.ndarray, nam
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = FAN_OUT) -> DataFrame:
-    """query_id, chunk_id, score (inner product), rank: the exact nearest vectors of each query.
+def _kinds(queries: DataFrame, vectors: DataFrame, chunk_id: str = "chunk_id") -> tuple[T.StructType, np.dtype, np.dtype]:
+    """The schema of what a search finds, and how ids of queries and chunks are held in arrays."""
+    query, chunk = queries.schema["query_id"].dataType, vectors.schema[chunk_id].dataType
+    chunk = chunk.elementType if isinstance(chunk, T.ArrayType) else chunk
+    number, name = (np.dtype(str if t.simpleString() == "string" else np.int64) for t in (query, chunk))
+    return T.StructType([T.StructField("query_id", query), T.StructField("chunk_id", chunk), T.StructField("score", T.DoubleType())]), number, name
 
-    Up to ``QUERY_BLOCK`` queries (query_id, embedding) are sent to the scan of the vectors, and nothing else moves.
-    More of them are dealt into blocks of about that many, which meet slices of the vectors in tasks of their own. A task
-    keeps its own best k of each query, so the last shuffle holds k rows a query and task.
-    """
-    queries = queries.select("query_id", "embedding").where("embedding is not null")
-    vectors = vectors.select("chunk_id", "embedding").where("embedding is not null")
-    kinds = queries.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType
-    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
-    number, name = (np.dtype(str if t.simpleString() == "string" else np.int64) for t in kinds)
-    empty = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, name)
 
-    def out(ids: np.ndarray, kept: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids[kept[0]].tolist()), pa.array(kept[2].tolist()), pa.array(kept[1])], ["query_id", "chunk_id", "score"])
+def _found(ids: np.ndarray, kept: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[kept[0]].tolist()), pa.array(kept[2].tolist()), pa.array(kept[1])], ["query_id", "chunk_id", "score"])
+
+
+#: Vectors that cells are built around, rows of a cell, and rows of one pivot in a task.
+PIVOTS, CELL_ROWS, PIVOT_ROWS = 256, 1024, 1 << 16
+
 
-    def block_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rows = rows.combine_chunks()
-        return np.array(rows["query_id"].to_pylist(), number), _matrix(rows["embedding"].chunk(0), len(rows))
+def vector_cells(vectors: DataFrame) -> DataFrame:
+    """The vectors (chunk_id, embedding) in cells of near ones, to be stored: docs, vectors, centre, radius.
 
-    head = queries.limit(QUERY_BLOCK + 1).toArrow()
-    if not len(head):
-        return ranked(vectors.limit(0).select(F.lit(None).cast(kinds[0]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")), ["query_id"], k)
-    if len(head) <= QUERY_BLOCK:
-        ids, matrix = block_of(head)
+    A vector goes to the nearest of ``PIVOTS`` vectors that a hash has drawn; one that more than ``PIVOT_ROWS`` go to is
+    dealt into parts by chance. Vectors are shuffled once, however many queries ask.
+    """
+    rows = vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).where("embedding is not null")
+    drawn = rows.select("embedding", F.xxhash64("chunk_id", "embedding").alias("h")).orderBy("h").limit(PIVOTS).toArrow().combine_chunks()
+    pivots = _matrix(drawn["embedding"].combine_chunks(), len(drawn))
+    schema = T.StructType([*rows.schema.fields, T.StructField("pivot", T.IntegerType())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("embedding"), batch.num_rows)
+                pivot = np.argmin((pivots**2).sum(axis=1) - 2 * x @ pivots.T, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot.astype(np.int32))], schema.names)
+
+    near = rows.mapInArrow(nearest, schema)
+    parts = F.broadcast(near.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_ROWS).alias("parts")))  # PIVOTS rows
+    dealt = near.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).drop("parts")
+    kind = rows.schema["chunk_id"].dataType
+    cells = T.StructType([T.StructField("docs", T.ArrayType(kind)), *(T.StructField(c, T.ArrayType(T.FloatType())) for c in ("vectors", "centre")), T.StructField("radius", T.DoubleType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("pivot", "part")])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                for at in range(a, b, CELL_ROWS):
+                    own = batch.slice(at, min(CELL_ROWS, b - at))
+                    x = _matrix(own.column("embedding"), own.num_rows)
+                    centre = x.mean(axis=0).astype(np.float32)
+                    radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
+                    arrays = [pa.array([own.column("chunk_id").to_pylist()], pa.list_(own.column("chunk_id").type)), *(pa.array([v], pa.list_(pa.float32())) for v in (x.ravel(), centre)), pa.array([radius])]
+                    yield pa.RecordBatch.from_arrays(arrays, cells.names)
+
+    return dealt.repartition("pivot", "part").sortWithinPartitions("pivot", "part").select("pivot", "part", "chunk_id", "embedding").mapInArrow(pack, cells)
+
+
+def _search_cells(cells: DataFrame, asked: pa.Table, kinds: tuple[T.StructType, np.dtype, np.dtype], k: int) -> DataFrame:
+    """What a block of queries finds in the cells. A query passes a cell whose centre and radius leave no score of its k best."""
+    schema, number, name = kinds
+    ids, matrix = np.array(asked["query_id"].to_pylist(), number), _matrix(asked["embedding"].combine_chunks(), len(asked))
+    length = np.sqrt((matrix**2).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, kth = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, name)), np.full(len(ids), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bound = matrix @ _matrix(batch.column("centre"), batch.num_rows).T + np.outer(length, batch.column("radius").to_numpy())
+            for cell in np.argsort(-bound.max(axis=0), kind="stable").tolist():
+                rows = np.flatnonzero(bound[:, cell] * (1 + 1e-9) + 1e-6 >= kth)
+                if len(rows):
+                    docs = batch.column("docs")[cell].values
+                    x = batch.column("vectors")[cell].values.to_numpy().astype(np.float64).reshape(len(docs), -1)
+                    kept = _best(kept, rows, matrix[rows] @ x.T, np.array(docs.to_pylist(), name), k)
+                    place = np.arange(len(kept[0])) - np.searchsorted(kept[0], kept[0])
+                    kth[kept[0][place == k - 1]] = kept[1][place == k - 1]
+        if len(kept[0]):
+            yield _found(ids, kept)
+
+    return cells.mapInArrow(run, schema)
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame | None, k: int = FAN_OUT, stored: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score (inner product), rank: the exact nearest vectors of each query.
+
+    Up to ``QUERY_BLOCK`` queries (query_id, embedding) are sent to the scan of the vectors, and nothing else moves. More of
+    them ask ``vector_cells`` in such blocks, one after another; ``stored`` may hold these cells, which then are asked in
+    any case. A task keeps its own best k of each query, so the last shuffle holds k rows a query and task.
+    """
+    queries = queries.select("query_id", "embedding").where("embedding is not null")
+    n = queries.count()
+    kinds = _kinds(queries, vectors, "chunk_id") if stored is None else _kinds(queries, stored, "docs")
+    schema, number, name = kinds
+    if not n:
+        return ranked((vectors if stored is None else stored).sparkSession.createDataFrame([], schema), ["query_id"], k)
+    if stored is None and n <= QUERY_BLOCK:
+        head = queries.toArrow().combine_chunks()
+        ids, matrix = np.array(head["query_id"].to_pylist(), number), _matrix(head["embedding"].combine_chunks(), len(head))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept = empty
+            kept = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, name)
             for batch in batches:
                 if batch.num_rows:
                     kept = _best(kept, np.arange(len(ids)), matrix @ _matrix(batch.column("embedding"), batch.num_rows).T, np.array(batch.column("chunk_id").to_pylist(), name), k)
             if len(kept[0]):
-                yield out(ids, kept)
-
-        return ranked(vectors.mapInArrow(scan, schema), ["query_id"], k)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = empty
-        if len(left) and len(right):
-            ids, matrix = block_of(right)
-            for batch in left.to_batches(max_chunksize=4096):
-                kept = _best(kept, np.arange(len(ids)), matrix @ _matrix(batch.column("embedding"), batch.num_rows).T, np.array(batch.column("chunk_id").to_pylist(), name), k)
-            return pa.Table.from_batches([out(ids, kept)]).cast(pa.schema([("query_id", right.schema.field("query_id").type), ("chunk_id", left.schema.field("chunk_id").type), ("score", pa.float64())]))
-        return pa.table({"query_id": pa.array([], right.schema.field("query_id").type), "chunk_id": pa.array([], left.schema.field("chunk_id").type), "score": pa.array([], pa.float64())})
-
-    blocks, parts = (int(df.count() // QUERY_BLOCK) + 1 for df in (queries, vectors))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = vectors.withColumns({"part": dealt("chunk_id", parts), "block": every(blocks)})
-    right = queries.withColumns({"block": dealt("query_id", blocks), "part": every(parts)})
-    return ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, schema), ["query_id"], k)
+                yield _found(ids, kept)
+
+        return ranked(vectors.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(scan, schema), ["query_id"], k)
+    blocks = -(-n // QUERY_BLOCK)
+    # several blocks read the cells; an executor that is lost costs its part of them again
+    cells = stored if stored is not None else vector_cells(vectors).persist(StorageLevel.DISK_ONLY)
+    every = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks() for b in range(blocks)]
+    return ranked(reduce(DataFrame.unionByName, [_search_cells(cells, asked, kinds, k) for asked in every if len(asked)]), ["query_id"], k)
 
 
 def postings(chunks: DataFrame, column: str = "text") -> DataFrame:

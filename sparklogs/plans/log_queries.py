@@ -714,3 +714,13 @@ def stream_new_patterns_ever(spark, sf_dir):
         return drained(streams.stream_new_patterns_ever(_stream(spark, sf_dir)), "ever").select("signature", "ts")
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+@query("WITH " + READ_SQL + " SELECT signature, min(ts) AS ts FROM rd WHERE ts IS NOT NULL GROUP BY 1")
+def stream_first_sights(spark, sf_dir):
+    """First sights in a table, over two runs of which the second has nothing new."""
+    folder, source = scratch(spark, "sights"), _files(spark, sf_dir, "stream")
+    for _ in range(2):
+        parsed = streams.stream_parse(spark, source, "svc", F.lit(NOW), max_files=3)
+        streams.stream_first_sights(parsed, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return ChunkTable(spark, f"{folder}/table", "pattern_id").read().select("signature", "ts")

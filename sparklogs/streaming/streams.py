@@ -179,3 +179,22 @@ def stream_rollup(chunks: DataFrame, path: str, checkpoint: str, **sizes: int) -
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     return ChunkTable(spark, path, "rollup_id").read().drop("rollup_id")
+
+
+def stream_first_sights(parsed: DataFrame, path: str, checkpoint: str, **sizes: int) -> StreamingQuery:
+    """Start a query that puts the first sight of each (project_id, signature) of what is there of ``parsed`` into the
+    ``ChunkTable`` at ``path``: project_id, signature, ts, pattern_id.
+
+    What was seen is in that table and nowhere else: the stream has no state, so nothing grows with its age but the table.
+    A batch is summed up to one row a pattern, of which those that the table has go. Rows without a time are left out.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        key = F.md5(F.concat_ws("\x00", F.coalesce("project_id", F.lit("")), F.col("project_id").isNull().cast("string"), "signature"))
+        first = batch.where("ts is not null and signature is not null").groupBy("project_id", "signature").agg(F.min("ts").alias("ts")).withColumn("pattern_id", key)
+        table = ChunkTable(batch.sparkSession, path, "pattern_id", **sizes)
+        if table.state().schema is not None:
+            first = first.join(table.read().select("pattern_id"), "pattern_id", "left_anti").select("project_id", "signature", "ts", "pattern_id")
+        table.upsert(first, "ts", checkpoint, number)
+
+    return parsed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from sparklogs.sources.versions import ChunkTable
 from sparklogs.streaming import streams
 
 
@@ -65,3 +66,25 @@ def test_sessions_keep_five_lines_whatever_the_order():
         held = streams.merge_sessions(held, lines[k : k + 5], 40)
     firsts = [sorted(x for x in lines if low <= x[0] < low + 900)[:5] for low in (0, 1000)]
     assert [(s[2], s[3]) for s in held] == [(43, firsts[0]), (12, firsts[1])]
+
+
+def test_first_sights_are_remembered_in_a_table(spark, tmp_path, monkeypatch):
+    logs, store = tmp_path / "in", str(tmp_path / "seen")
+    logs.mkdir()
+    line = "2026-01-01T00:{:02d}:00Z [ERROR] {}".format
+
+    def run_once(checkpoint="c"):
+        parsed = streams.stream_parse(spark, str(logs), "svc", F.lit(datetime(2026, 2, 1)), max_files=1)
+        streams.stream_first_sights(parsed, store, str(tmp_path / checkpoint)).awaitTermination(600)
+        return sorted((r.signature, str(r.ts)) for r in ChunkTable(spark, store, "pattern_id").read().collect())
+
+    drop(logs, "1.log", [line(5, "disk 1"), line(3, "disk 2"), line(7, "net down"), "no time here"])
+    first = [("disk <NUM>", "2026-01-01 00:03:00"), ("net down", "2026-01-01 00:07:00")]
+    assert run_once() == first
+    drop(logs, "2.log", [line(1, "disk 3"), line(9, "new one")])
+    assert run_once() == sorted([*first, ("new one", "2026-01-01 00:09:00")])
+    version = ChunkTable(spark, store, "pattern_id").state().version
+    assert run_once() == sorted([*first, ("new one", "2026-01-01 00:09:00")])  # a restart without news
+    assert ChunkTable(spark, store, "pattern_id").state().version == version
+    # another query over the same lines finds nothing new
+    assert run_once("other") == sorted([*first, ("new one", "2026-01-01 00:09:00")])
