@@ -165,8 +165,11 @@ def parse_log_lines(lines: DataFrame, now: Column, legacy_levels: bool = False)
     def pick(i: int) -> Column:
         return F.coalesce(*[F.when(F.col("_format") == k, parts[i]) for k, parts in enumerate(formats)])
 
-    read = rows.withColumns({"ts_str": pick(1), "level": pick(2), "message": pick(3)})
-    return read.drop(*steps).withColumn("ts", parse_timestamp(F.col("ts_str"), now))
+    # An array of one row: conditions on what is read stay above it. Pushed below, they would repeat all steps many times over.
+    read = F.struct(pick(1).alias("ts_str"), pick(2).alias("level"), pick(3).alias("message"))
+    names = [c for c in lines.columns if c.lower() not in ("ts_str", "level", "message")]
+    rows = rows.select(*names, F.explode(F.array(read)).alias("_read")).select(*names, "_read.*")
+    return rows.withColumn("ts", parse_timestamp(F.col("ts_str"), now))
 
 
 def chunk_text(signature: Column, examples: Column) -> Column:
