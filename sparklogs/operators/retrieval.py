@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparklogs.functions.intent import expand_queries
 from sparklogs.functions.text import Embedder, embed_texts
@@ -62,8 +63,8 @@ def _kinds(queries: DataFrame, vectors: DataFrame, chunk_id: str = "chunk_id") -
     return T.StructType([T.StructField("query_id", query), T.StructField("chunk_id", chunk), T.StructField("score", T.DoubleType())]), number, name
 
 
-def _found(ids: np.ndarray, kept: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids[kept[0]].tolist()), pa.array(kept[2].tolist()), pa.array(kept[1])], ["query_id", "chunk_id", "score"])
+def _found(ids: np.ndarray, kept: tuple[np.ndarray, ...], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.tolist(), f.type) for c, f in zip((ids[kept[0]], kept[2], kept[1]), to_arrow_schema(schema), strict=True)], schema.names)
 
 
 #: Vectors that cells are built around, rows of a cell, and rows of one pivot in a task.
@@ -131,7 +132,7 @@ def _search_cells(cells: DataFrame, asked: pa.Table, kinds: tuple[T.StructType,
                     place = np.arange(len(kept[0])) - np.searchsorted(kept[0], kept[0])
                     kth[kept[0][place == k - 1]] = kept[1][place == k - 1]
         if len(kept[0]):
-            yield _found(ids, kept)
+            yield _found(ids, kept, schema)
 
     return cells.mapInArrow(run, schema)
 
@@ -159,7 +160,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame | None, k: int = FAN_OUT,
                 if batch.num_rows:
                     kept = _best(kept, np.arange(len(ids)), matrix @ _matrix(batch.column("embedding"), batch.num_rows).T, np.array(batch.column("chunk_id").to_pylist(), name), k)
             if len(kept[0]):
-                yield _found(ids, kept)
+                yield _found(ids, kept, schema)
 
         return ranked(vectors.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(scan, schema), ["query_id"], k)
     blocks = -(-n // QUERY_BLOCK)

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Scoring, and the fields of a chunk with their weights; the first is the text.
 K1, B = 1.2, 0.75
@@ -246,6 +247,7 @@ def _asked(batch: pa.RecordBatch, asked: pa.Array) -> Iterator[Block]:
 
 def search_blocks(blocks: DataFrame, query_ids: pa.Array, id_type: T.DataType, asked: pa.Array, search: Callable[[], Bm25 | Web]) -> DataFrame:
     """query_id, chunk_id, score: what a search finds in each task; it is made anew there."""
+    kind = to_arrow_type(blocks.schema["docs"].dataType.elementType)
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("chunk_id", blocks.schema["docs"].dataType.elementType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +257,7 @@ def search_blocks(blocks: DataFrame, query_ids: pa.Array, id_type: T.DataType, a
                 own.add(block)
         names = query_ids.to_pylist()
         for q, (score, name) in own.best.held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(score), query_ids.type), pa.array(name.tolist()), pa.array(score)], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(score), query_ids.type), pa.array(name.tolist(), kind), pa.array(score)], schema.names)
 
     return blocks.mapInArrow(run, schema)
 

@@ -164,3 +164,9 @@ def test_integer_ids_and_ties(spark):
     asked = spark.createDataFrame([("q", "words")], "query_id string, query string")
     assert [r.chunk_id for r in retrieval.bm25_topk(asked, rows, 3).orderBy("rank").collect()] == [2, 9, 10]
     assert retrieval.bm25_topk(asked, rows, 3).where(F.col("score") > 0).count() == 3
+    narrow = rows.withColumn("chunk_id", F.col("chunk_id").cast("int"))
+    assert [r.chunk_id for r in retrieval.bm25_topk(asked, narrow, 3).orderBy("rank").collect()] == [2, 9, 10]
+    vectors = narrow.select("chunk_id", F.array(F.col("chunk_id").cast("float")).alias("embedding"))
+    one = spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<float>")
+    for stored in (None, retrieval.vector_cells(vectors)):
+        assert [r.chunk_id for r in retrieval.vector_topk(one, vectors, 2, stored).orderBy("rank").collect()] == [33, 10]
