@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparklogs.functions import intent, parsing, text
 from sparklogs.operators import events, filters, incident, sessions, views
-from sparklogs.plans.bridge import CHUNKS_SQL, END, HITS_SQL, LINES_SQL, NOW, START, VARIANTS_SQL, chunks, drained, hits, raw_lines, scratch, synonyms_sql, table
+from sparklogs.plans.bridge import CHUNKS_SQL, END, HITS_SQL, LINES_SQL, NOW, START, VARIANTS_SQL, chunks, drained, hits, raw_lines, scratch, spread, synonyms_sql, table
 from sparklogs.plans.registry import query
 from sparklogs.sources import files, tables
 from sparklogs.sources.versions import ChunkTable
@@ -329,7 +329,7 @@ def transcripts(spark, sf_dir):
     WHEN 4 THEN regexp_extract(line, '\] \[\w+\] (.*)', 1) ELSE line END AS message,
    CASE WHEN f = 5 THEN NULL ELSE date_trunc('second', ts) END AS ts FROM lv""")
 def parse_log_lines(spark, sf_dir):
-    return parsing.parse_log_lines(raw_lines(spark, sf_dir).drop("ts"), F.lit(NOW)).select("event_id", "level", "message", "ts")
+    return parsing.parse_log_lines(spread(raw_lines(spark, sf_dir)).drop("ts"), F.lit(NOW)).select("event_id", "level", "message", "ts")
 
 
 #: A walk over digit runs and what lies between, for the messages that the bridge makes.
@@ -560,7 +560,7 @@ _SAID = {
 
 @query(f"WITH {ENTITIES_SQL} SELECT event_id, CASE event_id % 6 {' '.join(f'WHEN {k} THEN {v}' for k, (_, v) in _ENTITIES.items())} END AS id_values FROM said")
 def extract_entities(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.md5(F.concat(F.lit("e"), F.col("event_id").cast("string")).cast("binary")).alias("m"))
+    rows = spread(table(spark, sf_dir, "events")).select("event_id", F.md5(F.concat(F.lit("e"), F.col("event_id").cast("string")).cast("binary")).alias("m"))
     said = F.lit(None).cast("string")
     for k, (pattern, _) in _ENTITIES.items():
         parts = [F.lit(p) if i % 2 == 0 else F.expr(_SAID[p]) for i, p in enumerate(re.split(r"[{}]", pattern))]
