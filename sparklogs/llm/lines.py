@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklogs.llm.common import buffers, extended, mix, prime_rolling, signed, slices, unused, written
+from sparklogs.llm.ngram_join import holding
 
 #: Lines of up to so many characters give all variants at once; lines of at least so many are looked up by halves first.
 SHORT = 16
@@ -97,9 +98,9 @@ class Lines:
 
 
 def _positions(docs: DataFrame) -> DataFrame:
-    """id, line, h1, h2, four half keys (0 for a short line) and the text of a short line, for each line with more than
-    white space."""
-    names = ["id", "line", "h1", "h2", "p0", "s0", "p1", "s1", "short"]
+    """id and hash of the document, line, h1, h2, four half keys (0 for a short line) and the text of a short line, for each
+    line with more than white space."""
+    names = ["id", "doc", "line", "h1", "h2", "p0", "s0", "p1", "s1", "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +111,11 @@ def _positions(docs: DataFrame) -> DataFrame:
                 where = np.full(len(lines.text), -1)
                 where[short] = np.arange(len(short))
                 own = lines.strings(lines.start[short], lines.end[short]).take(pa.array(where, mask=where < 0))
-                columns = [part.column("id").take(pa.array(lines.text)), pa.array(lines.number, pa.int32()), *map(pa.array, digests.T.copy()), *map(pa.array, keys), own]
+                owner = pa.array(lines.text)
+                columns = [part.column("id").take(owner), part.column("doc").take(owner), pa.array(lines.number, pa.int32()), *map(pa.array, digests.T.copy()), *map(pa.array, keys), own]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, "id long, line int, h1 long, h2 long, p0 long, s0 long, p1 long, s1 long, short string")
+    return docs.mapInArrow(run, "id long, doc long, line int, h1 long, h2 long, p0 long, s0 long, p1 long, s1 long, short string")
 
 
 def _sixteenths(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,7 +143,7 @@ def _sixteenths(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 columns = [pa.array(signed(key)), payload, part.column("id").take(pa.array(row[each])), pa.array(lines.number[line], pa.int32()), pa.array(own[each])]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "payload", "id", "line", "h1"])
 
-    joined = docs.join(wanted, "id").select("id", "text", "wanted")
+    joined = docs.join(wanted, ["id", "doc"]).select("id", "text", "wanted")
     return joined.mapInArrow(run, "key long, payload string, id long, line int, h1 long")
 
 
@@ -172,22 +174,26 @@ def _variants(close: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
-    """id, line, h1 of each line that an earlier line (by doc_id, then line number) equals or is within ``edits`` of (0 or 1)."""
+    """id, doc, line, h1 of each line that an earlier line (by id, then line number) equals or is within ``edits`` of (0 or 1).
+
+    ``docs`` has id, doc and text; ``doc`` is a hash of the text, so that what is gathered belongs to one text even where
+    very many rows share an id.
+    """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     lines = written(_positions(docs), "lines")
     here = F.struct("id", "line")
     keys = ["p0", "s0", "p1", "s1"]
     # equal lines have equal keys, so any of them will do
-    firsts = written(lines.groupBy("h1", "h2").agg(F.min(here).alias("at"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in [*keys, "short"]]), "first-lines")
-    equal = lines.select("id", "line", "h1", "h2").join(firsts.where("n > 1").select("h1", "h2", "at"), ["h1", "h2"]).where(here > F.col("at")).select("id", "line", "h1")
+    firsts = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "doc")).alias("at"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in [*keys, "short"]]), "first-lines")
+    equal = lines.select("id", "doc", "line", "h1", "h2").join(firsts.where("n > 1").select("h1", "h2", "at"), ["h1", "h2"]).where(here > F.struct("at.id", "at.line")).select("id", "doc", "line", "h1")
     if not edits:
         return equal.distinct()
 
     halves = firsts.where("p0 <> 0").select("h1", "at", F.posexplode(F.array(*keys)).alias("kind", "key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = halves.join(shared, "key", "left_semi")
-    wanted = near.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h1", "kind")).alias("wanted"))
+    wanted = near.groupBy("at.id", "at.doc").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h1", "kind")).alias("wanted"))
     rests = written(_sixteenths(docs, wanted), "sixteenths")
     meeting = rests.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     short = firsts.where("short is not null").select(F.lit(0).cast("long").alias("key"), F.col("short").alias("payload"), "at.id", "at.line", "h1")
@@ -207,7 +213,10 @@ def repeated_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
     other = close.select(F.struct("id", "line", "h1", "key").alias("first"), F.col("payload").alias("first_payload"))
     both = met.join(close, ["key", "id", "line", "h1"]).join(other, "first")
     edited = both.where((F.col("key") == F.col("first.key")) & (F.levenshtein("payload", "first_payload", 1) >= 0)).select("id", "line", "h1")
-    return equal.unionByName(edited).distinct()
+    # rows that share an id may have such a line in the same place; each text is told of its own
+    edited = written(edited.distinct(), "edited")
+    placed = holding(lines.select("id", "doc", "line", "h1"), edited, "h1").join(edited, ["id", "line", "h1"])
+    return equal.unionByName(placed.select("id", "doc", "line", "h1")).distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
@@ -220,9 +229,10 @@ def dedup_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
     rows give none.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    key, lost = unused("_id", docs.columns), unused("_gone", docs.columns)
-    read = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = repeated_lines(read, edits).groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("line", "h1")).alias(lost))
+    key, own_hash, lost = unused("_id", docs.columns), unused("_hash", docs.columns), unused("_gone", docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    read = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
+    gone = repeated_lines(read, edits).groupBy(F.col("id").alias(key), F.col("doc").alias(own_hash)).agg(F.collect_list(F.struct("line", "h1")).alias(lost))
     rest = [c for c in docs.columns if c != "text"]
     schema = extended(docs.select("text", *rest), n_lines="int", n_dropped="int")
 
@@ -243,5 +253,5 @@ def dedup_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
                 columns = [pa.array(texts, pa.string()), *(part.column(c) for c in rest), pa.array(lines.all_of, pa.int32()), pa.array(np.diff(cut), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    joined = docs.withColumn(key, F.coalesce("doc_id", F.lit(_LEAST))).join(gone, key, "left").select("text", *rest, lost)
+    joined = docs.withColumns({key: F.coalesce("doc_id", F.lit(_LEAST)), own_hash: F.xxhash64(text)}).join(gone, [key, own_hash], "left").select("text", *rest, lost)
     return joined.mapInArrow(run, schema).select(*docs.columns, "n_lines", "n_dropped")

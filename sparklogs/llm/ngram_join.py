@@ -2,9 +2,10 @@
 
 Copies are joined first, by a hash of their words. A MinHash LSH forest then finds candidates. Each tree is the prefix
 trie of its own signatures, held as sorted rows: documents under one node stand together, and what two neighbours share
-is the node they meet at. Matches begin at whole signatures (``DEEPEST`` values) and are shortened, node by node, until
-a pair at the threshold meets in some tree with the target recall; a node that holds more than ``BLOCK`` documents at
-that length is parted where its neighbours share least, so it keeps longer prefixes. Under each node all signatures are
+is the node they meet at. How far matches are shortened, from whole signatures (``DEEPEST`` values) on, follows from the
+threshold alone: to the longest prefix at which a pair at the threshold meets in some tree with the target recall. What
+adapts to the data is a node that holds more than ``BLOCK`` documents at that length: it is parted where its neighbours
+share least, so that its parts keep longer prefixes. Under each node all signatures are
 compared, and pairs whose whole signatures agree too little to be similar are let go there, so chance meetings never
 chain. What stays is verified exactly, by the intersections of n-gram sets, in blocks of bounded size that Spark deals
 out; a block sends back each document's number of links and a spanning forest, never its pairs.

@@ -6,8 +6,9 @@ cost both classes alike. A passage's score is its length-normalised log-likeliho
 function of the ratio over the whole text and of its most toxic passage, fitted on labelled rows that counted no model
 and moved so that one half is the cut with the best F1 on those rows.
 
-Labels come from a bounded sample (``CLASS_ROWS`` rows a class for counting, ``FIT_ROWS`` for the logistic function),
-so the scoring tables are bounded too and can be broadcast; continuation counts cover the whole corpus.
+Labels come from a bounded sample (``CLASS_ROWS`` rows and ``CLASS_BYTES`` bytes of text a class for counting, ``FIT_ROWS``
+rows for the logistic function), so the scoring tables are bounded too and can be broadcast; continuation counts cover the
+whole corpus.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklogs.llm.common import Words, expand, extended, slices, word_hashes, written
@@ -25,6 +26,7 @@ ORDER = 6
 DISCOUNT = 0.75
 PASSAGE = 3
 CLASS_ROWS = 10_000
+CLASS_BYTES = 48 << 20
 FIT_ROWS = 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -202,19 +204,31 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 1e-6)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def counting_rows(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> DataFrame:
+    """doc_id and toxic of the rows of ``labels`` (one a document, with fold) whose texts count the models: of each class the
+    first ``rows`` in an order of their own, as far as their texts stay within ``size`` bytes; a text of over a sixteenth of
+    that is passed over. All rows of a doc_id count for its size."""
+    draw = F.xxhash64("doc_id")
+    drawn = [labels.where((F.col("toxic") == c) & F.col("fold").isin(1, 2, 3)).orderBy(draw, "doc_id").limit(rows).select("doc_id", "toxic") for c in (0, 1)]
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    sized = sizes.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return sized.where(F.col("size") <= size // 16).withColumn("sum", before).where(F.col("sum") <= size).select("doc_id", "toxic")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, fit_rows: int = FIT_ROWS, class_bytes: int = CLASS_BYTES) -> DataFrame:
     """The rows of ``docs`` with held_out, score (0 to 1) and predicted (1 from 0.5 on), which replace columns of these
     names; ``labels`` has doc_id, toxic.
 
     Only labels whose crc32(doc_id as text) mod 5 is not 0 are learnt from; a document with several labels counts as
-    toxic if one says so. Texts without words (null, empty) get the score of zero evidence; without labels of
+    toxic if one says so. At most ``class_rows`` documents and ``class_bytes`` bytes of a class are counted, see
+    ``counting_rows``; every document is scored, whatever its length. Texts without words (null, empty) get the score of zero evidence; without labels of
     both classes to fit on no text is toxic; repeated rows score alike; an empty table gives no rows.
     """
     docs = docs.drop("score", "held_out", "predicted")
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
     draw = F.xxhash64("doc_id")
-    counted = [labels.where((F.col("toxic") == c) & F.col("fold").isin(1, 2, 3)).orderBy(draw, "doc_id").limit(class_rows) for c in (0, 1)]
-    model_rows = F.broadcast(counted[0].unionByName(counted[1]).select("doc_id", "toxic"))  # 2 * class_rows at most
+    model_rows = F.broadcast(counting_rows(docs, labels, class_rows, class_bytes))  # 2 * class_rows at most
     grams = written(gram_counts(docs.select("doc_id", "text").join(model_rows, "doc_id", "left")), "grams")
     shared = docs.sparkSession.sparkContext.broadcast(ratio_tables(grams))
 

@@ -131,6 +131,20 @@ def test_near_lines_like_brute_force(spark):
     assert got == want
 
 
+def test_lines_of_rows_without_an_id(spark):
+    """Each text without an id is told of its own lines only, and of near lines that stand in the same place of several."""
+    early, near = "one early line that stands alone here", "one early line that stands alone herd"
+    docs = [(None, early)] + [(None, f"own beginning {i} {i * 7919}\n{near}\nown end {i * 104729}") for i in range(300)]
+    docs += [(5, f"first of five, {c}\n{near}") for c in "abc"]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    read = frame.select(F.coalesce("doc_id", F.lit(lines._LEAST)).alias("id"), F.xxhash64("text").alias("doc"), "text")
+    gone = lines.repeated_lines(read).collect()
+    most = Counter((r.id, r.doc) for r in gone)
+    assert len(most) >= 303 and max(most.values()) <= 3
+    kept = lines.dedup_lines(frame).collect()
+    assert len(kept) == len(docs) and not any(near in r.text for r in kept) and sum(early in r.text for r in kept) == 1
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = np.arange(20_000)
     for n in (1, 7, 24):
@@ -511,6 +525,28 @@ def test_kneser_ney_like_dictionaries(spark):
     assert np.allclose(unseen, [np.log(rest(1, k)) - np.log(rest(0, k)) for k in contexts.tolist()], atol=1e-5)
 
 
+def test_counted_texts_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "ab " * (10 + i)) for i in range(60)] + [(60, "long " * 40_000), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(61)], "doc_id long, toxic int, fold int")
+    every = toxicity.counting_rows(docs, labels, 100, 1 << 20).collect()
+    assert sorted(r.doc_id for r in every) == list(range(60))  # the long one has over a sixteenth of the bytes
+    size = {i: 3 * (10 + i) for i in range(60)}
+    some = toxicity.counting_rows(docs, labels, 100, 3400).collect()
+    for c in (0, 1):
+        own = sum(size[r.doc_id] for r in some if r.toxic == c)
+        assert 3400 - 3 * 70 < own <= 3400
+    assert len(toxicity.counting_rows(docs, labels, 5, 1 << 20).collect()) == 10
+
+
+def test_a_very_long_labelled_text_is_scored_and_not_counted(spark):
+    rows = [(i, "you vile rotten fool" if i % 2 else "a calm walk by the lake") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (400, "a calm walk by the lake " * 20_000), (401, "you vile rotten fool " * 20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(402)], "doc_id long, toxic int")
+    found = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels, class_bytes=1 << 20).collect()}
+    assert len(found) == 402 and all(v == i % 2 for i, v in found.items() if i < 400)
+    assert (found[400], found[401]) == (0, 1)
+
+
 def test_the_cut_has_the_best_f1():
     rng = np.random.default_rng(1)
     z = np.round(rng.normal(size=200), 1)
