@@ -16,6 +16,7 @@ from sparklogs.plans.registry import query
 from sparklogs.sources import files, tables
 from sparklogs.sources.versions import ChunkTable
 from sparklogs.streaming import streams
+from sparklogs.streaming.sessions import ROCKSDB
 
 C, H = "WITH " + CHUNKS_SQL, "WITH " + HITS_SQL
 WINDOW = "timestamp_start >= TIMESTAMP '2024-01-05' AND timestamp_start < TIMESTAMP '2024-01-14'"
@@ -675,6 +676,16 @@ def stream_chunks(spark, sf_dir):
     return drained(found, "sessions").select("signature", "count", "examples", "timestamp_start", "timestamp_end", "log_level")
 
 
+@query("WITH " + SESSIONS_SQL + " SELECT * FROM closed")
+def stream_chunks_by_cells(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        found = streams.stream_chunks_by_cells(_stream(spark, sf_dir), 7200, "2 hours")
+        return drained(found, "cells").select("signature", "count", "examples", "timestamp_start", "timestamp_end", "log_level")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 @query("WITH " + SESSIONS_SQL + " SELECT signature, count, timestamp_start, log_level FROM closed")
 def stream_upsert(spark, sf_dir):
     """Sessions into the chunk table, and the same again, which changes nothing."""
@@ -709,7 +720,7 @@ def stream_new_patterns(spark, sf_dir):
 
 @query("WITH " + READ_SQL + " SELECT signature, min(ts) AS ts FROM rd WHERE ts IS NOT NULL GROUP BY 1")
 def stream_new_patterns_ever(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         return drained(streams.stream_new_patterns_ever(_stream(spark, sf_dir)), "ever").select("signature", "ts")
     finally:

@@ -19,6 +19,7 @@ from sparklogs.operators.sessions import EXAMPLES, GAP_SECONDS
 from sparklogs.sources.appended import RANGE_BYTES, AppendedLines
 from sparklogs.sources.tables import BUCKETS, upsert_table
 from sparklogs.sources.versions import ChunkTable
+from sparklogs.streaming.sessions import KEYS, SESSIONS, session_cells
 
 
 def stream_parse(spark: SparkSession, folder: str, service: str, now: Column | None = None, env: str = "production", project_id: str | None = None, max_files: int = 100) -> DataFrame:
@@ -46,8 +47,6 @@ def untimed(parsed: DataFrame) -> DataFrame:
     return parsed.where("ts is null")
 
 
-KEYS = ["project_id", "source_service", "source_env", "signature"]
-SESSIONS = "project_id string, source_service string, source_env string, signature string, count long, examples array<string>, timestamp_start timestamp, timestamp_end timestamp, log_level string"
 _STATE = "sessions array<struct<start: long, end: long, count: long, lines: array<struct<ts: long, message: string, level: string>>>>"
 
 
@@ -94,7 +93,19 @@ def stream_chunks(parsed: DataFrame, gap_seconds: int = GAP_SECONDS, delay: str
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SESSIONS.split(", ")])
 
     timed = parsed.where("ts is not null").withWatermark("ts", delay).select(*KEYS, "ts", F.unix_micros("ts").alias("micros"), "message", "level")
-    found = timed.groupBy(*KEYS).applyInPandasWithState(sessions, SESSIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _identified(timed.groupBy(*KEYS).applyInPandasWithState(sessions, SESSIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def stream_chunks_by_cells(parsed: DataFrame, gap_seconds: int = GAP_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """The rows of ``stream_chunks``, from state that is kept in cells of time with a timer each: a batch reads and writes the
+    cells of its own lines and those of sessions that close, and nothing of what else is open.
+
+    Needs a state store with column families (RocksDB).
+    """
+    return _identified(session_cells(parsed, gap_seconds, delay))
+
+
+def _identified(found: DataFrame) -> DataFrame:
     first = [*KEYS, F.unix_micros("timestamp_start").cast("string"), F.element_at("examples", 1)]
     identity = F.concat_ws("|", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in first])
     return found.withColumn("chunk_id", F.sha2(identity, 256))
