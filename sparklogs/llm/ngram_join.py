@@ -7,7 +7,8 @@ threshold alone: to the longest prefix at which a pair at the threshold meets in
 adapts to the data is a node that holds more than ``BLOCK`` documents at that length: it is parted where its neighbours
 share least, so that its parts keep longer prefixes. Under each node all signatures are
 compared, and pairs whose whole signatures agree too little to be similar are let go there, so chance meetings never
-chain. What stays is verified exactly, by the intersections of n-gram sets, in blocks of bounded size that Spark deals
+chain. Where the parts of an over-full node did not end up in one component, all pairs under that node are compared as
+well, in blocks, so the parting loses none. What stays is verified exactly, by the intersections of n-gram sets, in blocks of bounded size that Spark deals
 out; a block sends back each document's number of links and a spanning forest, never its pairs.
 """
 
@@ -113,25 +114,27 @@ def part_node(shared: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def trie_nodes(depth: int, most: int) -> Callable:
-    """A mapInArrow function over rows sorted by (tree, values): the documents that meet at each node, as (meeting, node).
+    """A mapInArrow function over rows sorted by (tree, values): the documents that meet at each node, as (meeting, node, whole).
 
-    ``meeting`` comes from the set of documents, so the same ones get the same number in every tree. No more than
-    ``most`` rows and a batch are held.
+    ``meeting`` comes from the set of documents, so the same ones get the same number in every tree. A node of more than
+    ``most`` documents meets in parts; ``whole`` (null elsewhere) is the number of that node on all rows of its parts. No
+    more than ``most`` rows and a batch are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        going = False  # the held rows go on with a node of which parts are out
 
-        def found(node: np.ndarray, shared: np.ndarray) -> Iterator[np.ndarray]:
-            for a, b in part_node(shared, most):
-                if b - a > 1:
-                    yield node[a:b]
-
-        def out(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def out(groups: list[tuple[np.ndarray, int | None]]) -> Iterator[pa.RecordBatch]:
             if groups:
-                number = [int(mix(g.view(np.uint64)).sum(dtype=np.uint64)) for g in groups]
-                meeting = np.repeat(np.array(number, np.uint64), [len(g) for g in groups])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(meeting)), pa.array(np.concatenate(groups))], ["meeting", "node"])
+                size = [len(g) for g, _ in groups]
+                number = [int(mix(g.view(np.uint64)).sum(dtype=np.uint64)) for g, _ in groups]
+                meeting = np.repeat(np.array(number, np.uint64), size)
+                whole = pa.array([w for _, w in groups], pa.int64()).take(pa.array(np.repeat(np.arange(len(groups)), size)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(meeting)), pa.array(np.concatenate([g for g, _ in groups])), whole], ["meeting", "node", "whole"])
+
+        def name(tree: int, value: np.ndarray) -> int:
+            return xxhash.xxh3_64_intdigest(value[:depth].tobytes(), int(tree)) - (1 << 63)
 
         for batch in batches:
             if not batch.num_rows:
@@ -142,20 +145,24 @@ def trie_nodes(depth: int, most: int) -> Callable:
             equal = values[1:] == values[:-1]
             shared = np.where(equal.all(axis=1), values.shape[1], equal.argmin(axis=1)) * (tree[1:] == tree[:-1])
             cut = np.concatenate([[0], np.flatnonzero(shared < depth) + 1])
-            groups: list[np.ndarray] = []
+            groups: list[tuple[np.ndarray, int | None]] = []
             for k in np.flatnonzero(np.diff(cut) > 1).tolist():
-                groups.extend(found(node[cut[k] : cut[k + 1]], shared[cut[k] : cut[k + 1] - 1]))
+                low, end = int(cut[k]), int(cut[k + 1])
+                whole = name(tree[low], values[low]) if end - low > most or (going and not k) else None
+                groups.extend((node[low + a : low + b], whole) for a, b in part_node(shared[low : end - 1], most) if b - a > 1)
             last = int(cut[-1])
+            going &= not last
             if len(node) - last > most:  # an open node that is too large: all but its last part are done
-                parts = part_node(shared[last:], most)
-                groups.extend(node[last + a : last + b] for a, b in parts[:-1])
+                parts, whole, going = part_node(shared[last:], most), name(tree[last], values[last]), True
+                groups.extend((node[last + a : last + b], whole) for a, b in parts[:-1])
                 last += parts[-1][0]
             yield from out(groups)
             held = table.slice(last).to_batches()
         if held:
-            node = pa.Table.from_batches(held)["node"].to_numpy()
-            if len(node) > 1:
-                yield from out([node])
+            table = pa.Table.from_batches(held).combine_chunks()
+            if len(table) > 1:
+                value = np.frombuffer(table["values"][0].as_py(), np.uint16)
+                yield from out([(table["node"].to_numpy(), name(table["tree"][0].as_py(), value) if going else None)])
 
     return run
 
@@ -218,16 +225,79 @@ def _alike(least: float) -> Callable:
     return run
 
 
+def _across(least: float) -> Callable:
+    """A mapInArrow function over rows sorted by (whole, i, j): which components have pairs whose signatures agree enough.
+
+    All rows of block i are compared with all of block j, but for those whose components are joined already. What comes
+    out is a forest over the components of a group.
+    """
+
+    def group(rows: pa.Table) -> list[tuple[int, int]]:
+        rows = rows.combine_chunks()
+        component, block = rows["component"].to_numpy(), rows["block"].to_numpy()
+        values = np.frombuffer(buffer_of(rows["signature"].chunk(0)), np.uint16).reshape(len(component), -1)
+        two = rows["i"][0].as_py() != rows["j"][0].as_py()
+        left, right = np.flatnonzero(block == rows["i"][0].as_py()), np.flatnonzero(block == rows["j"][0].as_py())
+        label, found = np.unique(component, return_inverse=True)[1], []
+        for k, row in enumerate(left.tolist()):
+            other = right if two else right[k + 1 :]
+            other = other[label[other] != label[row]]
+            if not len(other):
+                continue
+            other = other[np.count_nonzero(values[other] == values[row], axis=1) >= least * values.shape[1]]
+            for at in other[np.unique(label[other], return_index=True)[1]].tolist():
+                found.append((component[row], component[at]))
+                label[label == label[at]] = label[row]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["whole", "i", "j"]):
+            found = group(rows)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
+def joined_across(near: DataFrame, over: DataFrame, firsts: DataFrame, least: float, width: int) -> DataFrame:
+    """``near`` (node, component) with the components joined that similar signatures under one over-full node link.
+
+    ``over`` (whole, node) are the documents of such nodes. A node of one component has nothing more to join; all pairs of
+    any other are compared, in blocks of ``width`` documents that Spark deals out.
+    """
+    placed = over.join(near, "node", "left").select("whole", "node", F.coalesce("component", "node").alias("component"))
+    sets = placed.groupBy("whole").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("component").alias("low"), F.max("component").alias("high"))
+    once = sets.where("low <> high").groupBy("n", "mark").agg(F.min("whole").alias("whole"))  # the same documents in other trees
+    placed = written(placed.join(once.select("whole", F.ceil(F.col("n") / width).cast("int").alias("blocks")), "whole"), "placed")
+    if placed.isEmpty():
+        return near
+    hashed = F.xxhash64("node").alias("hash")
+    asked = holding(firsts.select("node", "signature", hashed), placed.select(hashed)).drop("hash")
+    placed = placed.join(asked, "node").withColumn("block", F.pmod(F.xxhash64("node", "whole"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "whole", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "signature"
+    )
+    keys = ["whole", "i", "j"]
+    links = written(dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_across(least), "a long, b long"), "across")
+    if links.isEmpty():
+        return near
+    top = components(links)
+    raised = near.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return raised.unionByName(top.join(near, "node", "left_anti").select("node", "component"))
+
+
 def candidates(firsts: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Links (a, b) between nodes of (node, signature) that span all pairs which may be similar."""
+    """node and component of (node, signature): pairs which may be similar lie in one component."""
     width = 2 * DEEPEST
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = firsts.select("node", tree, "signature").select("tree", F.expr(f"substring(signature, tree * {width} + 1, {width})").alias("values"), "node")
-    depth = forest_depth(threshold, recall=recall)
+    depth, least = forest_depth(threshold, recall=recall), least_agreement(threshold)
     dealt = rows.repartition("tree", F.substring("values", 1, 2 * depth)).sortWithinPartitions("tree", "values", "node")
-    meetings = dealt.mapInArrow(trie_nodes(depth, BLOCK), "meeting long, node long").distinct()
-    met = meetings.join(firsts.select("node", "signature"), "node").repartition("meeting").sortWithinPartitions("meeting", "node")
-    return met.mapInArrow(_alike(least_agreement(threshold)), "a long, b long")
+    meetings = written(dealt.mapInArrow(trie_nodes(depth, BLOCK), "meeting long, node long, whole long"), "meetings")
+    met = meetings.select("meeting", "node").distinct().join(firsts.select("node", "signature"), "node").repartition("meeting").sortWithinPartitions("meeting", "node")
+    near = components(met.mapInArrow(_alike(least), "a long, b long"))
+    over = meetings.where("whole is not null").select("whole", "node").distinct()
+    return near if over.isEmpty() else joined_across(near, over, firsts, least, 8 * BLOCK)
 
 
 def holding(rows: DataFrame, keys: DataFrame, key: str = "hash") -> DataFrame:
@@ -250,8 +320,8 @@ def holding(rows: DataFrame, keys: DataFrame, key: str = "hash") -> DataFrame:
     return rows.mapInArrow(keep, rows.schema)
 
 
-def _links_in(texts: list[str], side: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """Which texts of a block are linked; ``side`` is 0 or 1 where two blocks meet, and only pairs across count then."""
+def _links_in(texts: list[str], side: np.ndarray | None, n: int, threshold: float) -> np.ndarray:
+    """Which texts of a block are linked; where two blocks meet, ``side`` tells the block and only pairs across count."""
     m = len(texts)
     grams, first = shingles(Words(pa.array(texts, pa.large_string())), n)
     _, which = np.unique(grams, return_inverse=True)
@@ -269,7 +339,7 @@ def _links_in(texts: list[str], side: np.ndarray, n: int, threshold: float) -> n
         cells[text[a:b], gram[a:b] - low] = 1
         common += cells @ cells.T
     linked = common.astype(np.float64) * (1 + threshold) >= threshold * (size[:, None] + size) - 1e-6
-    linked &= (side[:, None] != side) if side.any() else ~np.eye(m, dtype=bool)
+    linked &= ~np.eye(m, dtype=bool) if side is None else side[:, None] != side
     return linked
 
 
@@ -280,7 +350,7 @@ def _verify(n: int, threshold: float) -> Callable:
         _, once = np.unique(rows["node"].to_numpy(), return_index=True)  # repeated rows bring their text several times
         rows = rows.take(pa.array(once))
         node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-        side = (rows["block"].to_numpy() != rows["i"].to_numpy()).astype(np.int8)
+        side = rows["block"].to_numpy() if rows["i"][0].as_py() != rows["j"][0].as_py() else None  # one of two blocks may be empty
         linked = _links_in(rows["text"].to_pylist(), side, n, threshold)
         return node, linked.sum(axis=1), linked @ copies, node[roots(linked)]
 
@@ -315,7 +385,7 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD,
     texts = rows.groupBy("c1", "c2").agg(F.min(F.struct("id", "hash", "node")).alias("at"), F.count("*").alias("copies"))
     texts = written(texts.select("c1", "c2", "at.*", "copies"), "texts")
     firsts = written(rows.where("grams > 0").select("node", "signature").join(texts.select("node"), "node", "left_semi"), "firsts")
-    near = components(candidates(firsts, threshold, recall))
+    near = candidates(firsts, threshold, recall)
 
     members = near.join(texts.select("node", "id", "hash", "copies"), "node").join(rows.select("node", "size"), "node")
     members = written(members, "members")

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -158,3 +159,65 @@ def test_recall_where_a_boilerplate_fills_the_nodes(spark):
     met = [i for i in asked if found[2 * i] == found[2 * i + 1] == (2 * i, 1)]
     assert len(asked) > 1000 and len(met) >= 0.99 * len(asked)
     assert all(found[2 * i] == (2 * i, 0) for i, j in enumerate(jaccard) if j < 0.8)
+
+
+def test_over_full_nodes_lose_no_pair(spark, monkeypatch):
+    """Pairs at a Jaccard of 0.8 to 0.85 in nodes of many parts: all meet, whatever part their texts came to."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    rng = np.random.default_rng(6)
+    common = [f"b{k}" for k in range(184)]
+    texts, want = [], {}
+    for i in range(200):
+        own, changed = [f"w{i}-{k}" for k in range(60)], int(rng.integers(20, 27))
+        texts += [" ".join(common + own), " ".join(common + own[:-changed] + [f"v{i}-{k}" for k in range(changed)])]
+        a, b = shingles(texts[-2]), shingles(texts[-1])
+        linked = len(a & b) / len(a | b) >= 0.8
+        want |= {2 * i: (2 * i, int(linked)), 2 * i + 1: (2 * i + (not linked), int(linked))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs).collect()}
+    assert sum(n for _, n in want.values()) > 200 and found == want
+
+
+def test_pairs_parted_in_every_tree_still_meet(spark, monkeypatch):
+    """600 texts under one node of each tree; pairs agree on 11 of 12 values of a tree, but the first one below the node parts them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng, trees, deepest, rows = np.random.default_rng(3), ngram_join.TREES, ngram_join.DEEPEST, []
+    depth = ngram_join.forest_depth(0.8)
+    shared = rng.integers(0, 1 << 16, (trees, deepest))
+    for i in range(300):
+        own = shared.copy()
+        own[:, depth:] = rng.integers(0, 1 << 16, (trees, deepest - depth))
+        other = own.copy()
+        other[:, depth] = rng.integers(0, 1 << 16, trees)
+        rows += [(2 * i, bytearray(own.astype(np.uint16).tobytes())), (2 * i + 1, bytearray(other.astype(np.uint16).tobytes()))]
+    got = ngram_join.candidates(spark.createDataFrame(rows, "node long, signature binary"), 0.8, ngram_join.RECALL).collect()
+    assert sorted((r.node, r.component) for r in got) == [(k, k // 2 * 2) for k in range(600)]
+
+
+def test_links_count_once_where_a_block_is_empty(spark, monkeypatch):
+    """Pairs of texts dealt over two blocks each: both texts of some come to one block."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1)
+    text = lambda k, end: " ".join(f"{k}w{j}" for j in range(40)) + end
+    docs = spark.createDataFrame([(2 * k + j, text(k, end)) for k in range(20) for j, end in enumerate(("", " tail"))], "doc_id long, text string")
+    assert [r.n_links for r in ngram_join.ngram_join(docs).collect()] == [1] * 40
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_parts_of_over_full_nodes_name_their_node(size):
+    """Nodes of 1 to 40 documents, read in batches of some sizes: those of over 4 are whole under one number, others have none."""
+    rng = np.random.default_rng(size)
+    rows, nodes = [], {}
+    for k, n in enumerate([3, 40, 1, 5, 4, 17, 2, 9]):
+        for _ in range(n):
+            rows.append((k // 4, (k, k, int(rng.integers(3)), int(rng.integers(3))), len(rows)))
+        nodes[k] = {r[2] for r in rows if r[1][0] == k}
+    rows.sort()
+    table = pa.table({"tree": pa.array([r[0] for r in rows], pa.int32()), "values": pa.array([np.array(r[1], np.uint16).tobytes() for r in rows], pa.binary()), "node": pa.array([r[2] for r in rows], pa.int64())})
+    out = [b for b in ngram_join.trie_nodes(2, 4)(iter(table.to_batches(max_chunksize=size)))]
+    groups = {}
+    for b in out:
+        for node, whole in zip(b.column("node").to_pylist(), b.column("whole").to_pylist(), strict=True):
+            groups.setdefault(whole, set()).add(node)
+    small = groups.pop(None)
+    assert small == set().union(*(x for x in nodes.values() if 1 < len(x) <= 4))
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for x in nodes.values() if len(x) > 4)
