@@ -194,6 +194,25 @@ def test_pairs_parted_in_every_tree_still_meet(spark, monkeypatch):
     assert sorted((r.node, r.component) for r in got) == [(k, k // 2 * 2) for k in range(600)]
 
 
+def test_stage_drops_near_copies_that_every_tree_parts(spark, monkeypatch):
+    """100 pairs of near copies under one node of each tree, parted in all of them: of each pair one stays."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng, trees, deepest, rows, made = np.random.default_rng(4), ngram_join.TREES, ngram_join.DEEPEST, [], []
+    depth = ngram_join.forest_depth(0.8)
+    shared = rng.integers(0, 1 << 16, (trees, deepest))
+    for k in range(100):
+        own = shared.copy()
+        own[:, depth:] = rng.integers(0, 1 << 16, (trees, deepest - depth))
+        for j, end in enumerate(("", " tail")):
+            own[:, depth] = rng.integers(0, 1 << 16, trees)
+            rows.append((2 * k + j, " ".join(f"{k}w{x}" for x in range(40)) + end))
+            made.append((2 * k + j, bytearray(own.astype(np.uint16).tobytes())))
+    given, real = spark.createDataFrame(made, "id long, signature binary"), ngram_join.signatures
+    monkeypatch.setattr(ngram_join, "signatures", lambda docs, n=5: real(docs, n).drop("signature").join(given, "id"))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 200, 2))
+
+
 def test_links_count_once_where_a_block_is_empty(spark, monkeypatch):
     """Pairs of texts dealt over two blocks each: both texts of some come to one block."""
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1)
