@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklogs.llm.common import Words, expand, extended, slices, word_hashes, written
+from sparklogs.llm.common import Words, expand, extended, forget, slices, word_hashes, written
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -99,24 +99,24 @@ def continuation_model(grams: DataFrame) -> DataFrame:
     """gram of five bytes and ``shared``, its Kneser-Ney probability after its first four, over all of the corpus.
 
     A gram counts once for each different byte that precedes it; each order is interpolated with the next lower one,
-    down to a uniform choice of a byte.
+    down to a uniform choice of a byte. Every order is written, so that no query holds more than two of them: in one
+    query, Spark would plan all of them anew after each of its 40 jobs and keep every plan on the driver.
     """
     orders, level = {}, grams.select("gram")
     for n in range(ORDER - 1, 0, -1):
-        level = level.groupBy(F.col("gram").bitwiseAND(F.lit(256**n - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        level = written(level.groupBy(F.col("gram").bitwiseAND(F.lit(256**n - 1)).alias("gram")).agg(F.count("*").alias("n")), "order")
         orders[n] = level
     below = None
     for n in range(1, ORDER):
-        context = F.shiftrightunsigned("gram", 8).alias("context")
-        own = orders[n].withColumn("context", context)
-        total = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        joined = own.join(total, "context")
+        context = Window.partitionBy("context")  # at most 256 rows
+        joined = orders[n].withColumn("context", F.shiftrightunsigned("gram", 8)).withColumns({"total": F.sum("n").over(context), "kinds": F.count("*").over(context)})
         if below is None:
             lower: Column = F.lit(1 / 256)
         else:
             joined = joined.withColumn("lower", F.col("gram").bitwiseAND(F.lit(256 ** (n - 1) - 1))).join(below.withColumnRenamed("gram", "lower"), "lower")
             lower = F.col("shared")
-        below = joined.select("gram", ((F.col("n") - DISCOUNT) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * lower).alias("shared"))
+        last, below = below, written(joined.select("gram", ((F.col("n") - DISCOUNT) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * lower).alias("shared")), "shared")
+        forget(orders[n], *([] if last is None else [last]))
     return below
 
 
@@ -126,8 +126,9 @@ def ratio_tables(grams: DataFrame) -> tuple[np.ndarray, ...]:
     Only grams and contexts of labelled rows are in them, so the sample bounds their size.
     """
     seen = grams.where("toxic + ordinary > 0").withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("tail", F.col("gram").bitwiseAND(F.lit(256 ** (ORDER - 1) - 1)))
-    shared = continuation_model(grams).withColumnRenamed("gram", "tail")
-    table = seen.join(shared, "tail").select("gram", "context", "toxic", "ordinary", "shared").toArrow()
+    shared = continuation_model(grams)
+    table = seen.join(shared.withColumnRenamed("gram", "tail"), "tail").select("gram", "context", "toxic", "ordinary", "shared").toArrow()
+    forget(shared)
     gram, context, shared_p = (table[k].to_numpy() for k in ("gram", "context", "shared"))
     found, which = np.unique(context, return_inverse=True)
     logs, unseen = [], []
@@ -231,6 +232,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_R
     model_rows = F.broadcast(counting_rows(docs, labels, class_rows, class_bytes))  # 2 * class_rows at most
     grams = written(gram_counts(docs.select("doc_id", "text").join(model_rows, "doc_id", "left")), "grams")
     shared = docs.sparkSession.sparkContext.broadcast(ratio_tables(grams))
+    forget(grams)
 
     fit_labels = F.broadcast(labels.where("fold = 4").orderBy(draw, "doc_id").limit(fit_rows).select("doc_id", "toxic"))
     names = ["a", "b", "c", "d"]

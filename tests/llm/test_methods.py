@@ -1,5 +1,6 @@
 """Operators against brute force, round trips, and held-out accuracy."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -484,6 +485,24 @@ def test_jump_hash_like_the_published_loop():
         assert sharding.jump_hash(keys, n).tolist() == [jump(int(k), n) for k in common.mix(keys.view(np.uint64))]
 
 
+def test_toxicity_plans_stay_small_on_the_driver(spark, monkeypatch):
+    grams = spark.createDataFrame([(x * 7919 % 256**6, x % 3, 1) for x in range(1, 500)], "gram long, toxic long, ordinary long")
+    plans, tables = [], []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        tables.append(common.written(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(toxicity, "written", noted, raising=True)
+    model = toxicity.continuation_model(grams)
+    plans.append(model._jdf.queryExecution().executedPlan().toString())
+    assert max(p.count("Exchange hashpartitioning") for p in plans) <= 3  # of all orders in one plan over 30
+    left = [t for t in tables if os.path.isdir(t.written_to.removeprefix("file://"))]
+    assert left == tables[-1:]
+    assert model.count() == grams.select(F.col("gram").bitwiseAND(F.lit(256**5 - 1))).distinct().count()
+
+
 def test_kneser_ney_like_dictionaries(spark):
     rng = random.Random(15)
     texts = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(20)]
