@@ -81,6 +81,15 @@ def text_blocks(chunks: DataFrame, fields: tuple[str, ...] = tuple(FIELD_WEIGHTS
     return rows.mapInArrow(run, schema)
 
 
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Store ``text_blocks`` as Parquet, each block in a row group of its own.
+
+    Spark's reader decodes up to 4,096 rows of a row group at once, and the writer keeps a group until it ends: with blocks of some
+    MB both would hold whole files.
+    """
+    blocks.write.option("parquet.block.row.count.limit", 1).parquet(path)
+
+
 class Block:
     """One row of ``text_blocks`` as arrays, and where the asked words stand in it."""
 

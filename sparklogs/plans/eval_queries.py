@@ -55,9 +55,13 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {Q_SQL}, {BM25_SQL} SELECT query_id, chunk_id, round(x, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) <= 20")
 def bm25_stored(spark, sf_dir):
-    """The same from stored blocks, which one run writes and many ask."""
+    """The same from stored blocks, which one run writes and many ask.
+
+    A block has some MB; Spark's Arrow batches of 64 MB would hold ten of them, several times over in each task.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     path = scratch(spark, "blocks")
-    text_index.text_blocks(_documents(spark, sf_dir)).write.parquet(path)
+    text_index.write_blocks(text_index.text_blocks(_documents(spark, sf_dir)), path)
     found = retrieval.bm25_topk(_queries(spark, sf_dir), None, stored=spark.read.parquet(path))
     return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 

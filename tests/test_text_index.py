@@ -7,10 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sparklogs.operators import retrieval, text_index
+from sparklogs.plans import eval_queries
 
 WORDS = ["alpha", "beta", "gamma", "delta", "the", "a", "of", "x1", "é", "中文"]
 
@@ -170,3 +172,18 @@ def test_integer_ids_and_ties(spark):
     one = spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<float>")
     for stored in (None, retrieval.vector_cells(vectors)):
         assert [r.chunk_id for r in retrieval.vector_topk(one, vectors, 2, stored).orderBy("rank").collect()] == [33, 10]
+
+
+def test_stored_blocks_are_read_one_at_a_time(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(text_index, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(eval_queries, "scratch", lambda *_: f"file://{tmp_path}/blocks")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        found = eval_queries.bm25_stored(spark, "/root/testdata/sf0.001").collect()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    files = [pq.ParquetFile(f).metadata for f in sorted((tmp_path / "blocks").glob("*.parquet"))]
+    assert max(m.num_rows for m in files) > 1  # else a file has one group anyway
+    assert all(m.row_group(k).num_rows == 1 for m in files for k in range(m.num_row_groups))
+    assert sorted(found) == sorted(eval_queries.bm25_topk(spark, "/root/testdata/sf0.001").collect())
